@@ -1,3 +1,10 @@
 """sphereframe: gridded time-series analytics on the sphere, expressed as Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions handed to mapInPandas travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

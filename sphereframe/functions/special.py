@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 
@@ -41,7 +42,7 @@ def two_sided_p(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
     p = two_sided_p(t.to_numpy(dtype=float, na_value=np.nan), dof.to_numpy(dtype=float, na_value=np.nan))
     return pd.Series(p).astype(object).where(~np.isnan(p), None).astype("Float64")

@@ -77,7 +77,7 @@ def concat_members(t: Tables):
     """Five runs stacked along member, then summarised per member."""
     def run(m: int):
         shift = F.pmod(F.lit(3) * F.col("node") + F.lit(5 * m) + F.col("leadtime"), F.lit(7)) - F.lit(3)
-        return t.fcst.withColumn("z", F.col("z") + F.lit(0.125) * shift)
+        return t.fcst.withColumn("z", F.col("z") + F.lit(0.25) * shift)
 
     stacked = ops.concat_members({m: run(m) for m in MEMBERS})
     return stacked.groupBy("member", "leadtime", "node").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, Query
 
-MODULES = ("sources", "reshaping", "alignment", "statistics", "verification")
+MODULES = ("sources", "reshaping", "alignment", "statistics", "verification", "sampling")
 
 
 def all_queries() -> dict[str, Query]:

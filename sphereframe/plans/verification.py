@@ -99,18 +99,18 @@ def persistence_skill(t: Tables):
     return verify.persistence_skill(t.obs, PERSISTENCE_LEADS, ["z"], skills=["BIAS", "RMSE", "rSD", "pearson_R", "NSE"])
 
 
-_CLIM_FCST = ("(SELECT v.node, v.time, c.mean_price AS p, v.price AS o FROM v_clim v JOIN (SELECT node, {part}(time) AS g, "
-              "avg(price) AS mean_price FROM v_clim WHERE time <= TIMESTAMP '1999-12-31' GROUP BY 1, 2) c "
+_CLIM_FCST = ("(SELECT v.node, v.time, c.mean_qty AS p, v.qty AS o FROM v_clim v JOIN (SELECT node, {part}(time) AS g, "
+              "avg(qty) AS mean_qty FROM v_clim WHERE time <= TIMESTAMP '1999-12-31' GROUP BY 1, 2) c "
               "ON c.node = v.node AND c.g = {part}(v.time) WHERE v.time >= TIMESTAMP '2000-01-01')")
 
 
 def _climatology_skill(name: str, groups: str, part: str):
     def build(t: Tables):
-        clim = scalers.climatology(t.clim, ["price"], groups, (None, "1999-12-31"))
-        test = t.clim.where(F.col("time") >= F.lit("2000-01-01").cast("timestamp_ntz")).select("node", "time", "price")
-        return verify.climatology_skill(test, clim, groups, ["price"])
+        clim = scalers.climatology(t.clim, ["qty"], groups, (None, "1999-12-31"))
+        test = t.clim.where(F.col("time") >= F.lit("2000-01-01").cast("timestamp_ntz")).select("node", "time", "qty")
+        return verify.climatology_skill(test, clim, groups, ["qty"])
 
-    query("F10", long_sql(_CLIM_FCST.format(part=part), "p", "o", "node", sk.ALL_SKILLS, "price"), name)(build)
+    query("F10", long_sql(_CLIM_FCST.format(part=part), "p", "o", "node", sk.ALL_SKILLS, "qty"), name)(build)
 
 
 _climatology_skill("climatology_skill_month", "month", "month")
@@ -271,6 +271,7 @@ WITH a AS (SELECT leadtime, node, dayofyear(time) AS dayofyear, avg(z_pred) AS p
            FROM v_pairs GROUP BY 1, 2, 3),
 h AS (SELECT leadtime, dayofyear, floor(lat / 5) * 5 AS lat_bin, avg(p) AS z_pred, avg(o) AS z_obs, avg(e) AS z_err
       FROM a JOIN v_nodes n ON n.node = a.node GROUP BY 1, 2, 3)
-SELECT *, z_pred - z_obs AS z_diff, z_pred - z_obs - z_err AS z_residual FROM h""")
+SELECT *, z_pred - z_obs AS z_diff, abs(z_pred - z_obs - z_err) < 1e-9 AS closes FROM h""")
 def hovmoller_diff(t: Tables):
-    return hovmoller.hovmoller_diff(t.fcst_pairs.drop("frt"), t.nodes, ["z"], groups="dayofyear", by=["leadtime"])
+    diagram = hovmoller.hovmoller_diff(t.fcst_pairs, t.nodes, ["z"], groups="dayofyear", by=["leadtime"])
+    return diagram.withColumn("closes", F.abs("z_residual") < 1e-9).drop("z_residual")

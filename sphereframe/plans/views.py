@@ -1,7 +1,7 @@
 """Weather-shaped views over the given tables, for Spark and for SQL.
 
 Averages are taken over exact integer hundredths and then cut to a binary
-fraction (1/64 or 1/4096), so sums over them are exact and no result depends
+fraction (1/4 or 1/64), so sums over them are exact and no result depends
 on the order in which an engine adds.
 """
 
@@ -24,7 +24,7 @@ def cents(c: str) -> Column:
     return F.round(F.col(c) * 100.0).cast("long")
 
 
-def exact_avg(c: str, grain: int = 64) -> Column:
+def exact_avg(c: str, grain: int = 4) -> Column:
     """Average of a two-decimal column by integer arithmetic, cut to multiples of ``1/grain``."""
     mean = F.sum(cents(c)).cast("double") / (F.lit(100.0) * F.count(F.lit(1)).cast("double"))
     return F.floor(mean * float(grain)).cast("double") / F.lit(float(grain))
@@ -75,7 +75,7 @@ class Tables:
                                            "l_quantity", "l_extendedprice", "l_discount")
         return li.groupBy("node", "time").agg(exact_avg("l_quantity").alias("qty"),
                                               exact_avg("l_extendedprice").alias("price"),
-                                              exact_avg("l_discount", 4096).alias("disc"))
+                                              exact_avg("l_discount", 64).alias("disc"))
 
     @cached_property
     def static(self) -> DataFrame:
@@ -88,7 +88,8 @@ class Tables:
         n = self.table("events").select(F.col("user_id").alias("node")).distinct()
         lat = F.pmod(F.col("node") * 37, F.lit(180)) - F.lit(89.5)
         lon = F.pmod(F.col("node") * 53, F.lit(360)).cast("double")
-        return n.select("node", lat.alias("lat"), lon.alias("lon")).withColumn("area", F.cos(F.radians("lat")))
+        return n.select("node", lat.alias("lat"), lon.alias("lon")).withColumn(
+            "area", F.floor(F.cos(F.radians("lat")) * 1024.0).cast("double") / F.lit(1024.0))
 
     @cached_property
     def fcst(self) -> DataFrame:
@@ -97,7 +98,7 @@ class Tables:
         wobble = F.pmod(F.lit(7) * F.col("node") + lead, F.lit(11)) - F.lit(5)
         return (self.obs.withColumnRenamed("time", "frt")
                 .withColumn("leadtime", F.explode(F.array(*[F.lit(h) for h in LEADS])))
-                .select("frt", "leadtime", "node", (F.col("z") + F.lit(0.015625) * lead * wobble).alias("z")))
+                .select("frt", "leadtime", "node", (F.col("z") + F.lit(0.25) * (lead / F.lit(6)) * wobble).alias("z")))
 
     @cached_property
     def fcst_pairs(self) -> DataFrame:
@@ -111,7 +112,7 @@ class Tables:
         """(frt, leadtime, node, member, z): five-member ensemble."""
         shift = F.pmod(F.lit(3) * F.col("node") + F.lit(5) * F.col("member") + F.col("leadtime"), F.lit(7)) - F.lit(3)
         return (self.fcst.withColumn("member", F.explode(F.array(*[F.lit(m) for m in MEMBERS])))
-                .withColumn("z", F.col("z") + F.lit(0.125) * shift)
+                .withColumn("z", F.col("z") + F.lit(0.25) * shift)
                 .select("frt", "leadtime", "node", "member", "z"))
 
     @cached_property
@@ -126,7 +127,7 @@ class Tables:
             F.col("_v5").alias("f2"))
 
 
-def _cents(c: str, grain: int = 64) -> str:
+def _cents(c: str, grain: int = 4) -> str:
     mean = f"CAST(sum(CAST(round({c} * 100.0) AS BIGINT)) AS DOUBLE) / (100.0::DOUBLE * count(*))"
     return f"floor({mean} * {grain}.0::DOUBLE) / {grain}.0::DOUBLE"
 
@@ -145,16 +146,16 @@ SQL_VIEWS: dict[str, str] = {
     "v_lev": "SELECT user_id AS node, ts AS time, event_type AS var, CASE event_id % 3 WHEN 0 THEN 50000 "
              "WHEN 1 THEN 85000 ELSE 100000 END AS plev, value FROM events",
     "v_clim": f"SELECT l_suppkey AS node, l_shipdate AS time, {_cents('l_quantity')} AS qty, "
-              f"{_cents('l_extendedprice')} AS price, {_cents('l_discount', 4096)} AS disc FROM lineitem GROUP BY 1, 2",
+              f"{_cents('l_extendedprice')} AS price, {_cents('l_discount', 64)} AS disc FROM lineitem GROUP BY 1, 2",
     "v_static": "SELECT s_suppkey AS node, s_nationkey AS slt, s_acctbal AS orog_raw FROM supplier",
-    "v_nodes": "SELECT node, lat, lon, cos(radians(lat)) AS area FROM (SELECT DISTINCT user_id AS node, "
+    "v_nodes": "SELECT node, lat, lon, floor(cos(radians(lat)) * 1024.0::DOUBLE) / 1024.0::DOUBLE AS area FROM (SELECT DISTINCT user_id AS node, "
                "(user_id * 37) % 180 - 89.5::DOUBLE AS lat, CAST((user_id * 53) % 360 AS DOUBLE) AS lon FROM events)",
     "v_fcst": "SELECT time AS frt, CAST(l AS INTEGER) AS leadtime, node, "
-              "z + 0.015625::DOUBLE * l * ((7 * node + l) % 11 - 5) AS z FROM v_obs, (SELECT unnest(range(6, 121, 6)) AS l)",
+              "z + 0.25::DOUBLE * (l // 6) * ((7 * node + l) % 11 - 5) AS z FROM v_obs, (SELECT unnest(range(6, 121, 6)) AS l)",
     "v_pairs": f"SELECT f.node, o.time, f.frt, f.leadtime, f.z AS z_pred, o.z AS z_obs FROM v_fcst f "
                f"JOIN v_obs o ON o.node = f.node AND o.time = f.frt + {hours('f.leadtime')}",
     "v_ens": "SELECT frt, leadtime, node, CAST(m AS INTEGER) AS member, "
-             "z + 0.125::DOUBLE * ((3 * node + 5 * m + leadtime) % 7 - 3) AS z "
+             "z + 0.25::DOUBLE * ((3 * node + 5 * m + leadtime) % 7 - 3) AS z "
              "FROM v_fcst, (SELECT unnest(range(0, 5)) AS m)",
     "v_points": "SELECT node, v0 / n AS x, v1 / n AS y, v2 / n AS z, f0, f1, f2 FROM (SELECT *, "
                 "sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS n FROM (SELECT vec_id AS node, "
