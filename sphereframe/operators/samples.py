@@ -54,46 +54,55 @@ def targets(df: DataFrame, variables: Sequence[str], output_k: Sequence[int], cy
     return sent.select("node", shift_hours("time", -F.col("_f.h")).alias("time"), "_f.iteration", "_f.k", *variables)
 
 
-def ar_inputs(spark: SparkSession, input_k: Sequence[int], output_k: Sequence[int], cycle: int, iterations: int,
-              stack_most_recent: bool = True) -> DataFrame:
-    """Where each lag of each iteration comes from.
+def ar_plan(input_k: Sequence[int], output_k: Sequence[int], cycle: int, iterations: int,
+            stack_most_recent: bool = True) -> list[tuple]:
+    """(iteration, k, offset, from_iteration, from_k) of every lag of every iteration.
 
-    Rows (iteration, k, offset, source, from_iteration, from_k): offsets before
-    the first predicted step are observations, later ones predictions of an
-    earlier iteration.  Where several predicted the step, the latest (or, without
-    ``stack_most_recent``, the earliest) is taken.
+    Offsets no earlier iteration predicts come from observations (the last two
+    entries are None).  Where several predicted the step, the latest (or, without
+    ``stack_most_recent``, the earliest) iteration is taken.
     """
-    rows = []
+    pick = max if stack_most_recent else min
+    plan = []
     for i in range(iterations + 1):
         for k in input_k:
             offset = int(k) + i * cycle
-            made = [(j, o) for j in range(i) for o in output_k if o + j * cycle == offset]
-            if made:
-                j, o = max(made) if stack_most_recent else min(made)
-                rows.append((i, int(k), offset, "prediction", j, int(o)))
-            else:
-                rows.append((i, int(k), offset, "observation", None, None))
-    schema = "iteration int, k int, offset int, source string, from_iteration int, from_k int"
-    return spark.createDataFrame(rows, schema)
+            made = [(j, int(o)) for j in range(i) for o in output_k if o + j * cycle == offset]
+            plan.append((i, int(k), offset, *(pick(made) if made else (None, None))))
+    return plan
+
+
+def ar_inputs(spark: SparkSession, input_k: Sequence[int], output_k: Sequence[int], cycle: int, iterations: int,
+              stack_most_recent: bool = True) -> DataFrame:
+    """The plan as a table."""
+    rows = ar_plan(input_k, output_k, cycle, iterations, stack_most_recent)
+    table = spark.createDataFrame(rows, "iteration int, k int, offset int, from_iteration int, from_k int")
+    return table.withColumn("source", F.when(F.col("from_k").isNull(), "observation").otherwise("prediction"))
 
 
-def assemble_inputs(reference: DataFrame, obs: DataFrame, predictions: DataFrame, index: DataFrame, variable: str,
+def assemble_inputs(reference: DataFrame, obs: DataFrame, predictions: DataFrame, plan: Sequence[tuple], variable: str,
                     step_hours: int = 1) -> DataFrame:
-    """Fill an :func:`ar_inputs` table for every (node, reference time).
+    """Fill an :func:`ar_plan` for every (node, reference time).
 
     ``predictions`` holds (node, time, iteration, k, variable).
     """
-    wanted = reference.select("node", "time").join(F.broadcast(index))
-    o = obs.select("node", F.col("time").alias("_at"), F.col(variable).alias("_o"))
-    p = predictions.select("node", "time", F.col("iteration").alias("from_iteration"), F.col("k").alias("from_k"),
-                           F.col(variable).alias("_p"))
-    observed = (wanted.where("source = 'observation'")
-                .withColumn("_at", shift_hours("time", F.col("offset") * step_hours))
-                .join(o, ["node", "_at"]).withColumnRenamed("_o", variable))
-    predicted = (wanted.where("source = 'prediction'").join(p, ["node", "time", "from_iteration", "from_k"])
-                 .withColumnRenamed("_p", variable))
-    cols = ["node", "time", "iteration", "k", "source", variable]
-    return observed.select(cols).unionByName(predicted.select(cols))
+    def fanned(rows):
+        fields = ("iteration", "k", "offset", "from_iteration", "from_k")
+        structs = [F.struct(*[F.lit(v).cast("int").alias(f) for f, v in zip(fields, row)]) for row in rows]
+        return reference.select("node", "time", F.explode(F.array(*structs)).alias("_r")).select("node", "time", "_r.*")
+
+    observed_rows = [row for row in plan if row[3] is None]
+    predicted_rows = [row for row in plan if row[3] is not None]
+    cols = ["node", "time", "iteration", "k"]
+    o = obs.select("node", F.col("time").alias("_at"), F.col(variable))
+    observed = (fanned(observed_rows).withColumn("_at", shift_hours("time", F.col("offset") * step_hours))
+                .join(o, ["node", "_at"]).select(*cols, F.lit("observation").alias("source"), variable))
+    if not predicted_rows:
+        return observed
+    p = predictions.select("node", "time", F.col("iteration").alias("from_iteration"), F.col("k").alias("from_k"), variable)
+    predicted = (fanned(predicted_rows).join(p, ["node", "time", "from_iteration", "from_k"])
+                 .select(*cols, F.lit("prediction").alias("source"), variable))
+    return observed.unionByName(predicted)
 
 
 def valid_reference_times(available: DataFrame, requested: DataFrame, offsets: Sequence[int]) -> DataFrame:

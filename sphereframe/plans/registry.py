@@ -26,6 +26,9 @@ class Query:
         return None if self.sql is None else with_views(self.sql)
 
 
+# Views other views read several times.
+SHARED = {"v_knn", "v_edge", "v_deg", "v_lap", "v_points", "v_src", "v_dst", "v_w", "v_pool", "v_unpool", "v_obs"}
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -59,7 +62,7 @@ def _needed(sql: str) -> list[str]:
 def with_views(sql: str) -> str:
     """Put the definitions of the views a statement uses in front of it."""
     sql = sql.strip()
-    views = [f"{v} AS ({SQL_VIEWS[v]})" for v in _needed(sql)]
+    views = [f"{v} AS {'MATERIALIZED ' if v in SHARED else ''}({SQL_VIEWS[v]})" for v in _needed(sql)]
     head = "WITH "
     rest = sql
     match = re.match(r"WITH\s+(RECURSIVE\s+)?", sql)

@@ -51,10 +51,10 @@ FROM v_obs o, x, v_obs v WHERE v.node = o.node AND v.time = o.time + to_hours(CA
 
 
 def _ar(t: Tables, most_recent: bool):
-    index = samples.ar_inputs(t.spark, INPUT_K, [0, 1], 1, 3, most_recent)
+    plan = samples.ar_plan(INPUT_K, [0, 1], 1, 3, most_recent)
     made = samples.targets(t.obs, ["z"], [0, 1], 1, 3, STEP)
     made = made.withColumn("z", F.col("z") + F.col("iteration") * F.lit(0.25))
-    return samples.assemble_inputs(t.obs, t.obs, made, index, "z", STEP)
+    return samples.assemble_inputs(t.obs, t.obs, made, plan, "z", STEP)
 
 
 @query("H3", _AR_SQL.format(made="least(off, iteration - 1)"))

@@ -7,12 +7,15 @@ on the order in which an engine adds.
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import shift_hours, truncate_hours
+from ..operators import graphs, grids, remap
+from ..session import cut_lineage
 
 LEADS = list(range(6, 121, 6))
 PERSISTENCE_LEADS = [6 * i for i in range(1, 40)]
@@ -30,6 +33,9 @@ def exact_avg(c: str, grain: int = 4) -> Column:
     return F.floor(mean * float(grain)).cast("double") / F.lit(float(grain))
 
 
+NEIGHBOURS = 20
+
+
 class Tables:
     """Lazily opened tables of one scale-factor folder and the views on them."""
 
@@ -115,6 +121,46 @@ class Tables:
                 .withColumn("z", F.col("z") + F.lit(0.25) * shift)
                 .select("frt", "leadtime", "node", "member", "z"))
 
+    # --- grids sized by the number of customers ------------------------------------------------
+
+    @cached_property
+    def shape(self) -> tuple[int, int]:
+        """Rows and columns of the smallest 1:2 grid with a cell per customer."""
+        rows = math.ceil(math.sqrt(self.table("customer").count() / 2.0))
+        return rows, 2 * rows
+
+    def grid(self, num: int = 1, den: int = 1) -> DataFrame:
+        """The customer grid coarsened by num/den (not nested in general)."""
+        rows = self.shape[0] * num // den
+        return grids.grid_equiangular(self.spark, rows, 2 * rows)
+
+    @cached_property
+    def src(self) -> DataFrame:
+        return self.grid()
+
+    @cached_property
+    def dst(self) -> DataFrame:
+        return self.grid(3, 5)
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        """Overlap areas between the customer grid and its 3/5 coarsening."""
+        return remap.overlap_weights(self.src, self.dst)
+
+    @cached_property
+    def field(self) -> DataFrame:
+        """(node, time, z): monthly order values on the customer grid, with gaps."""
+        o = self.table("orders").select(F.col("o_custkey").alias("node"), F.trunc(F.col("o_orderdate").cast("date"), "month")
+                                        .cast("timestamp_ntz").alias("time"), "o_totalprice")
+        mean = exact_avg("o_totalprice")
+        return o.groupBy("node", "time").agg((F.floor(mean / 1024.0).cast("double") / 8.0).alias("z"))
+
+    @cached_property
+    def balance(self) -> DataFrame:
+        """(node, soil, v): one static category and value per customer cell."""
+        return self.table("customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("soil"),
+                                             (F.floor(F.col("c_acctbal") / 64.0).cast("double") / 4.0).alias("v"))
+
     @cached_property
     def points(self) -> DataFrame:
         """(node, x, y, z, f0, f1, f2): irregular sampling of the sphere with three field columns."""
@@ -126,6 +172,22 @@ class Tables:
             (F.col("_v2") / F.col("_n")).alias("z"), F.col("_v3").alias("f0"), F.col("_v4").alias("f1"),
             F.col("_v5").alias("f2"))
 
+    # --- neighbour graph of the irregular sampling ------------------------------------------------
+
+    @cached_property
+    def knn(self) -> DataFrame:
+        """Written once: everything built on the graph reads it several times."""
+        return cut_lineage(graphs.knn_graph(self.points, NEIGHBOURS))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Symmetric Gaussian weights (i, j, w)."""
+        return graphs.edge_weights(self.knn)
+
+    @cached_property
+    def laplacian(self) -> DataFrame:
+        return graphs.laplacian(self.edges, "normalized")
+
 
 def _cents(c: str, grain: int = 4) -> str:
     mean = f"CAST(sum(CAST(round({c} * 100.0) AS BIGINT)) AS DOUBLE) / (100.0::DOUBLE * count(*))"
@@ -138,6 +200,30 @@ def hours(n: str) -> str:
 
 _SLOT = "date_trunc('day', ts) + to_hours(CAST(6 * (hour(ts) // 6) AS BIGINT))"
 
+
+
+def cell_area_sql(lat0: str, lat1: str, lon0: str, lon1: str) -> str:
+    return f"(sin(radians({lat1})) - sin(radians({lat0}))) * radians({lon1} - {lon0})"
+
+
+def _cells(shape: str) -> str:
+    """Cells of a regular grid whose shape a view gives."""
+    bounds = ("i * 180.0::DOUBLE / nlat - 90.0::DOUBLE AS lat0, (i + 1) * 180.0::DOUBLE / nlat - 90.0::DOUBLE AS lat1, "
+              "j * 360.0::DOUBLE / nlon AS lon0, (j + 1) * 360.0::DOUBLE / nlon AS lon1")
+    return (f"SELECT node, i, j, lat0, lat1, lon0, lon1, {cell_area_sql('lat0', 'lat1', 'lon0', 'lon1')} AS area FROM "
+            f"(SELECT node, i, j, {bounds} FROM (SELECT node, node // nlon AS i, node % nlon AS j, nlat, nlon FROM "
+            f"(SELECT unnest(range(nlat * nlon)) AS node, nlat, nlon FROM {shape})))")
+
+
+def _overlap(src: str, dst: str) -> str:
+    lat0, lat1 = "greatest(s.lat0, d.lat0)", "least(s.lat1, d.lat1)"
+    lon0, lon1 = "greatest(s.lon0, d.lon0)", "least(s.lon1, d.lon1)"
+    return (f"SELECT d.node AS dst, s.node AS src, {cell_area_sql(lat0, lat1, lon0, lon1)} AS w FROM {src} s, {dst} d "
+            f"WHERE {lat1} - {lat0} > 1e-9::DOUBLE AND {lon1} - {lon0} > 1e-9::DOUBLE")
+
+
+_CHORD = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
 SQL_VIEWS: dict[str, str] = {
     "v_obs": f"SELECT user_id AS node, {_SLOT} AS time, {_cents('value')} AS z FROM events GROUP BY 1, 2",
     "v_obsv": f"SELECT user_id AS node, {_SLOT} AS time, event_type AS variable, {_cents('value')} AS z "
@@ -157,8 +243,27 @@ SQL_VIEWS: dict[str, str] = {
     "v_ens": "SELECT frt, leadtime, node, CAST(m AS INTEGER) AS member, "
              "z + 0.25::DOUBLE * ((3 * node + 5 * m + leadtime) % 7 - 3) AS z "
              "FROM v_fcst, (SELECT unnest(range(0, 5)) AS m)",
+    "v_gs": "SELECT nlat, 2 * nlat AS nlon FROM (SELECT CAST(ceil(sqrt(count(*) / 2.0::DOUBLE)) AS BIGINT) AS nlat FROM customer)",
+    "v_gd": "SELECT nlat, 2 * nlat AS nlon FROM (SELECT nlat * 3 // 5 AS nlat FROM v_gs)",
+    "v_gc": "SELECT nlat, 2 * nlat AS nlon FROM (SELECT nlat // 4 AS nlat FROM v_gs)",
+    "v_src": _cells("v_gs"),
+    "v_dst": _cells("v_gd"),
+    "v_coarse": _cells("v_gc"),
+    "v_w": _overlap("v_src", "v_dst"),
+    "v_pool": "SELECT dst, src, w / sum(w) OVER (PARTITION BY dst) AS w FROM v_w",
+    "v_unpool": "SELECT src AS dst, dst AS src, w / sum(w) OVER (PARTITION BY src) AS w FROM v_w",
+    "v_field": "SELECT o_custkey AS node, date_trunc('month', o_orderdate)::TIMESTAMP AS time, "
+               f"floor(({_cents('o_totalprice')}) / 1024.0::DOUBLE) / 8.0::DOUBLE AS z FROM orders GROUP BY 1, 2",
+    "v_bal": "SELECT c_custkey AS node, c_nationkey AS soil, floor(c_acctbal / 64.0::DOUBLE) / 4.0::DOUBLE AS v FROM customer",
     "v_points": "SELECT node, v0 / n AS x, v1 / n AS y, v2 / n AS z, f0, f1, f2 FROM (SELECT *, "
                 "sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS n FROM (SELECT vec_id AS node, "
                 "embedding[1]::DOUBLE AS v0, embedding[2]::DOUBLE AS v1, embedding[3]::DOUBLE AS v2, "
                 "embedding[4]::DOUBLE AS f0, embedding[5]::DOUBLE AS f1, embedding[6]::DOUBLE AS f2 FROM embeddings))",
+    "v_knn": "SELECT i, j, d, CAST(rank AS INTEGER) AS rank FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank "
+             f"FROM (SELECT a.node AS i, b.node AS j, {_CHORD} AS d FROM v_points a, v_points b WHERE a.node <> b.node)) WHERE rank <= 20",
+    "v_edge": "SELECT i, j, max(w) AS w FROM (SELECT i, j, exp(-(d / m) * (d / m)) AS w FROM v_knn, (SELECT avg(d) AS m FROM v_knn) "
+              "UNION ALL SELECT j, i, exp(-(d / m) * (d / m)) FROM v_knn, (SELECT avg(d) AS m FROM v_knn)) GROUP BY 1, 2",
+    "v_deg": "SELECT i, sum(w) AS deg FROM v_edge GROUP BY 1",
+    "v_lap": "SELECT e.i, e.j, -e.w / (sqrt(a.deg) * sqrt(b.deg)) AS w FROM v_edge e JOIN v_deg a ON a.i = e.i JOIN v_deg b ON b.i = e.j "
+             "UNION ALL SELECT i, i, 1.0::DOUBLE FROM v_deg",
 }
