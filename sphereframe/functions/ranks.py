@@ -14,30 +14,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SPLITTERS = 256
 
 
 def _bucket_values(counts: DataFrame, by: Sequence[str], value: str, splitters: int) -> DataFrame:
-    """Add ``_bucket`` (order preserving) to a table of distinct (by, value) rows."""
+    """Add ``_bucket`` (order preserving) to a table of distinct (by, value) rows.
+
+    Groups small enough for one task keep a single bucket; splitters are made
+    for the crowded ones only, by a sketch of bounded size that merges map-side.
+    """
+    crowded = 16 * splitters
     cuts = [i / splitters for i in range(1, splitters)]
-    marks = counts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_distinct"),
-        F.percentile_approx(value, cuts, 4 * splitters).alias("_marks"),
-    )
-    # Groups small enough for one task keep a single bucket.
-    marks = marks.select(*by, F.when(F.col("_distinct") > 16 * splitters,
-                                     F.array_distinct("_marks")).alias("_marks"))
-    joined = counts.join(marks, list(by)) if by else counts.select(
-        "*", marks.select("_marks").scalar().alias("_marks"))
+    marks = F.array_distinct(F.percentile_approx(value, cuts, 4 * splitters)).alias("_marks")
+    if by:
+        hot = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_distinct")).where(F.col("_distinct") > crowded)
+        marked = counts.join(hot.select(*by), list(by), "left_semi").groupBy(*by).agg(marks)
+        joined = counts.join(marked, list(by), "left")
+    else:
+        joined = counts.withColumn("_marks", counts.agg(F.when(F.count(F.lit(1)) > crowded, marks)).scalar())
     # Number of marks below the value; marks are ascending.
-    bucket = F.coalesce(F.size(F.filter("_marks", lambda m: m < F.col(value))), F.lit(0))
-    return joined.withColumn("_bucket", F.when(F.col("_marks").isNull(), F.lit(0)).otherwise(bucket)).drop("_marks")
+    below = F.size(F.filter("_marks", lambda m: m < F.col(value)))
+    return joined.withColumn("_bucket", F.when(F.col("_marks").isNull(), F.lit(0)).otherwise(below)).drop("_marks")
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], value: str, splitters: int = SPLITTERS) -> DataFrame:
-    """One row per distinct (by, value): ``n`` rows, ``below`` rows smaller in the group."""
+def value_ranks(df: DataFrame, by: Sequence[str], value: str, splitters: int = SPLITTERS,
+                weight: str | None = None) -> DataFrame:
+    """One row per distinct (by, value): ``n`` rows, ``below`` rows smaller in the group.
+
+    The pre-aggregated counts are written once; every later step reads them
+    instead of running the input again.  ``weight`` says how many rows a row stands for.
+    """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(rows.alias("n")))
     bucketed = _bucket_values(counts, by, value, splitters)
     totals = bucketed.groupBy(*by, "_bucket").agg(F.sum("n").alias("_in_bucket"))
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -54,10 +65,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     by = list(by)
     ranked = value_ranks(df, by, value, splitters)
     sizes = ranked.groupBy(*by).agg(F.sum("n").alias("_size"))
-    if by:
-        ranked = ranked.join(sizes, by)
-    else:
-        ranked = ranked.withColumn("_size", sizes.scalar())
+    ranked = ranked.join(sizes, by) if by else ranked.withColumn("_size", sizes.scalar())
     aggs: list[Column] = []
     for name, p in probs.items():
         position = (F.col("_size") - 1).cast("double") * F.lit(float(p))
@@ -73,9 +81,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     return agg.select(*by, *cols)
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def average_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct (by, value) with the average rank ties share."""
-    return value_ranks(df, by, value).select(
+    return value_ranks(df, by, value, weight=weight).select(
         *by, value, (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
 
 

@@ -7,7 +7,7 @@ mergeable moments, so one partial aggregation serves every one of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,31 +28,22 @@ IDEAL |= {name: 1.0 for name in ("rMean", "rSD", "rCoV", "pearson_R", "pearson_R
                                  "spearman_R", "spearman_R2", "NSE", "KGE")}
 
 
-def moment_columns(pred: str | Column, obs: str | Column) -> list[Column]:
-    """Mergeable moments of the pairs where both sides exist."""
+def moment_columns(pred: str | Column, obs: str | Column, prefix: str = "") -> list[Column]:
+    """Mergeable moments of the pairs where both sides exist, named ``<prefix>n``, ``<prefix>mp``, ..."""
     both = col(pred).isNotNull() & col(obs).isNotNull()
     p = F.when(both, col(pred))
     o = F.when(both, col(obs))
     e = p - o
-    return [
-        F.count(e).alias("n"),
-        F.avg(p).alias("_mp"),
-        F.avg(o).alias("_mo"),
-        F.avg(e).alias("_me"),
-        F.avg(F.abs(e)).alias("_mae"),
-        F.avg(e * e).alias("_mse"),
-        F.stddev_pop(p).alias("_sp"),
-        F.stddev_pop(o).alias("_so"),
-        F.stddev_pop(e).alias("_se"),
-        F.covar_pop(p, o).alias("_cov"),
-    ]
-
-
-def scores_from_moments() -> dict[str, Column]:
+    moments = {"n": F.count(e), "mp": F.avg(p), "mo": F.avg(o), "me": F.avg(e), "mae": F.avg(F.abs(e)),
+               "mse": F.avg(e * e), "sp": F.stddev_pop(p), "so": F.stddev_pop(o), "se": F.stddev_pop(e),
+               "cov": F.covar_pop(p, o)}
+    return [c.alias(prefix + name) for name, c in moments.items()]
+
+
+def scores_from_moments(prefix: str = "") -> dict[str, Column]:
     """Every score as an expression over the moment columns."""
-    n, mp, mo, me = F.col("n"), F.col("_mp"), F.col("_mo"), F.col("_me")
-    mae, mse = F.col("_mae"), F.col("_mse")
-    sp, so, se, cov = F.col("_sp"), F.col("_so"), F.col("_se"), F.col("_cov")
+    n, mp, mo, me, mae, mse, sp, so, se, cov = (
+        F.col(prefix + m) for m in ("n", "mp", "mo", "me", "mae", "mse", "sp", "so", "se", "cov"))
     rmse = F.sqrt(mse)
     out: dict[str, Column] = {"BIAS": me, "MAE": mae, "MSE": mse, "RMSE": rmse}
     for name in ("BIAS", "MAE", "MSE", "RMSE"):
@@ -74,11 +65,8 @@ def scores_from_moments() -> dict[str, Column]:
     out["pearson_t"] = F.when(n > 2, t_statistic(r, n))
     out["pearson_dof"] = F.when(n > 2, (n - 2).cast("double"))
     out["NSE"] = F.lit(1.0) - safe_div(mse, so * so)
-    out["KGE"] = F.lit(1.0) - F.sqrt(
-        (r - 1) * (r - 1)
-        + (out["rSD"] - 1) * (out["rSD"] - 1)
-        + (out["rMean"] - 1) * (out["rMean"] - 1)
-    )
+    off = [r - 1, out["rSD"] - 1, out["rMean"] - 1]
+    out["KGE"] = F.lit(1.0) - F.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2])
     return out
 
 
@@ -87,14 +75,31 @@ def t_statistic(r: Column, n: Column) -> Column:
     return r * F.sqrt(safe_div((n - 2).cast("double"), F.lit(1.0) - r * r))
 
 
-def skill_columns(df: DataFrame, pred: str, obs: str, by: Iterable[str],
-                  skills: Iterable[str] = ALL_SKILLS) -> DataFrame:
-    """Wide skill table: one row per group, one column per score plus ``n``."""
+def _known(skills: Iterable[str]) -> list[str]:
     wanted = list(skills)
     unknown = set(wanted) - set(ALL_SKILLS)
     if unknown:
         raise ValueError(f"unknown skills {sorted(unknown)}")
-    by = list(by)
-    scores = scores_from_moments()
-    return (df.groupBy(*by).agg(*moment_columns(pred, obs))
-            .select(*by, "n", *[scores[s].alias(s) for s in wanted]))
+    return wanted
+
+
+def skill_columns(df: DataFrame, pred: str, obs: str, by: Iterable[str],
+                  skills: Iterable[str] = ALL_SKILLS) -> DataFrame:
+    """Wide skill table: one row per group, one column per score plus ``n``."""
+    wanted, by = _known(skills), list(by)
+    scores = scores_from_moments("_m_")
+    return (df.groupBy(*by).agg(*moment_columns(pred, obs, "_m_"))
+            .select(*by, F.col("_m_n").alias("n"), *[scores[s].alias(s) for s in wanted]))
+
+
+def skill_table(df: DataFrame, pairs: Mapping[str, tuple[str, str]], by: Iterable[str],
+                skills: Iterable[str] = ALL_SKILLS) -> DataFrame:
+    """Long skill table (<by>, variable, skill, value) of several variables {name: (pred, obs)} in one pass."""
+    wanted, by = _known(skills), list(by)
+    prefixes = {v: f"_m{i}_" for i, v in enumerate(pairs)}
+    moments = [m for v, (p, o) in pairs.items() for m in moment_columns(p, o, prefixes[v])]
+    entries = []
+    for v, prefix in prefixes.items():
+        scores = scores_from_moments(prefix)
+        entries += [F.struct(F.lit(v).alias("variable"), F.lit(s).alias("skill"), scores[s].alias("value")) for s in wanted]
+    return df.groupBy(*by).agg(*moments).select(*by, F.explode(F.array(*entries)).alias("_e")).select(*by, "_e.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TimeGroups, shift_hours, time_keys
@@ -39,16 +39,28 @@ def forecast_error(fcst: DataFrame, obs: DataFrame, variables: Sequence[str], fr
 
 
 def persistence_forecast(obs: DataFrame, leads: Sequence[int], variables: Sequence[str]) -> DataFrame:
-    """Value at t as forecast for t + lead, paired with the observation there.
+    """Value at t as forecast for t + lead (hours), paired with the observation there.
 
-    The lead list is fanned out in one explode; one shifted equi join serves
-    every lead.
+    Fanning every row out to its leads before the join would shuffle the table
+    once per lead.  Instead time is cut into chunks as long as the longest lead:
+    a row travels to the one or two chunks its valid times lie in, meets the
+    observations of that (node, chunk), and the lead follows from the pair.
     """
-    fcst = (obs.select("node", F.col("time").alias("frt"), *[F.col(v).alias(f"{v}_pred") for v in variables])
-            .withColumn("leadtime", F.explode(F.array(*[F.lit(int(h)) for h in leads])))
-            .withColumn("time", shift_hours("frt", F.col("leadtime"))))
-    truth = obs.select("node", "time", *[F.col(v).alias(f"{v}_obs") for v in variables])
-    return align(fcst, truth)
+    leads = sorted({int(h) for h in leads})
+    chunk = max(leads[-1], 1)
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+
+    def chunk_of(t: Column) -> Column:
+        return F.floor(F.timestamp_diff("HOUR", epoch, t) / chunk)
+
+    fcst = obs.select("node", F.col("time").alias("frt"), *[F.col(v).alias(f"{v}_pred") for v in variables])
+    fcst = fcst.withColumn("_chunk", F.explode(F.sequence(
+        chunk_of(shift_hours("frt", leads[0])), chunk_of(shift_hours("frt", leads[-1])))))
+    truth = obs.select("node", "time", chunk_of(F.col("time")).alias("_chunk"),
+                       *[F.col(v).alias(f"{v}_obs") for v in variables])
+    seconds = F.timestamp_diff("SECOND", F.col("frt"), F.col("time"))
+    pairs = fcst.join(truth, ["node", "_chunk"]).where(seconds.isin([3600 * h for h in leads]))
+    return pairs.withColumn("leadtime", (seconds / 3600).cast("int")).drop("_chunk")
 
 
 def climatology_forecast(times: DataFrame, clim: DataFrame, groups: TimeGroups, node: str = "node") -> DataFrame:

@@ -12,34 +12,32 @@ from ..functions import skill as sk
 from ..functions.columns import TimeGroups, safe_div, value_bin
 from ..functions.ranks import average_ranks, exact_quantiles
 from ..functions.special import t_pvalue
+from ..session import cut_lineage
 from . import align
 
 
 def deterministic(pairs: DataFrame, variables: Sequence[str], by: Sequence[str],
                   skills: Sequence[str] = sk.ALL_SKILLS) -> DataFrame:
-    """Long skill table (variable, <by>, skill, value) of aligned ``<v>_pred``/``<v>_obs`` pairs.
+    """Long skill table (<by>, variable, skill, value) of aligned ``<v>_pred``/``<v>_obs`` pairs.
 
-    One aggregation per variable list entry; all scores share its moments.
+    One aggregation for all variables and scores.
     """
-    parts = []
-    for v in variables:
-        wide = sk.skill_columns(pairs, f"{v}_pred", f"{v}_obs", by, skills)
-        parts.append(wide.drop("n").unpivot(list(by), list(skills), "skill", "value").withColumn("variable", F.lit(v)))
-    return reduce(DataFrame.unionByName, parts)
+    return sk.skill_table(pairs, {v: (f"{v}_pred", f"{v}_obs") for v in variables}, by, skills)
 
 
 def spearman(pairs: DataFrame, pred: str, obs: str, by: Sequence[str]) -> DataFrame:
     """Rank correlation (average ranks for ties), its square and t statistic.
 
-    Pairs are first collapsed to distinct (pred, obs) with a count; ranks come
-    from bucketed exact counting, so no group is ordered in one task.
+    Pairs are first collapsed to distinct (pred, obs) with a count, in one pass
+    over the input; ranks come from bucketed exact counting, so no group is
+    ordered in one task.
     """
     by = list(by)
-    distinct = (pairs.where(F.col(pred).isNotNull() & F.col(obs).isNotNull())
-                .groupBy(*by, F.col(pred).alias("_p"), F.col(obs).alias("_o")).agg(F.count(F.lit(1)).alias("_w")))
-    rows = pairs.where(F.col(pred).isNotNull() & F.col(obs).isNotNull())
-    rank_p = average_ranks(rows.select(*by, F.col(pred).alias("_p")), by, "_p").withColumnRenamed("rank", "_rp")
-    rank_o = average_ranks(rows.select(*by, F.col(obs).alias("_o")), by, "_o").withColumnRenamed("rank", "_ro")
+    distinct = cut_lineage(
+        pairs.where(F.col(pred).isNotNull() & F.col(obs).isNotNull())
+        .groupBy(*by, F.col(pred).alias("_p"), F.col(obs).alias("_o")).agg(F.count(F.lit(1)).alias("_w")))
+    rank_p = average_ranks(distinct, by, "_p", "_w").withColumnRenamed("rank", "_rp")
+    rank_o = average_ranks(distinct, by, "_o", "_w").withColumnRenamed("rank", "_ro")
     ranked = distinct.join(rank_p, [*by, "_p"]).join(rank_o, [*by, "_o"])
     w, rp, ro = F.col("_w"), F.col("_rp"), F.col("_ro")
     # Average ranks of n rows have mean (n+1)/2 on both sides; ranks are multiples
@@ -125,6 +123,7 @@ def benchmark(tables: Mapping[str, DataFrame], leads: Sequence[int], skill: str
 def skill_distribution(skills: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """Box statistics over nodes: quartiles and whiskers within 1.5 interquartile ranges."""
     by = list(by)
+    skills = cut_lineage(skills.select(*by, value))
     box = exact_quantiles(skills, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
@@ -156,9 +155,23 @@ def weighted_mse(pairs: DataFrame, nodes: DataFrame, variables: Sequence[str], s
         (F.col("_s") / weights["w"] / F.col("_batch") / F.lit(float(len(variables)))).alias("weighted_mse"))
 
 
-def ensemble_median(ens: DataFrame, variables: Sequence[str], keys: Sequence[str] = ("frt", "leadtime", "node")) -> DataFrame:
-    """Exact median over members; a group holds no more rows than the ensemble has members."""
-    return ens.groupBy(*keys).agg(*[F.median(v).alias(v) for v in variables])
+def ensemble_median(ens: DataFrame, variables: Sequence[str], keys: Sequence[str] = ("frt", "leadtime", "node"),
+                    members: Sequence[int] | None = None) -> DataFrame:
+    """Exact median over members.
+
+    With the member numbers given, members become plain columns (a codegen'd
+    hash aggregate that combines map-side) and the median is an expression over
+    them.  A group never holds more rows than the ensemble has members.
+    """
+    if members is None:
+        return ens.groupBy(*keys).agg(*[F.median(v).alias(v) for v in variables])
+    aggs = [F.max(F.when(F.col("member") == int(m), F.col(v))).alias(f"_{v}_{m}") for v in variables for m in members]
+    wide = ens.groupBy(*keys).agg(*aggs)
+    for v in variables:
+        wide = wide.withColumn(f"_{v}", F.array_sort(F.array_compact(F.array(*[F.col(f"_{v}_{m}") for m in members]))))
+    at = lambda v, i: F.get(F.col(f"_{v}"), i.cast("int"))
+    n = {v: F.size(f"_{v}") for v in variables}
+    return wide.select(*keys, *[((at(v, F.floor((n[v] - 1) / 2)) + at(v, F.floor(n[v] / 2))) / 2.0).alias(v) for v in variables])
 
 
 def shift_leadtime(df: DataFrame, hours: int, leadtime: str = "leadtime") -> DataFrame:

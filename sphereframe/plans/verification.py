@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import skill as sk
 from ..operators import align, hovmoller, scalers, verify
 from .registry import query
-from .views import LEADS, PERSISTENCE_LEADS, Tables, hours
+from .views import LEADS, MEMBERS, PERSISTENCE_LEADS, Tables, hours
 
 # SQL of the same moments and scores; `n` rows per group.
 SQL_MOMENTS = ("count(*) AS n, avg({p}) AS mp, avg({o}) AS mo, avg({p} - {o}) AS me, avg(abs({p} - {o})) AS mae, "
@@ -215,7 +215,7 @@ _MEDIAN = "(SELECT frt, leadtime, node, quantile_cont(z, 0.5) AS z FROM v_ens GR
                        f"o.node = m.node AND o.time = m.frt + {hours('m.leadtime')})",
                        "z_pred", "z_obs", "leadtime", sk.ALL_SKILLS))
 def ensemble_median(t: Tables):
-    median = verify.ensemble_median(t.ens, ["z"])
+    median = verify.ensemble_median(t.ens, ["z"], members=MEMBERS)
     pairs = align.forecast_error(median, t.obs, ["z"])
     return verify.deterministic(pairs, ["z"], ["leadtime"])
 
