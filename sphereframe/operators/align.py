@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TimeGroups, shift_hours, time_keys
+from ..functions.series import chunk_index
 
 
 def align(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("node", "time")) -> DataFrame:
@@ -23,9 +24,14 @@ def align_many(tables: Sequence[DataFrame], keys: Sequence[str] = ("node", "time
 
 def to_valid_time(fcst: DataFrame, frt: str = "frt", leadtime: str = "leadtime", keep_frt: bool = True) -> DataFrame:
     """Add ``time = frt + leadtime`` (hours).  Without ``keep_frt`` the reference time is
-    dropped; then the caller must have selected a single one."""
+    dropped, which is an error if there are several: valid times would repeat."""
     out = fcst.withColumn("time", shift_hours(frt, F.col(leadtime)))
-    return out if keep_frt else out.drop(frt)
+    if keep_frt:
+        return out
+    first, last = fcst.agg(F.min(frt), F.max(frt)).first()
+    if first != last:
+        raise ValueError("several reference times; keep them or select one")
+    return out.drop(frt)
 
 
 def forecast_error(fcst: DataFrame, obs: DataFrame, variables: Sequence[str], frt: str = "frt",
@@ -48,15 +54,10 @@ def persistence_forecast(obs: DataFrame, leads: Sequence[int], variables: Sequen
     """
     leads = sorted({int(h) for h in leads})
     chunk = max(leads[-1], 1)
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-
-    def chunk_of(t: Column) -> Column:
-        return F.floor(F.timestamp_diff("HOUR", epoch, t) / chunk)
-
     fcst = obs.select("node", F.col("time").alias("frt"), *[F.col(v).alias(f"{v}_pred") for v in variables])
     fcst = fcst.withColumn("_chunk", F.explode(F.sequence(
-        chunk_of(shift_hours("frt", leads[0])), chunk_of(shift_hours("frt", leads[-1])))))
-    truth = obs.select("node", "time", chunk_of(F.col("time")).alias("_chunk"),
+        chunk_index(shift_hours("frt", leads[0]), chunk), chunk_index(shift_hours("frt", leads[-1]), chunk))))
+    truth = obs.select("node", "time", chunk_index("time", chunk).alias("_chunk"),
                        *[F.col(v).alias(f"{v}_obs") for v in variables])
     seconds = F.timestamp_diff("SECOND", F.col("frt"), F.col("time"))
     pairs = fcst.join(truth, ["node", "_chunk"]).where(seconds.isin([3600 * h for h in leads]))

@@ -48,8 +48,14 @@ def select_common_vars(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("node"
 
 
 def merge_vars(tables: Sequence[DataFrame], keys: Sequence[str] = ("node", "time")) -> DataFrame:
-    """Combine tables of different variables on their coordinates, keeping every coordinate."""
-    return reduce(lambda a, b: a.join(b, list(keys), "full"), tables)
+    """Combine tables of different variables on their coordinates, keeping every coordinate.
+
+    Coordinates are unique per table, so a union and one aggregation do what a
+    chain of full outer joins would, with a single exchange.
+    """
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    variables = [c for c in stacked.columns if c not in keys]
+    return stacked.groupBy(*keys).agg(*[F.first(v, ignorenulls=True).alias(v) for v in variables])
 
 
 def one_hot(df: DataFrame, column: str, categories: Sequence, prefix: str | None = None) -> DataFrame:

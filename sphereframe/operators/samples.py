@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import shift_hours
 from ..functions.ranks import numbered_by_hash
+from ..functions.series import chunk_index, epoch_seconds
 from ..session import cut_lineage
 
 
@@ -23,15 +25,27 @@ def lag_name(variable: str, hours: int) -> str:
 def window_samples(df: DataFrame, variables: Sequence[str], offsets: Sequence[int]) -> DataFrame:
     """Values at ``time + offset`` hours side by side, for reference times with every offset present.
 
-    Each row is sent to the reference times it serves and one aggregation
-    gathers them: gap-safe, and one exchange however many offsets there are.
+    One exchange whatever the number of offsets: rows are ordered inside (node,
+    chunk of time) and each offset is a one-row RANGE frame behind the latest of
+    them, so gaps are respected.  Rows near the end of a chunk are copied to the
+    next one; chunks are long against the span, so few are.
     """
-    sent = df.select("node", "time", *variables).withColumn(
-        "_offset", F.explode(F.array(*[F.lit(int(h)) for h in offsets])))
-    sent = sent.withColumn("time", shift_hours("time", -F.col("_offset")))
-    aggs = [F.max(F.when(F.col("_offset") == h, F.col(v))).alias(lag_name(v, h)) for v in variables for h in offsets]
-    gathered = sent.groupBy("node", "time").agg(F.count(F.lit(1)).alias("_n"), *aggs)
-    return gathered.where(F.col("_n") == len(offsets)).drop("_n")
+    offsets = sorted({int(h) for h in offsets})
+    anchor, span = offsets[-1], offsets[-1] - offsets[0]
+    chunk = max(30 * 24, 8 * span)
+    rows = df.select("node", "time", *variables).withColumn("_chunk", F.explode(F.sequence(
+        chunk_index("time", chunk), chunk_index(shift_hours("time", span), chunk))))
+    order = W.partitionBy("node", "_chunk").orderBy("_t")
+    values, present = {}, F.lit(True)
+    for h in offsets:
+        back = 3600 * (h - anchor)
+        frame = order.rangeBetween(back, back)
+        present = present & (F.count(F.lit(1)).over(frame) > 0)
+        values |= {lag_name(v, h): F.max(v).over(frame) for v in variables}
+    rows = rows.withColumn("_t", epoch_seconds("time")).withColumns(values | {"_all": present})
+    own = F.col("_chunk") == chunk_index("time", chunk)
+    return rows.where(own & F.col("_all")).select(
+        "node", shift_hours("time", -anchor).alias("time"), *[lag_name(v, h) for v in variables for h in offsets])
 
 
 def lag_features(df: DataFrame, variables: Sequence[str], input_k: Sequence[int], step_hours: int = 1,

@@ -80,7 +80,7 @@ class Tables:
         li = self.table("lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_shipdate").alias("time"),
                                            "l_quantity", "l_extendedprice", "l_discount")
         return li.groupBy("node", "time").agg(exact_avg("l_quantity").alias("qty"),
-                                              exact_avg("l_extendedprice").alias("price"),
+                                              (F.floor(exact_avg("l_extendedprice") / 64.0).cast("double") / 64.0).alias("price"),
                                               exact_avg("l_discount", 64).alias("disc"))
 
     @cached_property
@@ -232,7 +232,7 @@ SQL_VIEWS: dict[str, str] = {
     "v_lev": "SELECT user_id AS node, ts AS time, event_type AS var, CASE event_id % 3 WHEN 0 THEN 50000 "
              "WHEN 1 THEN 85000 ELSE 100000 END AS plev, value FROM events",
     "v_clim": f"SELECT l_suppkey AS node, l_shipdate AS time, {_cents('l_quantity')} AS qty, "
-              f"{_cents('l_extendedprice')} AS price, {_cents('l_discount', 64)} AS disc FROM lineitem GROUP BY 1, 2",
+              f"floor(({_cents('l_extendedprice')}) / 64.0::DOUBLE) / 64.0::DOUBLE AS price, {_cents('l_discount', 64)} AS disc FROM lineitem GROUP BY 1, 2",
     "v_static": "SELECT s_suppkey AS node, s_nationkey AS slt, s_acctbal AS orog_raw FROM supplier",
     "v_nodes": "SELECT node, lat, lon, floor(cos(radians(lat)) * 1024.0::DOUBLE) / 1024.0::DOUBLE AS area FROM (SELECT DISTINCT user_id AS node, "
                "(user_id * 37) % 180 - 89.5::DOUBLE AS lat, CAST((user_id * 53) % 360 AS DOUBLE) AS lon FROM events)",

@@ -148,3 +148,38 @@ def test_align_many_of_equal_keys_shuffles_each_input_once(spark):
         assert plan.count("Exchange hashpartitioning") == 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_valid_time_needs_one_reference_time_to_drop_it(tables):
+    with pytest.raises(ValueError):
+        align.to_valid_time(tables.fcst, keep_frt=False)
+    one = tables.fcst.where(F.col("frt") == tables.fcst.agg(F.min("frt")).scalar())
+    assert "frt" not in align.to_valid_time(one, keep_frt=False).columns
+
+
+def test_merge_vars_keeps_every_coordinate(spark):
+    a = spark.createDataFrame([(1, 1, 5.0), (2, 1, None)], "node long, time long, a double")
+    b = spark.createDataFrame([(2, 1, 7.0), (3, 1, 8.0)], "node long, time long, b double")
+    got = {tuple(r) for r in reshape.merge_vars([a, b]).collect()}
+    assert got == {(1, 1, 5.0, None), (2, 1, None, 7.0), (3, 1, None, 8.0)}
+
+
+def test_persistence_spans_several_chunks_and_odd_leads(spark):
+    t0 = dt.datetime(1969, 12, 20)
+    hours = [0, 1, 5, 7, 30, 31, 200, 207, 500]
+    df = spark.createDataFrame([(1, t0 + dt.timedelta(hours=h), float(h)) for h in hours] + [(2, t0, 1.0)],
+                               "node long, time timestamp_ntz, z double")
+    leads = [1, 7, 24, 207]
+    got = {(r["z_pred"], r["leadtime"], r["z_obs"]) for r in align.persistence_forecast(df, leads, ["z"]).collect()}
+    assert got == {(float(a), b - a, float(b)) for a in hours for b in hours if b - a in leads}
+
+
+def test_window_samples_across_chunks(spark):
+    t0 = dt.datetime(1970, 1, 29)
+    hours = list(range(0, 24 * 10, 6))
+    hours.remove(60)
+    df = spark.createDataFrame([(1, t0 + dt.timedelta(hours=h), float(h)) for h in hours], "node long, time timestamp_ntz, z double")
+    got = {r["time"]: (r["z_m6"], r["z_p0"], r["z_p12"]) for r in samples.window_samples(df, ["z"], [-6, 0, 12]).collect()}
+    want = {t0 + dt.timedelta(hours=h): (h - 6.0, float(h), h + 12.0)
+            for h in range(-50, 400) if {h - 6, h, h + 12} <= set(hours)}
+    assert got == want
