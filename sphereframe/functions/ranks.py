@@ -41,7 +41,7 @@ def _bucket_values(counts: DataFrame, by: Sequence[str], value: str, splitters:
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str, splitters: int = SPLITTERS,
                 weight: str | None = None) -> DataFrame:
-    """One row per distinct (by, value): ``n`` rows, ``below`` rows smaller in the group.
+    """One row per distinct (by, value): ``n`` rows, ``below`` rows smaller in the group, group ``size``.
 
     The pre-aggregated counts are written once; every later step reads them
     instead of running the input again.  ``weight`` says how many rows a row stands for.
@@ -51,12 +51,13 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str, splitters: int = S
     counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(rows.alias("n")))
     bucketed = _bucket_values(counts, by, value, splitters)
     totals = bucketed.groupBy(*by, "_bucket").agg(F.sum("n").alias("_in_bucket"))
+    # One row per bucket: at most `splitters` rows of a group reach these windows.
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_bucket", F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias("_offset"))
+    offsets = totals.select(*by, "_bucket", F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias("_offset"),
+                            F.sum("_in_bucket").over(W.partitionBy(*by)).alias("size"))
     inside = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (bucketed.join(offsets, [*by, "_bucket"])
-            .select(*by, value, "n",
-                    (F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below")))
+    below = F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return bucketed.join(offsets, [*by, "_bucket"]).select(*by, value, "n", below.alias("below"), "size")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
@@ -64,18 +65,16 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     """Linear-interpolation quantiles per group, one output column per entry of ``probs``."""
     by = list(by)
     ranked = value_ranks(df, by, value, splitters)
-    sizes = ranked.groupBy(*by).agg(F.sum("n").alias("_size"))
-    ranked = ranked.join(sizes, by) if by else ranked.withColumn("_size", sizes.scalar())
     aggs: list[Column] = []
     for name, p in probs.items():
-        position = (F.col("_size") - 1).cast("double") * F.lit(float(p))
+        position = (F.col("size") - 1).cast("double") * F.lit(float(p))
         for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
             aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
-    agg = ranked.groupBy(*by).agg(F.max("_size").alias("_size"), *aggs)
+    agg = ranked.groupBy(*by).agg(F.max("size").alias("size"), *aggs)
     cols = []
     for name, p in probs.items():
-        position = (F.col("_size") - 1).cast("double") * F.lit(float(p))
+        position = (F.col("size") - 1).cast("double") * F.lit(float(p))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         cols.append((lo + (hi - lo) * (position - F.floor(position))).alias(name))
     return agg.select(*by, *cols)

@@ -331,7 +331,8 @@ def chebyshev_basis(lap: DataFrame, field: DataFrame, values: Sequence[str], ord
     matrix = _matrix(cut_lineage(lap) if order > 2 else lap)
     terms = [field.select("node", *keys, *values)]
     if order > 1:
-        terms.append(spmm(matrix, terms[0], values, keys))
+        first = spmm(matrix, terms[0], values, keys)
+        terms.append(cut_lineage(first) if order > 2 else first)
     for _ in range(2, order):
         ahead = spmm(matrix, terms[-1], values, keys)
         before = terms[-2].select("node", *keys, *[F.col(v).alias(f"_b_{v}") for v in values])
@@ -354,7 +355,10 @@ def apply_mixing(basis: DataFrame, weights: DataFrame, values: Sequence[str], ke
 
 
 def reach(edges: DataFrame, hops: int) -> DataFrame:
-    """One row: node pairs (a node reaches itself) within ``hops`` steps and their share of all pairs."""
+    """One row: node pairs (a node reaches itself) within ``hops`` steps and their share of all pairs.
+
+    The work follows the number of pairs reached, which is what is counted.
+    """
     nodes = edges.select("i").unionByName(edges.select(F.col("j").alias("i"))).distinct()
     n = nodes.agg(F.count(F.lit(1))).scalar()
     loops = nodes.select("i", F.col("i").alias("j"))

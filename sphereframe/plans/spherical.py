@@ -178,7 +178,7 @@ def parent_map_grid(t: Tables):
 
 @query("D10", "SELECT dst, src, w FROM v_w")
 def overlap_weights(t: Tables):
-    return t.weights
+    return remap.overlap_weights(t.src, t.dst)
 
 
 @query("K1", "SELECT dst, src, w FROM v_pool")

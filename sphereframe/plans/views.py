@@ -1,7 +1,7 @@
 """Weather-shaped views over the given tables, for Spark and for SQL.
 
 Averages are taken over exact integer hundredths and then cut to a binary
-fraction (1/4 or 1/64), so sums over them are exact and no result depends
+fraction (1/4, 1/8 or 1/16), so sums over them are exact and no result depends
 on the order in which an engine adds.
 """
 
@@ -27,10 +27,10 @@ def cents(c: str) -> Column:
     return F.round(F.col(c) * 100.0).cast("long")
 
 
-def exact_avg(c: str, grain: int = 4) -> Column:
-    """Average of a two-decimal column by integer arithmetic, cut to multiples of ``1/grain``."""
+def exact_avg(c: str, scale: float = 4.0, grain: float = 4.0) -> Column:
+    """Average of a two-decimal column by integer arithmetic, in units of ``grain / scale`` cut to multiples of ``1 / grain``."""
     mean = F.sum(cents(c)).cast("double") / (F.lit(100.0) * F.count(F.lit(1)).cast("double"))
-    return F.floor(mean * float(grain)).cast("double") / F.lit(float(grain))
+    return F.floor(mean * F.lit(scale)).cast("double") / F.lit(grain)
 
 
 NEIGHBOURS = 20
@@ -76,12 +76,12 @@ class Tables:
 
     @cached_property
     def clim(self) -> DataFrame:
-        """(node, time, qty, price, disc): seven years of daily fields."""
+        """(node, time, qty, price, disc): seven years of daily fields (price in 4096, disc in percent)."""
         li = self.table("lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_shipdate").alias("time"),
                                            "l_quantity", "l_extendedprice", "l_discount")
         return li.groupBy("node", "time").agg(exact_avg("l_quantity").alias("qty"),
-                                              (F.floor(exact_avg("l_extendedprice") / 64.0).cast("double") / 64.0).alias("price"),
-                                              exact_avg("l_discount", 64).alias("disc"))
+                                              exact_avg("l_extendedprice", 16 / 4096, 16.0).alias("price"),
+                                              exact_avg("l_discount", 1600.0, 16.0).alias("disc"))
 
     @cached_property
     def static(self) -> DataFrame:
@@ -144,8 +144,8 @@ class Tables:
 
     @cached_property
     def weights(self) -> DataFrame:
-        """Overlap areas between the customer grid and its 3/5 coarsening."""
-        return remap.overlap_weights(self.src, self.dst)
+        """Overlap areas between the customer grid and its 3/5 coarsening, written once for every use."""
+        return cut_lineage(remap.overlap_weights(self.src, self.dst))
 
     @cached_property
     def field(self) -> DataFrame:
@@ -189,9 +189,9 @@ class Tables:
         return graphs.laplacian(self.edges, "normalized")
 
 
-def _cents(c: str, grain: int = 4) -> str:
+def _cents(c: str, scale: float = 4.0, grain: float = 4.0) -> str:
     mean = f"CAST(sum(CAST(round({c} * 100.0) AS BIGINT)) AS DOUBLE) / (100.0::DOUBLE * count(*))"
-    return f"floor({mean} * {grain}.0::DOUBLE) / {grain}.0::DOUBLE"
+    return f"floor({mean} * {scale!r}::DOUBLE) / {grain!r}::DOUBLE"
 
 
 def hours(n: str) -> str:
@@ -232,7 +232,7 @@ SQL_VIEWS: dict[str, str] = {
     "v_lev": "SELECT user_id AS node, ts AS time, event_type AS var, CASE event_id % 3 WHEN 0 THEN 50000 "
              "WHEN 1 THEN 85000 ELSE 100000 END AS plev, value FROM events",
     "v_clim": f"SELECT l_suppkey AS node, l_shipdate AS time, {_cents('l_quantity')} AS qty, "
-              f"floor(({_cents('l_extendedprice')}) / 64.0::DOUBLE) / 64.0::DOUBLE AS price, {_cents('l_discount', 64)} AS disc FROM lineitem GROUP BY 1, 2",
+              f"{_cents('l_extendedprice', 16 / 4096, 16.0)} AS price, {_cents('l_discount', 1600.0, 16.0)} AS disc FROM lineitem GROUP BY 1, 2",
     "v_static": "SELECT s_suppkey AS node, s_nationkey AS slt, s_acctbal AS orog_raw FROM supplier",
     "v_nodes": "SELECT node, lat, lon, floor(cos(radians(lat)) * 1024.0::DOUBLE) / 1024.0::DOUBLE AS area FROM (SELECT DISTINCT user_id AS node, "
                "(user_id * 37) % 180 - 89.5::DOUBLE AS lat, CAST((user_id * 53) % 360 AS DOUBLE) AS lon FROM events)",
