@@ -57,7 +57,7 @@ def _distinct_places(nodes: DataFrame, keep: int) -> DataFrame:
         F.col("ids")[0].alias("place"), "x", "y", "z", "ids", F.size("ids").alias("m"))
 
 
-def knn_graph(nodes: DataFrame, k: int, leaf_size: int = 64) -> DataFrame:
+def knn_graph(nodes: DataFrame, k: int, leaf_size: int = 32) -> DataFrame:
     """Exact k nearest neighbours by chord distance: (i, j, d, rank), ties to the smaller id.
 
     ``nodes`` is (node, x, y, z) on the unit sphere, however unevenly spread.
@@ -101,7 +101,9 @@ def knn_graph(nodes: DataFrame, k: int, leaf_size: int = 64) -> DataFrame:
     # at most one step, and matter only if they are leaves themselves.
     bound = F.when(total >= need, _side(F.col("home")) * math.sqrt(3.0) * (1 + 1e-9)).otherwise(F.lit(4.0))
     shallowest = leaves.agg(F.min("leaf_level")).scalar()
-    near = own.select("place", "x", "y", "z", "home", bound.alias("bound")).withColumn(
+    # A place fans out to hundreds of cubes: spread places over all tasks first.
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = own.repartition(tasks, "place").select("place", "x", "y", "z", "home", bound.alias("bound")).withColumn(
         "level", F.explode(F.sequence(F.least(shallowest, F.col("home")), F.col("home"))))
     at_home = F.col("level") == F.col("home")
     near = near.withColumn("role", F.when(at_home, 0).otherwise(1))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import time_keys
 from ..operators import align as ops
 from ..operators import scalers
 from .registry import query

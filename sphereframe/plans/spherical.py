@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs, grids, remap
 from .registry import query
-from .views import Tables, _overlap, cell_area_sql
+from .views import Tables, _overlap
 
 
 def _power_of_two(t: Tables) -> int:
