@@ -9,14 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def epoch_seconds(t: str | Column) -> Column:
-    """Seconds since 1970 of a TIMESTAMP_NTZ."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(t) if isinstance(t, str) else t)
+HOUR_US = 3_600_000_000
+
+
+def epoch_micros(t: str | Column) -> Column:
+    """Microseconds since 1970 of a TIMESTAMP_NTZ."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(t) if isinstance(t, str) else t)
 
 
 def chunk_index(t: str | Column, hours: int) -> Column:
     """Number of the ``hours``-long stretch of time a time stamp lies in; never decreases with time."""
-    return F.floor(epoch_seconds(t) / (3600 * hours))
+    return F.floor(epoch_micros(t) / (HOUR_US * hours))
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], time: str, carry: Sequence[str],

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TimeGroups, shift_hours, time_keys
-from ..functions.series import chunk_index
+from ..functions.series import HOUR_US, chunk_index, epoch_micros
 
 
 def align(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("node", "time")) -> DataFrame:
@@ -50,18 +51,23 @@ def persistence_forecast(obs: DataFrame, leads: Sequence[int], variables: Sequen
     Fanning every row out to its leads before the join would shuffle the table
     once per lead.  Instead time is cut into chunks as long as the longest lead:
     a row travels to the one or two chunks its valid times lie in, meets the
-    observations of that (node, chunk), and the lead follows from the pair.
+    observations of that (node, chunk), and the lead follows from the pair.  All
+    leads are multiples of their greatest common divisor, so the remainder of the
+    clock joins the key: finer series than the leads meet only rows that fit.
     """
     leads = sorted({int(h) for h in leads})
     chunk = max(leads[-1], 1)
+    remainder = HOUR_US * max(gcd(*leads), 1)
     fcst = obs.select("node", F.col("time").alias("frt"), *[F.col(v).alias(f"{v}_pred") for v in variables])
     fcst = fcst.withColumn("_chunk", F.explode(F.sequence(
         chunk_index(shift_hours("frt", leads[0]), chunk), chunk_index(shift_hours("frt", leads[-1]), chunk))))
+    fcst = fcst.withColumn("_rest", F.pmod(epoch_micros("frt"), F.lit(remainder)))
     truth = obs.select("node", "time", chunk_index("time", chunk).alias("_chunk"),
+                       F.pmod(epoch_micros("time"), F.lit(remainder)).alias("_rest"),
                        *[F.col(v).alias(f"{v}_obs") for v in variables])
-    seconds = F.timestamp_diff("SECOND", F.col("frt"), F.col("time"))
-    pairs = fcst.join(truth, ["node", "_chunk"]).where(seconds.isin([3600 * h for h in leads]))
-    return pairs.withColumn("leadtime", (seconds / 3600).cast("int")).drop("_chunk")
+    apart = epoch_micros("time") - epoch_micros("frt")
+    pairs = fcst.join(truth, ["node", "_chunk", "_rest"]).where(apart.isin([HOUR_US * h for h in leads]))
+    return pairs.withColumn("leadtime", (apart / HOUR_US).cast("int")).drop("_chunk", "_rest")
 
 
 def climatology_forecast(times: DataFrame, clim: DataFrame, groups: TimeGroups, node: str = "node") -> DataFrame:

@@ -9,18 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TimeGroups
-from ..functions.series import with_previous
+from ..functions.series import HOUR_US, epoch_micros, with_previous
 from .scalers import anomaly_transform
 
 
-def _hours_between(a: str, b: str):
-    return F.timestamp_diff("HOUR", F.col(a), F.col(b))
-
-
 def missing_timesteps(df: DataFrame, step_hours: int, node: str = "node", time: str = "time") -> DataFrame:
     """Gaps of a regular series: last step before, first step after, steps missing between."""
     prev = with_previous(df.select(node, time), [node], time, [time])
-    gap = _hours_between(f"prev_{time}", time)
+    gap = (epoch_micros(time) - epoch_micros(f"prev_{time}")) / HOUR_US
     return (prev.where(gap > step_hours)
             .select(node, F.col(f"prev_{time}").alias("gap_start"), F.col(time).alias("gap_end"),
                     (F.floor(gap / step_hours) - 1).cast("long").alias("missing")))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import shift_hours
 from ..functions.ranks import numbered_by_hash
-from ..functions.series import chunk_index, epoch_seconds
+from ..functions.series import HOUR_US, chunk_index, epoch_micros
 from ..session import cut_lineage
 
 
@@ -38,11 +38,11 @@ def window_samples(df: DataFrame, variables: Sequence[str], offsets: Sequence[in
     order = W.partitionBy("node", "_chunk").orderBy("_t")
     values, present = {}, F.lit(True)
     for h in offsets:
-        back = 3600 * (h - anchor)
+        back = HOUR_US * (h - anchor)
         frame = order.rangeBetween(back, back)
         present = present & (F.count(F.lit(1)).over(frame) > 0)
         values |= {lag_name(v, h): F.max(v).over(frame) for v in variables}
-    rows = rows.withColumn("_t", epoch_seconds("time")).withColumns(values | {"_all": present})
+    rows = rows.withColumn("_t", epoch_micros("time")).withColumns(values | {"_all": present})
     own = F.col("_chunk") == chunk_index("time", chunk)
     return rows.where(own & F.col("_all")).select(
         "node", shift_hours("time", -anchor).alias("time"), *[lag_name(v, h) for v in variables for h in offsets])

@@ -183,3 +183,13 @@ def test_window_samples_across_chunks(spark):
     want = {t0 + dt.timedelta(hours=h): (h - 6.0, float(h), h + 12.0)
             for h in range(-50, 400) if {h - 6, h, h + 12} <= set(hours)}
     assert got == want
+
+
+def test_half_seconds_do_not_meet_whole_seconds(spark):
+    t0 = dt.datetime(1969, 12, 31, 22, 59, 59, 500000)
+    hour = dt.timedelta(hours=1)
+    df = spark.createDataFrame([(1, t0, 1.0), (1, t0 + hour, 2.0), (1, t0 + hour + dt.timedelta(microseconds=300000), 3.0)],
+                               "node long, time timestamp_ntz, z double")
+    got = [(r["z_pred"], r["z_obs"]) for r in align.persistence_forecast(df, [1, 2], ["z"]).collect()]
+    assert got == [(1.0, 2.0)]
+    assert [r["z_m1"] for r in samples.window_samples(df, ["z"], [-1, 0]).collect()] == [1.0]
