@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = Path(__file__).resolve().parents[2]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package: needed only where it is neither installed nor on their path."""
+    known = {str(Path(p).resolve()) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if str(ROOT) in known or "site-packages" in str(ROOT):
+        return
+    name = Path(__file__).resolve().parents[1].name
+    if not any(name in f for f in spark.sparkContext.listFiles):
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", ROOT, name)
+        spark.sparkContext.addPyFile(archive)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -56,6 +73,7 @@ def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
 
 def map_texts(df: DataFrame, schema: str, work: Callable[[list, list], dict], *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Run ``work(ids, texts) -> {column: values}`` over Arrow batches; null texts arrive as empty strings."""
+    ship_package(df.sparkSession)
     out = df.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     target = pa_schema(schema)
 
