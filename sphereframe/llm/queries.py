@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, secrets, toxicity
+from . import bpe, exact_dedup, langid, packing, quality, secrets, toxicity
 from .common import documents, fold, held_out, table
 
 
@@ -21,6 +21,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(documents(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rated = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), fold("_id", 3) != 1))
+    return rated.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.predict(docs, langid.fit(docs, fold("_id", 3) != 1))
@@ -41,5 +47,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op6_langid, op7_byte_bpe, op8_packing, op9_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_quality, op6_langid, op7_byte_bpe, op8_packing, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL}
