@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, map_texts, ship_package
 
 BITS = 12  # buckets of hashed runs
-ROWS = 4000  # bound of the training sample
+ROWS = 2400  # bound of the training sample
 
 
 @dataclass(frozen=True)

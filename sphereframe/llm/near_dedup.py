@@ -34,8 +34,8 @@ class Forest:
 
     trees: int = 16
     levels: tuple[int, ...] = (2, 3, 4, 6, 8)
-    crowd: int = 24  # classes in a region beyond which it is followed to the next depth
-    companions: int = 4  # size of the groups compared in a region crowded at full depth
+    crowd: int = 32  # classes in a region beyond which it is followed to the next depth
+    companions: int = 6  # size of the groups compared in a region crowded at full depth
 
     @property
     def values(self) -> int:
@@ -123,12 +123,16 @@ def prefixes(classes: DataFrame, forest: Forest) -> DataFrame:
     return classes.select("id", "n", "sig").mapInArrow(run, "id long, n long, tree int, " + ", ".join(f"{k} long" for k in names))
 
 
-def candidates(classes: DataFrame, forest: Forest, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that meet in a region of some tree and whose sizes allow the wanted similarity."""
+def candidates(classes: DataFrame, forest: Forest, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, that meet in a region of some tree and whose sizes allow the wanted similarity.
+
+    Also (id, n, region) of the classes in regions that are crowded at the least depth, for `hub_pairs`.
+    """
     first, last = f"k{forest.levels[0]}", f"k{forest.levels[-1]}"
     rows = prefixes(classes, forest)
     count = lambda r, k: r.groupBy(k).agg(F.count(F.lit(1)).alias(f"c_{k}"))
     rows = written(rows.join(count(rows, first).filter(f"c_{first} > 1"), first), "regions")  # who shares not even the shortest prefix has no candidate
+    wide = rows.filter(F.col(f"c_{first}") > forest.crowd).select("id", "n", F.col(first).alias("region"))
     region, size = F.col(first), F.col(f"c_{first}")
     for level in forest.levels[1:]:
         k = f"k{level}"
@@ -146,7 +150,23 @@ def candidates(classes: DataFrame, forest: Forest, percent: int) -> DataFrame:
     within = left.join(right, ["region", "group"]).filter((F.col("a") < F.col("b")) & fits).select("a", "b")
     leaders = crowded.groupBy("region").agg(F.min(F.struct("id", "n")).alias("m")).select("region", F.col("m.id").alias("a"), F.col("m.n").alias("na"))
     led = crowded.select("region", F.col("id").alias("b"), F.col("n").alias("nb")).join(leaders, "region").filter((F.col("a") < F.col("b")) & fits).select("a", "b")
-    return within.unionByName(led).distinct()
+    return within.unionByName(led).distinct(), wide
+
+
+def hub_pairs(wide: DataFrame, pairs: DataFrame, joined: DataFrame, percent: int, hubs: int = 16) -> DataFrame:
+    """Pairs of classes in crowded regions with the hubs of these regions, unless they are connected already.
+
+    In a large family most members are closest to those near its origin, and a member may have no other link.  A class's agreement summed over its
+    candidates tells how central it is; each region has ``hubs`` hubs, the most central class of each of as many parts.
+    """
+    ends = pairs.select(F.col("a").alias("id"), "agree").unionByName(pairs.select(F.col("b").alias("id"), "agree"))
+    central = ends.groupBy("id").agg(F.sum("agree").alias("score"))
+    known = wide.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    best = (known.join(central, "id").groupBy("region", F.pmod(F.xxhash64("id"), F.lit(hubs)).alias("part")).agg(F.max(F.struct("score", "id", "n", "component")).alias("h"))
+            .select("region", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.component").alias("hc")))
+    fits = (F.col("n") * percent <= F.col("hn") * 100) & (F.col("hn") * percent <= F.col("n") * 100)
+    met = known.withColumnRenamed("region", "_r").join(best, (F.col("_r") == F.col("region")) & (F.col("component") != F.col("hc")) & fits)
+    return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, forest: Forest, percent: int) -> DataFrame:
@@ -223,10 +243,11 @@ def near_duplicates(df: DataFrame, *, width: int = 4, percent: int = 80, forest:
     least = named.groupBy("set").agg(F.min("doc_id").alias("id"))
     classes = written(named.join(least.select("set", F.col("id").alias("doc_id")), ["set", "doc_id"], "left_semi").groupBy("set", "doc_id", "n_shingles").agg(F.first("sig").alias("sig"))
                       .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "set", "sig"), "classes")
-    pairs = written(estimated(candidates(classes, forest, percent), classes, forest, percent), "pairs")
+    met, wide = candidates(classes, forest, percent)
+    pairs = written(estimated(met, classes, forest, percent), "pairs")
 
     # full sets of the classes with candidates; ids are broadcast where their count is small
-    ends = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
+    ends = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).unionByName(wide.select(F.col("id").alias("_id"))).distinct()
     ends = written(ends, "ends")
     wanted = F.broadcast(ends) if ends.count() <= 200_000 else ends
     texts = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(wanted, "_id", "left_semi")
@@ -237,10 +258,11 @@ def near_duplicates(df: DataFrame, *, width: int = 4, percent: int = 80, forest:
     links = written(confirmed(first, sets, percent), "links")
     joined = components(links)
     joined = written(joined, "joined")
+    hubs = estimated(hub_pairs(wide, pairs, joined, percent), classes, forest, percent).select("a", "b")
     of = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     open_ = (pairs.join(first.withColumn("_done", F.lit(True)), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
              .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    more = confirmed(open_, sets, percent)
+    more = confirmed(open_.unionByName(hubs).distinct(), sets, percent)
     whole = written(components(links.unionByName(more)), "components")
 
     members = docs.join(least, "set", "left").join(whole, "id", "left")
