@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import ann, bpe, exact_dedup, langid, licenses, near_dedup, packing, quality, secrets, toxicity
 from .common import documents, fold, held_out, table
 
@@ -59,5 +61,9 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_quality, op4_licenses, op5_near_dedup, op6_langid, op7_byte_bpe, op8_packing, op9_toxicity, op10_ann)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_quality, op4_licenses, op5_near_dedup, op6_langid, op7_byte_bpe, op8_packing, op9_toxicity, op10_ann, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op4_licenses": licenses.sql()}
