@@ -21,7 +21,7 @@ from .common import bounded_sample, map_texts, ship_package
 
 GRAM, BITS = 5, 20
 TOXIC_ROWS, OTHER_ROWS = 4000, 8000  # bounds of the training sample
-FEATURES = 512
+FEATURES = 192
 NAMES = [f"{part}{k}" for k in (0, 1) for part in "nsq"]
 
 
@@ -106,7 +106,7 @@ def fit(df: DataFrame, labels: DataFrame, usable: Column, *, prior: float | None
     prior = min(max(prior if prior is not None else (known or 0.1), 0.005), 0.9)
     m0, m1 = F.col("s0") / n0, F.col("s1") / n1
     apart = (m1 - m0) / F.sqrt((F.col("q0") / n0 - m0 * m0 + 25) / n0 + (F.col("q1") / n1 - m1 * m1 + 25) / n1)
-    best = sums.filter((F.col("at") < size) & (F.col("n1") >= min(4, n1)) & (m1 > m0)).orderBy(apart.desc(), "at").limit(features).collect()
+    best = sums.filter((F.col("at") < size) & (F.col("n1") >= min(4, n1)) & (m1 > m0)).orderBy(apart.desc(), "at").limit(min(features, max(32, 2 * n1))).collect()  # fewer than confirmed rows can tell apart
     slot = np.full(size, -1, np.int16)
     slot[[r["at"] for r in best]] = np.arange(len(best))
     width = max(1, len(best))
@@ -120,15 +120,18 @@ def fit(df: DataFrame, labels: DataFrame, usable: Column, *, prior: float | None
     x = np.stack([np.frombuffer(r["found"], np.float32) for r in rows])
     toxic = np.array([r["toxic"] for r in rows])
     order = np.array(sorted(range(len(rows)), key=lambda i: (toxic[i], bytes(rows[i]["found"]))))  # whatever the order in which rows arrive
-    w, b = learn(x[order][toxic[order] == 1], x[order][toxic[order] == 0], prior)
+    w, b = learn(x[order][toxic[order] == 1], x[order][toxic[order] == 0], prior, decay=min(0.02, max(1e-3, 1.0 / n1)))
     return Model(slot, w, b)
 
 
 def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear classifier under the non-negative risk, by Adam on the full sample."""
+    """Weights and bias of the linear classifier under the non-negative risk, by Adam on the full sample.
+
+    The correction makes steps jump back and forth near the end, so steps shrink and the second half of the path is averaged.
+    """
     w = np.zeros(positive.shape[1] + 1, np.float64)
     w[-1] = np.log(prior / (1 - prior)) - 1
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    m, v, mean = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
 
     def sigmoid(z):
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -143,8 +146,10 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps:
         d_positive = prior * back(positive, -sigmoid(-gp) / len(gp))
         grad = (d_positive + d_negative if negative_risk >= 0 else -d_negative) + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    return w[:-1], float(w[-1])
+        w -= rate / (1 + 4 * t / steps) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        if 2 * t > steps:
+            mean += w / (steps - steps // 2)
+    return mean[:-1], float(mean[-1])
 
 
 def score(df: DataFrame, model: Model, *, text: str = "text", key: str = "doc_id") -> DataFrame:
