@@ -140,11 +140,14 @@ def search(df: DataFrame, is_query, *, k: int = 10, spec: Tables | None = None,
     found = written(_met(asked.select(*by, "vec_id", "v"), rows.select(*by, "vec_id", "v"), by, dim, k).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "found")
     enough = found.groupBy("query_id").count().filter(F.col("count") >= k)
     asked_all = vectors.filter(is_query).select("vec_id").distinct().count()
+    short = enough.count() < asked_all
     plain = _filed(vectors, dim, Tables(tables=1, seed=spec.seed), 1).select("vec_id", "v")
-    few = plain.filter(is_query).join(enough.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    parts = max(1, -(-count // spec.block))
-    few = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    rest = _met(few, plain.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts).cast("long"))), ["block"], dim, k) if enough.count() < asked_all else None
-    whole = found if rest is None else found.unionByName(rest).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    whole = found
+    if short:
+        few = plain.filter(is_query).join(enough.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+        parts = max(1, -(-count // spec.block))
+        few = written(few, "few").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        rest = _met(few, plain.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts).cast("long"))), ["block"], dim, k)
+        whole = found.unionByName(rest).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")  # a query's rows: at most k for each block it probes
     return whole.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

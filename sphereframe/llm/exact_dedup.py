@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -63,13 +63,13 @@ def mark_duplicates(df: DataFrame, *, runs: int = 64, fan: int = 8, text: str =
 
 def distinct_texts(df: DataFrame, *, runs: int = 64, fan: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns, one row for each text even where ids repeat."""
-    marked = df.withColumn("_row", F.monotonically_increasing_id())
-    marked = written(marked, "numbered")  # row numbers must not change once the winners are known
+    row = fresh(df, "_row")
+    marked = written(df.withColumn(row, F.monotonically_increasing_id()), "numbered")  # row numbers must not change once the winners are known
     plain = normalised(F.col(text))
-    rows = marked.select("_row", F.col(key).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("_chars"), plain.alias("_plain"))
+    rows = marked.select(F.col(row).alias("_row"), F.col(key).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("_chars"), plain.alias("_plain"))
     rows = rows.select("_row", "doc_id", "_chars", F.unhex(F.sha2("_plain", 256)).alias("_sha"), F.struct(F.xxhash64("_plain"), F.octet_length("_plain")).alias("_check"))
-    winners = merge_runs(rows.withColumn("doc_id", F.struct("doc_id", "_row")), runs, fan).select(F.col("_best.id._row").alias("_row"))
-    return marked.join(winners, "_row", "left_semi").drop("_row").select(*df.columns)
+    winners = merge_runs(rows.withColumn("doc_id", F.struct("doc_id", "_row")), runs, fan).select(F.col("_best.id._row").alias(row))
+    return marked.join(winners, row, "left_semi").select(*df.columns)
 
 
 SQL = r"""

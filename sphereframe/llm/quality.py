@@ -153,6 +153,8 @@ def fit(df: DataFrame, labels: DataFrame, usable: Column, *, text: str = "text",
         return Ensemble([], [], 2.0 * (y.mean() if len(y) else 0.5) - 1.0)
     x = np.array([r[1:] for r in got])
     rules = tree_rules(x, y)
+    if not rules:  # too few rows to grow a tree
+        return Ensemble([], [], float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
     z = np.stack([np.logical_and.reduce([(x[:, j] > at) if up else (x[:, j] <= at) for j, up, at in rule]) for rule in rules], axis=1).astype(float)
     w, b = lasso(z, y)
     kept = np.flatnonzero(np.abs(w) > 1e-6)

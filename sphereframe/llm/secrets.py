@@ -34,7 +34,7 @@ class Markov:
     """Log-likelihood ratio of each transition, random over ordinary, and the threshold per character."""
 
     ratio: np.ndarray
-    threshold: float = 1.0
+    threshold: float = 0.7
 
     def score(self, s: str) -> float:
         codes = _codes(s)
@@ -103,7 +103,7 @@ def _chain(counts: np.ndarray) -> np.ndarray:
     return counts / counts.sum(axis=2, keepdims=True)
 
 
-def train(df: DataFrame, *, text: str = "text", threshold: float = 1.0) -> Markov:
+def train(df: DataFrame, *, text: str = "text", threshold: float = 0.7) -> Markov:
     """Transition counts of both classes over all rows of ``df``.
 
     Strings made by rule (`seed_strings`) are counted too, so an empty table still trains a sound model.
