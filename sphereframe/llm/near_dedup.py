@@ -3,8 +3,9 @@
 A document is the set of its distinct runs of ``width`` words.  Documents with equal sets are one class from the start, so copies cost
 nothing.  Each tree of the forest orders the classes by its own sequence of MinHash values; what shares a long common prefix there stands
 side by side.  A region of a tree (all classes with one prefix) is taken at the smallest depth at which it is not crowded: the depth adapts
-to each region.  Classes of an uncrowded region are all compared.  A region still crowded at full depth holds sets that agree in every value
-of the tree; its classes are compared with its first class and with few others each, which other trees choose differently.
+to each region.  Classes of a region that is not crowded from the start are all compared.  Deeper regions belong to large families; there each class
+is compared with few others, chosen differently in every tree, with the first class where even full depth is crowded, and later with the
+hubs of the family (`hub_pairs`), unless it is connected to them by then.
 
 Candidates go through an estimate from whole signatures, with a margin of over four standard deviations, and are confirmed on full sets.
 First each class is confirmed against its most similar partners only; of the remaining candidates, those whose ends are already connected need
@@ -35,7 +36,7 @@ class Forest:
     trees: int = 16
     levels: tuple[int, ...] = (2, 3, 4, 6, 8)
     crowd: int = 32  # classes in a region beyond which it is followed to the next depth
-    companions: int = 6  # size of the groups compared in a region crowded at full depth
+    companions: int = 6  # size of the groups compared below a crowded region
 
     @property
     def values(self) -> int:
@@ -139,12 +140,12 @@ def candidates(classes: DataFrame, forest: Forest, percent: int) -> tuple[DataFr
         crowded = rows.filter(size > forest.crowd)
         rows = rows.join(count(crowded, k), k, "left")
         region, size = F.when(size > forest.crowd, F.col(k)).otherwise(region), F.when(size > forest.crowd, F.col(f"c_{k}")).otherwise(size)
-    rows = rows.select("id", "n", "tree", region.alias("region"), size.alias("size")).filter("size > 1")
+    rows = rows.select("id", "n", "tree", region.alias("region"), size.alias("size"), (F.col(f"c_{first}") > forest.crowd).alias("family")).filter("size > 1")
     rows = written(rows, "placed")
     crowded = rows.filter(F.col("size") > forest.crowd)
-    # in a region crowded at full depth: small groups dealt anew in every tree, and the class with the smallest id
+    # below a crowded region: small groups dealt anew in every tree; where even full depth is crowded, also the class with the smallest id
     group = F.pmod(F.xxhash64("id", "tree"), F.greatest(F.lit(1), (F.col("size") / forest.companions).cast("long")))
-    places = rows.select("id", "n", "region", F.when(F.col("size") > forest.crowd, group).otherwise(F.lit(-1)).alias("group"))
+    places = rows.select("id", "n", "region", F.when(F.col("family"), group).otherwise(F.lit(-1)).alias("group"))
     left, right = places.toDF("a", "na", "region", "group"), places.toDF("b", "nb", "region", "group")
     fits = (F.col("na") * percent <= F.col("nb") * 100) & (F.col("nb") * percent <= F.col("na") * 100)
     within = left.join(right, ["region", "group"]).filter((F.col("a") < F.col("b")) & fits).select("a", "b")
@@ -153,7 +154,7 @@ def candidates(classes: DataFrame, forest: Forest, percent: int) -> tuple[DataFr
     return within.unionByName(led).distinct(), wide
 
 
-def hub_pairs(wide: DataFrame, pairs: DataFrame, joined: DataFrame, percent: int, hubs: int = 16) -> DataFrame:
+def hub_pairs(wide: DataFrame, pairs: DataFrame, joined: DataFrame, percent: int, hubs: int = 10) -> DataFrame:
     """Pairs of classes in crowded regions with the hubs of these regions, unless they are connected already.
 
     In a large family most members are closest to those near its origin, and a member may have no other link.  A class's agreement summed over its
