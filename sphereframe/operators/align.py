@@ -71,9 +71,9 @@ def persistence_forecast(obs: DataFrame, leads: Sequence[int], variables: Sequen
 
 
 def climatology_forecast(times: DataFrame, clim: DataFrame, groups: TimeGroups, node: str = "node") -> DataFrame:
-    """Look the climatology of each row's node and time group up."""
+    """Look the climatology of each row's node and time group up; NULL where there is none."""
     keys = time_keys(groups)
-    return times.withColumns(keys).join(clim, [node, *keys])
+    return times.withColumns(keys).join(clim, [node, *keys], "left")
 
 
 def attach_static_bc(dynamic: DataFrame, static: DataFrame, bc: DataFrame, static_vars: Sequence[str],

@@ -195,7 +195,7 @@ def npix_to_params(sampling: str, npix: Column) -> Column:
             "healpix": F.sqrt(n / 12.0), "icosahedral": F.sqrt((n - 2.0) / 10.0), "cubed": F.sqrt(n / 6.0)}[sampling]
 
 
-def resolution_profile(nodes: DataFrame, width: float = 12.3456789, bands: int = 100) -> DataFrame:
+def resolution_profile(nodes: DataFrame, width: float, bands: int) -> DataFrame:
     """Mean resolution in sliding bands of absolute latitude.
 
     A node is sent to the few bands it can fall in and the exact bounds are
@@ -234,7 +234,8 @@ def cell_boundaries(cells: DataFrame) -> DataFrame:
 def polygon_areas(boundary: DataFrame) -> DataFrame:
     """Area of spherical polygons (great-circle edges) from ordered vertices (node, k, lon, lat).
 
-    Sums, edge by edge, the signed area between the edge and the equator.
+    Sums, edge by edge, the signed area between the edge and the equator.  Where the edges go once around a pole, the
+    polygon is what lies to their left, counter-clockwise seen from outside: a hemisphere less that sum.
     """
     by_k = W.partitionBy("node").orderBy("k")
     whole = by_k.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -244,21 +245,23 @@ def polygon_areas(boundary: DataFrame) -> DataFrame:
     turn = F.when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
     t1, t2 = F.tan(F.radians("lat") / 2), F.tan(F.radians("lat_next") / 2)
     excess = 2.0 * F.atan2(F.tan(F.radians(turn) / 2) * (t1 + t2), 1.0 + t1 * t2)
-    return edges.groupBy("node").agg(F.abs(F.sum(excess)).alias("area"))
+    total, turns = F.sum(excess), F.sum(turn)
+    return edges.groupBy("node").agg(F.when(F.abs(turns) > 180, 2 * math.pi - total).otherwise(F.abs(total)).alias("area"))
 
 
 # --- indices ---------------------------------------------------------------------------------
 
 
-def grid_shape(n_nodes: int, lonlat_ratio: float) -> tuple[int, int]:
-    """Rows and columns of a flattened grid, repairing a slightly wrong ratio."""
-    rows, columns = math.isqrt(int(n_nodes / lonlat_ratio)), math.isqrt(int(n_nodes * lonlat_ratio))
-    if rows * columns != n_nodes and n_nodes % rows == 0:
-        columns = n_nodes // rows
-    if rows * columns != n_nodes and n_nodes % columns == 0:
-        rows = n_nodes // columns
-    if rows * columns != n_nodes:
-        raise ValueError(f"{n_nodes} nodes do not form a grid of ratio {lonlat_ratio}")
+def grid_shape(n_nodes: int, lonlat_ratio: float, tolerance: float = 1.25) -> tuple[int, int]:
+    """Rows and columns of a flattened grid: the pair of divisors whose ratio is nearest to the wanted one.
+
+    Fails where even that pair is off by more than the factor ``tolerance``.
+    """
+    small = [d for d in range(1, math.isqrt(n_nodes) + 1) if n_nodes % d == 0]
+    pairs = [(d, n_nodes // d) for d in small] + [(n_nodes // d, d) for d in small]
+    off, rows, columns = min(((abs(math.log(c / r / lonlat_ratio)), r, c) for r, c in pairs), default=(math.inf, 0, 0))
+    if off > math.log(tolerance):
+        raise ValueError(f"{n_nodes} nodes do not form a grid of about {lonlat_ratio} columns to a row")
     return rows, columns
 
 

@@ -107,8 +107,8 @@ def remap(field: DataFrame, weights: DataFrame, values: Sequence[str], keys: Seq
 
 
 def _tied(c: Column) -> Column:
-    """Weights that differ by rounding noise only compare as equal."""
-    return F.round(c, 9)
+    """Weights that differ by rounding noise only compare as equal: 24 significant bits, whatever the unit."""
+    return c.cast("float")
 
 
 def remap_largest_area(field: DataFrame, weights: DataFrame, category: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -127,7 +127,7 @@ def valid_reference_times(available: DataFrame, requested: DataFrame, offsets: S
     """
     steps = available.select("time").distinct()
     span = steps.agg(F.struct(F.min("time").alias("first"), F.max("time").alias("last")).alias("_s")).scalar()
-    sent = steps.withColumn("_o", F.explode(F.array(*[F.lit(int(h)) for h in offsets])))
+    sent = steps.withColumn("_o", F.explode(F.array(*[F.lit(int(h)) for h in sorted(set(offsets))])))
     complete = (sent.select(shift_hours("time", -F.col("_o")).alias("time")).groupBy("time")
                 .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(set(offsets))).drop("_n")
                 .withColumn("_complete", F.lit(True)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import TimeGroups, clip, safe_div, time_keys
@@ -93,9 +94,10 @@ def climatology(df: DataFrame, variables: Sequence[str], groups: TimeGroups, per
 
 
 def _with_stats(df: DataFrame, stats: DataFrame, groups: TimeGroups, time: str, node: str) -> tuple[DataFrame, list[str]]:
+    """Rows with the statistics of their node and time group, NULL where the reference period has none: no row is lost."""
     keys = {f"_g_{k}": c for k, c in time_keys(groups, time).items()}
     lookup = stats.withColumnsRenamed({k[3:]: k for k in keys})
-    return df.withColumns(keys).join(lookup, [node, *keys]), list(keys)
+    return df.withColumns(keys).join(lookup, [node, *keys], "left"), list(keys)
 
 
 def anomaly_transform(df: DataFrame, stats: DataFrame, variables: Sequence[str], groups: TimeGroups,
@@ -179,22 +181,31 @@ def anomaly_step(stats: DataFrame, variables: Sequence[str], groups: TimeGroups,
             lambda df: anomaly_inverse(df, stats, variables, groups, standardized))
 
 
-def partial_moments(df: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
-    """Mergeable (n, sum, sum of squares) per key."""
+def moment_columns(variables: Sequence[str]) -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("n")]
     for v in variables:
-        aggs += [F.sum(v).alias(f"sum_{v}"), F.sum(F.col(v) * F.col(v)).alias(f"sumsq_{v}")]
-    return df.groupBy(*keys).agg(*aggs)
+        aggs += [F.count(v).alias(f"n_{v}"), F.avg(v).alias(f"mean_{v}"), (F.var_pop(v) * F.count(v)).alias(f"m2_{v}")]
+    return aggs
+
+
+def partial_moments(df: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
+    """Mergeable (rows, and per variable values, mean and summed squared deviations) per key; NULLs are no values."""
+    return df.groupBy(*keys).agg(*moment_columns(variables))
 
 
 def merge_moments(partials: DataFrame, keys: Sequence[str], variables: Sequence[str],
                   min_var: float = 1e-30) -> DataFrame:
-    """Add partial tables up and finish mean and variance (never below ``min_var``)."""
-    names = ["n"] + [f"{p}_{v}" for v in variables for p in ("sum", "sumsq")]
-    total = partials.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
-    out = {}
+    """Add partial tables up and finish mean and variance (never below ``min_var``).
+
+    Deviations of the partial means are taken from the overall mean, so large offsets cancel nothing.
+    """
+    both = W.partitionBy(*[F.col(k) for k in keys])
+    centred = partials
+    for v in variables:
+        centred = centred.withColumn(f"_c_{v}", safe_div(F.sum(F.col(f"n_{v}") * F.col(f"mean_{v}")).over(both), F.sum(f"n_{v}").over(both)))
+    aggs = [F.sum("n").alias("n")]
     for v in variables:
-        mean = F.col(f"sum_{v}") / F.col("n")
-        out[f"mean_{v}"] = mean
-        out[f"var_{v}"] = F.greatest(F.col(f"sumsq_{v}") / F.col("n") - mean * mean, F.lit(float(min_var)))
-    return total.select(*keys, "n", *[c.alias(k) for k, c in out.items()])
+        off = F.col(f"mean_{v}") - F.col(f"_c_{v}")
+        total = F.sum(F.col(f"m2_{v}") + F.col(f"n_{v}") * off * off)
+        aggs += [F.first(f"_c_{v}", ignorenulls=True).alias(f"mean_{v}"), F.greatest(safe_div(total, F.sum(f"n_{v}")), F.when(F.sum(f"n_{v}") > 0, F.lit(float(min_var)))).alias(f"var_{v}")]
+    return centred.groupBy(*keys).agg(*aggs)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +16,19 @@ def _ntz(t) -> Column:
     return t if isinstance(t, Column) else F.lit(str(t)).cast("timestamp_ntz")
 
 
+def until(time: Column, end) -> Column:
+    """Not after ``end``; a label without time of day (2020-01-31) holds the whole day."""
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", str(end)) and not isinstance(end, Column):
+        return time < F.lit(str(date.fromisoformat(str(end)) + timedelta(days=1))).cast("timestamp_ntz")
+    return time <= _ntz(end)
+
+
 def time_slice(df: DataFrame, start=None, end=None, time: str = "time") -> DataFrame:
     """Rows of an inclusive period; either end may be open."""
     if start is not None:
         df = df.where(F.col(time) >= _ntz(start))
     if end is not None:
-        df = df.where(F.col(time) <= _ntz(end))
+        df = df.where(until(F.col(time), end))
     return df
 
 
@@ -28,7 +37,7 @@ def split_periods(df: DataFrame, periods: Mapping[str, tuple], time: str = "time
     expr = None
     inside = None
     for name, (start, end) in periods.items():
-        hit = F.col(time).between(_ntz(start), _ntz(end))
+        hit = (F.col(time) >= _ntz(start)) & until(F.col(time), end)
         expr = F.when(hit, F.lit(name)) if expr is None else expr.when(hit, F.lit(name))
         inside = hit if inside is None else inside | hit
     if expr is None:

@@ -137,7 +137,8 @@ def weighted_mse(pairs: DataFrame, nodes: DataFrame, variables: Sequence[str], s
     """Area-weighted squared error over samples, nodes and variables.
 
     ``mean``: sum of w*e^2 over total weight, samples and variables; ``sum``:
-    sum of w*e^2 times the number of nodes; ``none``: one value per pair.
+    sum of w*e^2 times the number of nodes; ``none``: one value per pair.  A
+    NULL takes only its own variable out of a sum.
     """
     if reduction not in ("mean", "sum", "none"):
         raise ValueError(f"{reduction!r} is not a valid reduction")
@@ -146,7 +147,7 @@ def weighted_mse(pairs: DataFrame, nodes: DataFrame, variables: Sequence[str], s
                for v in variables}
     if reduction == "none":
         return joined.select("node", *sample, *[c.alias(f"{v}_wse") for v, c in squares.items()])
-    per_sample = joined.groupBy(*sample).agg(F.sum(sum(squares.values(), F.lit(0.0))).alias("_s"))
+    per_sample = joined.groupBy(*sample).agg(F.sum(sum((F.coalesce(c, F.lit(0.0)) for c in squares.values()), F.lit(0.0))).alias("_s"))
     total = per_sample.agg(F.sum("_s").alias("_s"), F.count(F.lit(1)).alias("_batch"))
     weights = nodes.agg(F.struct(F.sum(area).alias("w"), F.count(F.lit(1)).alias("n")).alias("_w")).scalar()
     if reduction == "sum":

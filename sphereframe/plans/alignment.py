@@ -55,7 +55,7 @@ def persistence_forecast(t: Tables):
 @query("D7", """
 WITH c AS (SELECT node, week(time) AS w, avg(qty) AS mean_qty, avg(price) AS mean_price FROM v_clim
            WHERE time <= TIMESTAMP '1999-12-31' GROUP BY 1, 2)
-SELECT v.node, v.time, w AS weekofyear, mean_qty, mean_price FROM v_clim v JOIN c ON c.node = v.node AND week(v.time) = w
+SELECT v.node, v.time, week(v.time) AS weekofyear, mean_qty, mean_price FROM v_clim v LEFT JOIN c ON c.node = v.node AND week(v.time) = w
 WHERE v.time >= TIMESTAMP '2000-01-01'""")
 def climatology_forecast(t: Tables):
     clim = scalers.climatology(t.clim, ["qty", "price"], "weekofyear", period=(None, "1999-12-31"))
@@ -64,6 +64,17 @@ def climatology_forecast(t: Tables):
         "node", "time", "weekofyear", "mean_qty", "mean_price")
 
 
+@query("D7", """
+WITH c AS (SELECT node, dayofyear(time) AS d, avg(qty) AS mean_qty FROM v_clim WHERE time <= TIMESTAMP '1999-12-31' GROUP BY 1, 2)
+SELECT v.node, v.time, dayofyear(v.time) AS dayofyear, mean_qty FROM v_clim v LEFT JOIN c ON c.node = v.node AND dayofyear(v.time) = d
+WHERE v.time >= TIMESTAMP '2000-01-01'""")
+def climatology_forecast_dayofyear(t: Tables):
+    """Most days of a node have no earlier value: they stay, without a forecast."""
+    clim = scalers.climatology(t.clim, ["qty"], "dayofyear", period=(None, "1999-12-31"))
+    test = t.clim.where(F.col("time") >= F.lit("2000-01-01").cast("timestamp_ntz")).select("node", "time")
+    return ops.climatology_forecast(test, clim, "dayofyear").select("node", "time", "dayofyear", "mean_qty")
+
+
 @query("D8", """
 SELECT o.node, o.time, slt, orog_raw, tisr, z FROM v_obs o JOIN v_bc b ON o.node = b.node AND o.time = b.time
 JOIN v_static s ON s.node = o.node""")

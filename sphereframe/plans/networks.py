@@ -14,7 +14,7 @@ from .registry import query
 from .views import _CHORD, Tables
 
 FIELDS = ["f0", "f1", "f2"]
-RADIUS = 0.25
+RADIUS = "(SELECT 2.5::DOUBLE * sqrt(4 * pi() / count(*)) FROM v_points)"
 
 
 @query("J1", "SELECT i, j, d, rank FROM v_knn")
@@ -23,17 +23,17 @@ def knn_graph(t: Tables):
 
 
 _RADIUS_SQL = (f"SELECT a.node AS i, b.node AS j, {_CHORD} AS d FROM v_points a, v_points b "
-               f"WHERE a.node <> b.node AND {_CHORD} <= {RADIUS}::DOUBLE")
+               f"WHERE a.node <> b.node AND {_CHORD} <= {RADIUS}")
 
 
 @query("J2", _RADIUS_SQL)
 def radius_graph(t: Tables):
-    return graphs.radius_graph(t.points, RADIUS)
+    return graphs.radius_graph(t.points, t.radius)
 
 
 @query("J2", f"SELECT i, count(*) AS neighbours FROM ({_RADIUS_SQL}) GROUP BY 1")
 def radius_neighbours(t: Tables):
-    return graphs.radius_graph(t.points, RADIUS).groupBy("i").agg(F.count(F.lit(1)).alias("neighbours"))
+    return graphs.radius_graph(t.points, t.radius).groupBy("i").agg(F.count(F.lit(1)).alias("neighbours"))
 
 
 _U = {"gaussian": "exp(-(d / m) * (d / m))", "taylor1": "1 / (1 + (d / m) * (d / m))",

@@ -125,6 +125,15 @@ def split_train_valid_test(t: Tables):
     return select.split_periods(t.clim, periods).select("node", "time", "qty", "split")
 
 
+@query("C2", """
+SELECT node, time, z, CASE WHEN time < TIMESTAMP '2024-01-11' THEN 'train' WHEN time < TIMESTAMP '2024-01-16' THEN 'validation' ELSE 'test' END AS split
+FROM v_obs WHERE time >= TIMESTAMP '2024-01-01' AND time < TIMESTAMP '2024-02-01'""")
+def split_train_valid_test_hourly(t: Tables):
+    """Labels of days hold the whole day."""
+    periods = {"train": ("2024-01-01", "2024-01-10"), "validation": ("2024-01-11", "2024-01-15"), "test": ("2024-01-16", "2024-01-31")}
+    return select.split_periods(t.obs, periods).select("node", "time", "z", "split")
+
+
 @query("C3", """
 SELECT l_orderkey, l_linenumber, l_shipdate AS time FROM lineitem
 WHERE month(l_shipdate) = month(l_shipdate + INTERVAL 2 DAY)""")

@@ -124,7 +124,7 @@ def grid_sizes(t: Tables):
     return out.withColumn("km", grids.resolution_km(F.col("npix"))).select("sampling", "subdivisions", "npix", "params", "km")
 
 
-_W, _B = 12.3456789, 100
+_W, _B = 15.0, 61
 _BAND = f"({_W / 2!r}::DOUBLE + b * {(90.0 - _W) / (_B - 1)!r}::DOUBLE)"
 
 
@@ -203,7 +203,7 @@ def remap_destarea(t: Tables):
 
 
 @query("K3", """
-WITH s AS (SELECT dst, soil, round(sum(p.w), 9) AS w FROM v_pool p JOIN v_bal b ON p.src = b.node GROUP BY 1, 2)
+WITH s AS (SELECT dst, soil, CAST(sum(p.w) AS FLOAT) AS w FROM v_pool p JOIN v_bal b ON p.src = b.node GROUP BY 1, 2)
 SELECT dst AS node, soil FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY w DESC, soil) AS r FROM s) WHERE r = 1""")
 def remap_largest_area(t: Tables):
     return remap.remap_largest_area(t.balance, t.weights, "soil")
@@ -288,7 +288,7 @@ def general_avg_unpool(t: Tables):
     return remap.general_avg_unpool(pooled, t.weights, ["z"], ["time"])
 
 
-_LARGEST = "SELECT dst, src FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY round(w, 9) DESC, src) AS r FROM v_pool) WHERE r = 1"
+_LARGEST = "SELECT dst, src FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY CAST(w AS FLOAT) DESC, src) AS r FROM v_pool) WHERE r = 1"
 _MAREA = f"SELECT dst AS node, time, z FROM ({_LARGEST}) JOIN v_field ON src = node"
 _SCATTER = ("SELECT w.src AS node, c.time, coalesce(max_by(c.z, CASE WHEN c.index = w.src THEN c.node END), 0) AS z "
             "FROM v_w w JOIN ({chosen}) c ON c.node = w.dst GROUP BY 1, 2")
@@ -306,7 +306,7 @@ def max_area_unpool(t: Tables):
 
 
 _MVAL = ("SELECT dst AS node, time, z, src AS index FROM (SELECT dst, src, time, z, row_number() OVER (PARTITION BY dst, time "
-         "ORDER BY round(w * z, 9) DESC, src) AS r FROM v_pool JOIN v_field ON src = node) WHERE r = 1")
+         "ORDER BY CAST(w * z AS FLOAT) DESC, src) AS r FROM v_pool JOIN v_field ON src = node) WHERE r = 1")
 
 
 @query("K15", _MVAL)

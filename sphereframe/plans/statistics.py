@@ -86,7 +86,7 @@ _register_fit("E5", "climatology_hour_week", "obs", ["z"], ["hour", "weekofyear"
 _ANOM = """
 WITH s AS (SELECT node, month(time) AS m, avg(qty) AS mq, stddev_pop(qty) AS sq, avg(price) AS mp,
            stddev_pop(price) AS sp FROM v_clim WHERE time <= TIMESTAMP '1999-12-31' GROUP BY 1, 2)
-SELECT c.node, c.time, {cols} FROM v_clim c JOIN s ON s.node = c.node AND s.m = month(c.time)"""
+SELECT c.node, c.time, {cols} FROM v_clim c LEFT JOIN s ON s.node = c.node AND s.m = month(c.time)"""
 
 
 @query("E6", _ANOM.format(cols="(qty - mq) / nullif(sq, 0) AS qty, (price - mp) / nullif(sp, 0) AS price"))
@@ -122,7 +122,7 @@ def clipped_anomaly_minmax(t: Tables):
 @query("E9", _ANOM.replace("SELECT c.node", ", g AS (SELECT min(disc) AS ld, max(disc) AS hd FROM v_clim) "
                            "SELECT c.node", 1).format(
     cols="(qty - mq) / nullif(sq, 0) AS qty, price - mp AS price, (disc - ld) / (hd - ld) AS disc") .replace(
-    "FROM v_clim c JOIN s", "FROM g, v_clim c JOIN s"))
+    "FROM v_clim c LEFT JOIN s", "FROM g CROSS JOIN v_clim c LEFT JOIN s"))
 def sequential_scaler(t: Tables):
     """Three scalers in a row, each for its own variable."""
     qty = scalers.anomaly_fit(t.clim, ["qty"], "month", REF)
@@ -157,6 +157,18 @@ def mergeable_moments(t: Tables):
     return scalers.merge_moments(by_year, ["node"], ["qty", "disc"])
 
 
+_ODD = "CASE WHEN (node + hour(time)) % 5 <> 0 THEN z END"
+
+
+@query("E11", f"SELECT node, count(*) AS n, round(avg(y) + 50000.0::DOUBLE, 6) AS mean_y, round(var_pop(y), 6) AS var_y FROM (SELECT node, {_ODD} AS y FROM v_obs) GROUP BY node "
+              "HAVING count(y) > 0 AND var_pop(y) > 0")
+def mergeable_moments_nulls(t: Tables):
+    """Missing values and a large offset: moments count values only and lose no digits."""
+    field = t.obs.withColumn("y", F.when((F.col("node") + F.hour("time")) % 5 != 0, F.col("z") + F.lit(50000.0))).withColumn("day", F.to_date("time"))
+    merged = scalers.merge_moments(scalers.partial_moments(field, ["node", "day"], ["y"]), ["node"], ["y"])
+    return merged.where(F.col("var_y") > 1e-20).select("node", "n", F.round("mean_y", 6).alias("mean_y"), F.round("var_y", 6).alias("var_y"))
+
+
 # --- data quality ----------------------------------------------------------------------------
 
 

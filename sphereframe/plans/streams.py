@@ -44,12 +44,12 @@ def stream_gaps(t: Tables):
 
 @query("N3", """
 SELECT user_id AS node, date_trunc('day', ts) + to_hours(CAST(6 * (hour(ts) // 6) AS BIGINT)) AS time, count(*) AS n,
-       sum(value) AS sum_z, sum(value * value) AS sumsq_z FROM events GROUP BY 1, 2""")
+       count(value) AS n_z, round(avg(value), 6) AS mean_z, round(var_pop(value) * count(value), 6) AS m2_z FROM events GROUP BY 1, 2""")
 def stream_moments(t: Tables):
     out = scratch_path(t.spark, "moments")
     rows = _events(t).select(F.col("user_id").alias("node"), F.col("ts").alias("time"), F.col("value").alias("z"))
     streaming.stream_moments(rows, ["z"], out, f"{out}-checkpoint").awaitTermination()
-    return streaming.latest(t.spark.read.parquet(out), ["node", "time"])
+    return streaming.latest(t.spark.read.parquet(out), ["node", "time"]).withColumns({c: F.round(c, 6) for c in ("mean_z", "m2_z")})
 
 
 @query("N4", "SELECT frt, leadtime, node, time, z_pred, z_obs, z_pred - z_obs AS z_err FROM v_pairs")

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import shift_hours, truncate_hours
+from ..functions.columns import safe_div, shift_hours, truncate_hours
 from ..operators import graphs, grids, remap
 from ..session import cut_lineage
 
@@ -163,14 +163,18 @@ class Tables:
 
     @cached_property
     def points(self) -> DataFrame:
-        """(node, x, y, z, f0, f1, f2): irregular sampling of the sphere with three field columns."""
-        v = [F.col("embedding")[i].cast("double") for i in range(6)]
-        e = self.table("embeddings").select(F.col("vec_id").alias("node"), *[c.alias(f"_v{i}") for i, c in enumerate(v)])
+        """(node, x, y, z, f0, f1, f2): irregular sampling of the sphere with three field columns, each from all components of a third of the vector."""
+        third = lambda k: F.filter("embedding", lambda c, i: i % 3 == k)
+        total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double"))
+        waves = [total(F.transform(third(k), lambda c, i: F.when(i % 2 == 0, c).otherwise(-c))) for k in range(3)]
+        e = self.table("embeddings").select(F.col("vec_id").alias("node"), *[total(third(k)).alias(f"_v{k}") for k in range(3)], *[w.alias(f"f{k}") for k, w in enumerate(waves)])
         norm = F.sqrt(F.col("_v0") * F.col("_v0") + F.col("_v1") * F.col("_v1") + F.col("_v2") * F.col("_v2"))
-        return e.withColumn("_n", norm).select(
-            "node", (F.col("_v0") / F.col("_n")).alias("x"), (F.col("_v1") / F.col("_n")).alias("y"),
-            (F.col("_v2") / F.col("_n")).alias("z"), F.col("_v3").alias("f0"), F.col("_v4").alias("f1"),
-            F.col("_v5").alias("f2"))
+        return e.withColumn("_n", norm).select("node", *[safe_div(F.col(f"_v{k}"), F.col("_n")).alias(a) for k, a in enumerate("xyz")], "f0", "f1", "f2")
+
+    @cached_property
+    def radius(self) -> float:
+        """Two and a half times the mean spacing of the points."""
+        return 2.5 * math.sqrt(4 * math.pi / max(1, self.points.count()))
 
     # --- neighbour graph of the irregular sampling ------------------------------------------------
 
@@ -224,6 +228,15 @@ def _overlap(src: str, dst: str) -> str:
 
 _CHORD = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 
+
+
+def _third(k: int, wave: bool = False) -> str:
+    """Sum of every third component from ``k`` on, with alternating signs for a wave."""
+    sign = f" * (CASE WHEN (i - {k + 1}) // 3 % 2 = 0 THEN 1 ELSE -1 END)" if wave else ""
+    picked = f"list_transform(embedding, lambda c, i: CASE WHEN (i - 1) % 3 = {k} THEN CAST(c AS DOUBLE){sign} ELSE 0.0::DOUBLE END)"
+    return f"list_sum({picked})"
+
+
 SQL_VIEWS: dict[str, str] = {
     "v_obs": f"SELECT user_id AS node, {_SLOT} AS time, {_cents('value')} AS z FROM events GROUP BY 1, 2",
     "v_obsv": f"SELECT user_id AS node, {_SLOT} AS time, event_type AS variable, {_cents('value')} AS z "
@@ -255,10 +268,8 @@ SQL_VIEWS: dict[str, str] = {
     "v_field": "SELECT o_custkey AS node, date_trunc('month', o_orderdate)::TIMESTAMP AS time, "
                f"floor(({_cents('o_totalprice')}) / 1024.0::DOUBLE) / 8.0::DOUBLE AS z FROM orders GROUP BY 1, 2",
     "v_bal": "SELECT c_custkey AS node, c_nationkey AS soil, floor(c_acctbal / 64.0::DOUBLE) / 4.0::DOUBLE AS v FROM customer",
-    "v_points": "SELECT node, v0 / n AS x, v1 / n AS y, v2 / n AS z, f0, f1, f2 FROM (SELECT *, "
-                "sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS n FROM (SELECT vec_id AS node, "
-                "embedding[1]::DOUBLE AS v0, embedding[2]::DOUBLE AS v1, embedding[3]::DOUBLE AS v2, "
-                "embedding[4]::DOUBLE AS f0, embedding[5]::DOUBLE AS f1, embedding[6]::DOUBLE AS f2 FROM embeddings))",
+    "v_points": "SELECT node, v0 / nullif(n, 0) AS x, v1 / nullif(n, 0) AS y, v2 / nullif(n, 0) AS z, f0, f1, f2 FROM (SELECT *, sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS n FROM (SELECT vec_id AS node, "
+                + ", ".join(f"{_third(k)} AS v{k}" for k in range(3)) + ", " + ", ".join(f"{_third(k, True)} AS f{k}" for k in range(3)) + " FROM embeddings))",
     "v_knn": "SELECT i, j, d, CAST(rank AS INTEGER) AS rank FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank "
              f"FROM (SELECT a.node AS i, b.node AS j, {_CHORD} AS d FROM v_points a, v_points b WHERE a.node <> b.node)) WHERE rank <= 20",
     "v_edge": "SELECT i, j, max(w) AS w FROM (SELECT i, j, exp(-(d / m) * (d / m)) AS w FROM v_knn, (SELECT avg(d) AS m FROM v_knn) "

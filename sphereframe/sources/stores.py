@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..operators.select import until
 
 KEYS = ("node", "time")
 
@@ -26,7 +27,7 @@ def _time_range(df: DataFrame, start, end, time: str = "time") -> DataFrame:
         if bound is None:
             continue
         t = _ntz(bound)
-        df = df.where(F.col(time) >= t if is_start else F.col(time) <= t)
+        df = df.where(F.col(time) >= t if is_start else until(F.col(time), bound))
         if partitioned:
             stamp = datetime.fromisoformat(str(bound))
             month_no = F.col("year") * 12 + F.col("month")
@@ -161,10 +162,14 @@ def round_on_write(df: DataFrame, digits: int | Mapping[str, int], columns: Sequ
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
+def _literal(replacement: str) -> str:
+    return replacement.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def pending_files(src: DataFrame, done: DataFrame, path: str, done_path: str, src_root: str, dst_root: str,
                   src_ext: str, dst_ext: str) -> DataFrame:
     """Inputs whose output (same relative path, other root and extension) does not exist yet."""
-    relative = F.regexp_replace(col(path), f"^{re.escape(src_root)}", dst_root)
-    planned = src.withColumn("target", F.regexp_replace(relative, f"{re.escape(src_ext)}$", dst_ext))
+    relative = F.regexp_replace(col(path), f"^{re.escape(src_root)}", _literal(dst_root))
+    planned = src.withColumn("target", F.regexp_replace(relative, f"{re.escape(src_ext)}$", _literal(dst_ext)))
     finished = done.select(F.col(done_path).alias("target"))
     return planned.join(finished, "target", "left_anti")

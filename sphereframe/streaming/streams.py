@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.quality import missing_timesteps
 from ..operators.reshape import rename_drop
+from ..operators.scalers import moment_columns
 from ..sources.stores import with_partition_columns
 
 
@@ -80,9 +81,7 @@ def stream_gaps(stream: DataFrame, step_hours: int, path: str, state_path: str,
 
 def moments(stream: DataFrame, variables: Sequence[str], width: str = "6 hours", delay: str = "1 day") -> DataFrame:
     """Mergeable moments per node and tumbling window; rows behind the watermark are dropped."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for v in variables:
-        aggs += [F.sum(v).alias(f"sum_{v}"), F.sum(F.col(v) * F.col(v)).alias(f"sumsq_{v}")]
+    aggs = moment_columns(variables)
     return (as_event_time(stream).withWatermark("time", delay).groupBy("node", F.window("time", width).alias("_w"))
             .agg(*aggs).withColumn("time", F.col("_w.start").cast("timestamp_ntz")).drop("_w"))
 

@@ -179,3 +179,12 @@ def test_max_value_pool_round_trip(spark):
     assert {(r["node"], r["v"], r["index"]) for r in pooled.collect()} == {(0, 9.0, 1), (1, 9.0, 1)}
     back = {r["node"]: r["v"] for r in remap.max_value_unpool(pooled, w, "v").collect()}
     assert back == {0: 0.0, 1: 9.0, 2: 0.0}
+
+
+def test_area_around_a_pole(spark):
+    cap = lambda lat: 2 * math.pi * (1 - math.sin(math.radians(lat)))
+    ring = lambda node, lat, step: [(node, k, float(k * step % 360), lat) for k in range(abs(360 // step))]
+    rows = ring(0, 60.0, 1) + ring(1, -60.0, -1) + ring(2, -30.0, 1) + ring(3, 60.0, 90)
+    got = {r.node: r.area for r in grids.polygon_areas(spark.createDataFrame(rows, "node int, k int, lon double, lat double")).collect()}
+    assert abs(got[0] - cap(60)) < 1e-3 and abs(got[1] - cap(60)) < 1e-3 and abs(got[2] - cap(-30)) < 1e-2
+    assert abs(got[3] - 0.573) < 1e-3

@@ -193,3 +193,48 @@ def test_half_seconds_do_not_meet_whole_seconds(spark):
     got = [(r["z_pred"], r["z_obs"]) for r in align.persistence_forecast(df, [1, 2], ["z"]).collect()]
     assert got == [(1.0, 2.0)]
     assert [r["z_m1"] for r in samples.window_samples(df, ["z"], [-1, 0]).collect()] == [1.0]
+
+
+def test_moments_with_nulls_and_offset(spark):
+    import numpy as np
+
+    values = [50_000 + 1e-4 * i for i in range(10)]
+    df = spark.createDataFrame([(0, i % 3, v) for i, v in enumerate(values)] + [(1, 0, 2.0), (1, 1, None), (2, 0, None)], "node int, part int, y double")
+    got = {r.node: r for r in scalers.merge_moments(scalers.partial_moments(df, ["node", "part"], ["y"]), ["node"], ["y"]).collect()}
+    assert abs(got[0].var_y - np.var(values)) < 1e-12 and abs(got[0].mean_y - np.mean(values)) < 1e-9
+    assert (got[1].n, got[1].mean_y, got[1].var_y) == (2, 2.0, 1e-30)
+    assert (got[2].n, got[2].mean_y, got[2].var_y) == (1, None, None)
+
+
+def test_rows_without_statistics_stay(spark):
+    rows = [(1, "2020-01-05", 1.0), (1, "2020-01-06", 3.0), (1, "2020-02-05", 5.0)]
+    df = spark.createDataFrame(rows, "node int, time string, y double").withColumn("time", F.col("time").cast("timestamp_ntz"))
+    stats = scalers.anomaly_fit(df, ["y"], "month", (None, "2020-01-31"))
+    got = {str(r.time.date()): r.y for r in scalers.anomaly_transform(df, stats, ["y"], "month").collect()}
+    assert got == {"2020-01-05": -1.0, "2020-01-06": 1.0, "2020-02-05": None}
+
+
+def test_day_labels_hold_the_whole_day(spark):
+    from sphereframe.operators import select
+
+    df = spark.range(16).select(F.expr("timestamp_ntz '2020-01-01' + make_dt_interval(0, cast(id * 6 as int))").alias("time"))
+    assert select.time_slice(df, "2020-01-01", "2020-01-02").count() == 8
+    assert select.time_slice(df, "2020-01-01", "2020-01-02T00:00:00").count() == 5
+    split = select.split_periods(df, {"a": ("2020-01-01", "2020-01-02"), "b": ("2020-01-03", "2020-01-04")})
+    assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"a": 8, "b": 8}
+
+
+def test_largest_small_values(spark):
+    from sphereframe.operators import remap
+
+    weights = spark.createDataFrame([(0, 0, 0.5), (0, 1, 0.5)], "dst int, src int, w double")
+    field = spark.createDataFrame([(0, 2e-10), (1, 9e-10)], "node int, q double")
+    assert [r.q for r in remap.max_value_pool(field, weights, "q").collect()] == [9e-10]
+
+
+def test_repeated_offsets(spark):
+    from sphereframe.operators import samples
+
+    df = spark.range(6).select(F.expr("timestamp_ntz '2020-01-01' + make_dt_interval(0, cast(id as int))").alias("time"))
+    got = samples.valid_reference_times(df, df, [0, 1, 1]).orderBy("time").collect()
+    assert [r.status for r in got] == ["ok"] * 5 + ["future"]
