@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 LONG = 96  # bytes of the longest piece that goes through the matrices
-CACHE = 400_000  # pieces a worker remembers; it starts anew beyond
+CACHE = 300_000  # pieces a worker remembers; it starts anew beyond
 NO_PAIR = np.int32(1 << 30)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 

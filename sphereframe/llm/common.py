@@ -78,6 +78,13 @@ def bounded_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     return df.orderBy(F.xxhash64(*[F.col(k) for k in key]), *key).limit(rows)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that a worker holds the Python objects of few texts at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def map_texts(df: DataFrame, schema: str, work: Callable[[list, list], dict], *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Run ``work(ids, texts) -> {column: values}`` over Arrow batches; null texts arrive as empty strings."""
     ship_package(df.sparkSession)
@@ -85,7 +92,7 @@ def map_texts(df: DataFrame, schema: str, work: Callable[[list, list], dict], *,
     target = pa_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = work(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in target], schema=target)
 

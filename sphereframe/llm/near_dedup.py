@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .bpe import in_slices
 from .common import map_texts, ship_package, written
 
-WORDS = 400_000  # words a worker remembers the hashes of
+WORDS = 150_000  # words a worker remembers the hashes of
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
 
 

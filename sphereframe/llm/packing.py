@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .bpe import in_slices
 from .common import map_texts, pa_schema, written
 
-CACHE = 500_000  # chunks of text a worker remembers; it starts anew beyond
+CHUNKS, KNOWN_WORDS = 150_000, 400_000  # chunks and words a worker remembers; it starts anew beyond
 TRIPLES = 3000  # combinations of three lengths offered to the solver, the most promising by their counts
 PER_BUCKET = 20_000  # documents in one bucket of the ranking
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -80,9 +80,9 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, the end id last."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
+        if len(self.known) > CHUNKS:
             self.known = {"": b""}
-        if len(self.words) > CACHE:
+        if len(self.words) > KNOWN_WORDS:
             self.words.clear()
         self._learn(set().union(*split).difference(self.known))
         return [b"".join(map(self.known.__getitem__, chunks)) + self.end for chunks in split]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, ship_package
+from .common import map_texts, ship_package, slices
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -185,12 +185,15 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact(df: DataFrame, model: Markov, *, text: str = "text") -> DataFrame:
     """``df`` with the secrets of its text column replaced; null texts stay null, all rows and columns are kept."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: t if t is None else redact_text(t, all_spans(t, model, base_spans(t))))
+    at = df.columns.index(text)
+
+    def clean(batches):
+        for batch in slices(batches):
+            texts = [t if t is None else redact_text(t, all_spans(t, model, base_spans(t))) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     ship_package(df.sparkSession)
-    return df.withColumn(text, clean(F.col(text)))
+    return df.mapInArrow(clean, df.schema)
 
 
 def digest(spans: DataFrame) -> DataFrame:

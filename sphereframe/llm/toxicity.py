@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_texts, ship_package
+from .common import bounded_sample, map_texts, ship_package, slices
 
 GRAM, BITS = 5, 20
 TOXIC_ROWS, OTHER_ROWS = 4000, 8000  # bounds of the training sample
@@ -161,8 +161,10 @@ def keep_clean(df: DataFrame, model: Model, *, threshold: float = 0.3, text: str
     """Rows of ``df`` scored below ``threshold``, with all columns."""
     ship_package(df.sparkSession)
 
-    @F.pandas_udf("double")
-    def rated(texts):
-        return texts.map(lambda t: model.score(t or "")).astype("float64")
+    at = df.columns.index(text)
 
-    return df.filter(rated(F.col(text)) < threshold)
+    def clean(batches):
+        for batch in slices(batches):
+            yield batch.filter(pa.array([model.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(clean, df.schema)
