@@ -26,7 +26,7 @@ def _power_of_two(t: Tables) -> int:
 _N_HEALPIX = ("(SELECT CAST(pow(2, greatest(0, ceil(log2(count(*) / 12.0) / 2))) AS BIGINT) AS n FROM customer)")
 
 
-@query("I1", "SELECT node, i, j, lat0, lat1, lon0, lon1, (lat0 + lat1) / 2 AS lat, (lon0 + lon1) / 2 AS lon, area FROM v_src")
+@query("I1", "SELECT node, i, j, lat0, lat1, lon0, lon1, (lat0 + lat1) / 2 AS lat, (lon0 + lon1) / 2 AS lon, area FROM v_src", customers="node")
 def grid_equiangular(t: Tables):
     return t.src
 
@@ -45,7 +45,7 @@ z AS (SELECT *, CASE WHEN ring < n THEN 1.0::DOUBLE - m * m / (3.0::DOUBLE * n *
       (fl * m + ix - iy + 1 + s) // 2 AS p0 FROM q),
 l AS (SELECT *, CASE WHEN p0 > 4 * m THEN p0 - 4 * m WHEN p0 < 1 THEN p0 + 4 * m ELSE p0 END AS p FROM z)
 SELECT node, ring, degrees(asin(z)) AS lat, (p - (s + 1) * 0.5::DOUBLE) * 90.0::DOUBLE / m AS lon,
-       4 * pi() / (12 * n * n) AS area FROM l""")
+       4 * pi() / (12 * n * n) AS area FROM l""", customers="node")
 def grid_healpix(t: Tables):
     return grids.grid_healpix(t.spark, _power_of_two(t))
 
@@ -55,7 +55,7 @@ WITH g AS (SELECT 2 * CAST(ceil((sqrt(81 + count(*)) - 9) / 2) AS BIGINT) AS nla
 r AS (SELECT unnest(range(nlat)) AS ring, nlat FROM g),
 s AS (SELECT ring, 4 * least(ring + 1, nlat - ring) + 16 AS size, nlat FROM r),
 b AS (SELECT ring, size, sum(size) OVER (ORDER BY ring) - size AS before FROM s)
-SELECT CAST(before + k AS BIGINT) AS node, ring, k * 360.0::DOUBLE / size AS lon FROM (SELECT *, unnest(range(size)) AS k FROM b)""")
+SELECT CAST(before + k AS BIGINT) AS node, ring, k * 360.0::DOUBLE / size AS lon FROM (SELECT *, unnest(range(size)) AS k FROM b)""", customers="node")
 def grid_octahedral(t: Tables):
     """Nodes per ring; the Gaussian latitudes have no closed SQL form and are tested apart."""
     nlat = 2 * math.ceil((math.sqrt(81 + t.table("customer").count()) - 9) / 2)
@@ -72,7 +72,7 @@ f AS (SELECT node, node // (n * n) AS face, tan(pi() / 4 * ((2 * ((node % (n * n
 v AS (SELECT node, face, CASE WHEN face < 3 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s, a, b,
       sqrt(1 + a * a + b * b) AS n FROM f)
 SELECT node, face, CASE face % 3 WHEN 0 THEN s WHEN 1 THEN b ELSE a END / n AS x,
-       CASE face % 3 WHEN 1 THEN s WHEN 2 THEN b ELSE a END / n AS y, CASE face % 3 WHEN 2 THEN s WHEN 0 THEN b ELSE a END / n AS z FROM v""")
+       CASE face % 3 WHEN 1 THEN s WHEN 2 THEN b ELSE a END / n AS y, CASE face % 3 WHEN 2 THEN s WHEN 0 THEN b ELSE a END / n AS z FROM v""", customers="node")
 def grid_cubed(t: Tables):
     n = math.ceil(math.sqrt(t.table("customer").count() / 6.0))
     return grids.grid_cubed(t.spark, n).drop("lon", "lat")
@@ -99,7 +99,7 @@ def _unit_sql(label: str) -> str:
 
 
 @query("I4", f"SELECT node, degrees(asin(2 * {_unit_sql('z')} - 1)) AS lat, 360 * {_unit_sql('lon')} AS lon "
-             "FROM (SELECT unnest(range(count(*))) AS node FROM customer)")
+             "FROM (SELECT unnest(range(count(*))) AS node FROM customer)", customers="node")
 def grid_random(t: Tables):
     return grids.grid_random(t.spark, t.table("customer").count(), 42)
 
@@ -139,7 +139,7 @@ def resolution_profile(t: Tables):
     return grids.resolution_profile(t.nodes, _W, _B)
 
 
-@query("I7", "SELECT node, area, area / (SELECT sum(area) FROM v_src) AS weight FROM v_src")
+@query("I7", "SELECT node, area, area / (SELECT sum(area) FROM v_src) AS weight FROM v_src", customers="node")
 def area_weights(t: Tables):
     return grids.area_weights(t.src.select("node", "area"))
 
@@ -151,12 +151,12 @@ _EDGE = ("2 * atan2(tan(radians({b} - {a}) / 2) * (tan(radians({p}) / 2) + tan(r
 @query("I8", "SELECT node, abs(" + " + ".join([
     _EDGE.format(a="lon0", b="lon1", p="lat0", q="lat0"), _EDGE.format(a="lon1", b="lon1", p="lat0", q="lat1"),
     _EDGE.format(a="lon1", b="lon0", p="lat1", q="lat1"), _EDGE.format(a="lon0", b="lon0", p="lat1", q="lat0")]) +
-    ") AS area FROM v_src")
+    ") AS area FROM v_src", customers="node")
 def polygon_areas(t: Tables):
     return grids.polygon_areas(grids.cell_boundaries(t.src))
 
 
-@query("I9", "SELECT node, i, j FROM v_src")
+@query("I9", "SELECT node, i, j FROM v_src", customers="node")
 def node_ij(t: Tables):
     rows, columns = t.shape
     nlat, nlon = grids.grid_shape(rows * columns, 2)
@@ -168,7 +168,7 @@ def parent_map(t: Tables):
     return grids.parent_map(t.table("customer").select(F.col("c_custkey").alias("node")), 2)
 
 
-@query("I10", "SELECT node, (i // 2) * (nlon // 2) + j // 2 AS parent FROM v_src, v_gs")
+@query("I10", "SELECT node, (i // 2) * (nlon // 2) + j // 2 AS parent FROM v_src, v_gs", customers="node")
 def parent_map_grid(t: Tables):
     return grids.parent_map_grid(t.src, 2, t.shape[1])
 
@@ -176,17 +176,17 @@ def parent_map_grid(t: Tables):
 # --- remapping -------------------------------------------------------------------------------
 
 
-@query("D10", "SELECT dst, src, w FROM v_w")
+@query("D10", "SELECT dst, src, w FROM v_w", customers="src")
 def overlap_weights(t: Tables):
     return remap.overlap_weights(t.src, t.dst)
 
 
-@query("K1", "SELECT dst, src, w FROM v_pool")
+@query("K1", "SELECT dst, src, w FROM v_pool", customers="src")
 def pool_matrix(t: Tables):
     return remap.pool_matrix(t.weights)
 
 
-@query("K1", "SELECT dst, src, w FROM v_unpool")
+@query("K1", "SELECT dst, src, w FROM v_unpool", customers="src")
 def unpool_matrix(t: Tables):
     return remap.unpool_matrix(t.weights)
 
