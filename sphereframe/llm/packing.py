@@ -61,7 +61,7 @@ class WordTokenizer:
     def _learn_words(self, words: list[str]) -> None:
         for lo in range(0, len(words), 2000):
             part = words[lo:lo + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             flat = ids.tobytes()
             if len(cut) == len(part) and cut[-1] == len(flat):
