@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.quality import missing_timesteps
+from ..functions.series import epoch_micros
 from ..operators.reshape import rename_drop
 from ..operators.scalers import moment_columns
 from ..sources.stores import with_partition_columns
@@ -57,26 +59,45 @@ def stream_append(stream: DataFrame, var_dict: Mapping[str, str], drops: Sequenc
     return _run(stream, each, checkpoint, "append")
 
 
-def stream_gaps(stream: DataFrame, step_hours: int, path: str, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Missing steps of each node's series across micro-batches.
+GAPS = "node long, gap_start timestamp, gap_end timestamp, missing long"
 
-    The state is a table with the last step of every node, one version per
-    batch.  Files arrive in time order; a row not later than the state of its
-    node has been seen before and is ignored.
-    """
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("node", "time")
-        if batch_id > 0:
-            state = spark.read.parquet(f"{state_path}/version={batch_id - 1}")
-            fresh = rows.join(state.withColumnRenamed("time", "_last"), "node", "left").where(
-                F.col("_last").isNull() | (F.col("time") > F.col("_last"))).select("node", "time")
-            rows = state.select("node", "time").unionByName(fresh)
-        rows.groupBy("node").agg(F.max("time").alias("time")).write.mode("overwrite").parquet(
-            f"{state_path}/version={batch_id}")
-        _write_batch(missing_timesteps(rows, step_hours), path, batch_id)
 
-    return _run(stream, each, checkpoint, "append")
+def gap_updates(stream: DataFrame, step_hours: int, delay: str) -> DataFrame:
+    """Changes of the list of gaps: a new step is joined to the steps before and after it; ``missing`` 0 closes a gap.
+
+    The state of a node holds its steps behind the watermark's last one, so a late row splits or closes the gap it falls into as long as the
+    watermark has not passed it; later ones are dropped by the engine.
+    """
+    width = step_hours * 3_600_000_000
+
+    def update(key, frames, state):
+        known = set(state.get[0]) if state.exists else set()
+        new = set()
+        for f in frames:
+            new.update(f["at"].tolist())
+        new -= known
+        steps = sorted(known | new)
+        found = {(p, n) for p, n in zip(steps, steps[1:]) if p in new or n in new}
+        kept = state.getCurrentWatermarkMs() * 1000
+        last = max((t for t in steps if t < kept), default=None)
+        state.update(([t for t in steps if t >= kept or t == last],))
+        rows = sorted(found)
+        yield pd.DataFrame({"node": pd.Series([key[0]] * len(rows), dtype="int64"), "gap_start": pd.to_datetime([p for p, _ in rows], unit="us"),
+                            "gap_end": pd.to_datetime([n for _, n in rows], unit="us"), "missing": pd.Series([(n - p - 1) // width if n - p > width else 0 for p, n in rows], dtype="int64")})
+
+    timed = as_event_time(stream.select(F.col("node").cast("long").alias("node"), epoch_micros("time").alias("at"), "time")).withWatermark("time", delay)
+    return timed.groupBy("node").applyInPandasWithState(update, GAPS, "steps array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_gaps(stream: DataFrame, step_hours: int, path: str, checkpoint: str, delay: str = "60 days") -> StreamingQuery:
+    """Write every change of the gaps of each node's series; :func:`current_gaps` reads those that are open."""
+    return _run(gap_updates(stream, step_hours, delay), lambda df, b: _write_batch(df, path, b), checkpoint, "update")
+
+
+def current_gaps(written: DataFrame) -> DataFrame:
+    """Open gaps in the newest version of each: (node, gap_start, gap_end, missing)."""
+    now = latest(written, ["node", "gap_start"]).where(F.col("missing") > 0)
+    return now.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("gap_start", "gap_end")}).select("node", "gap_start", "gap_end", "missing")
 
 
 def moments(stream: DataFrame, variables: Sequence[str], width: str = "6 hours", delay: str = "1 day") -> DataFrame:

@@ -27,12 +27,14 @@ def rows(df):
 def test_gaps_across_batches_equal_the_batch_twin(spark, tables):
     path, out = scratch_path(spark, "in"), scratch_path(spark, "out")
     steps = tables.obs.select("node", "time")
-    arrive(steps, path, CUTS)
+    late = (F.col("node") % 5 == 1) & (F.dayofmonth("time") % 3 == 0)
+    arrive(steps.where(~late), path, CUTS)
+    steps.where(late).coalesce(1).write.mode("append").parquet(path)
     stream = streaming.read_files(spark, path, steps.schema, files_per_batch=1)
-    streaming.stream_gaps(stream, 6, out, out + "-state", out + "-cp").awaitTermination()
+    streaming.stream_gaps(stream, 6, out, out + "-cp").awaitTermination()
     got = spark.read.parquet(out)
-    assert got.select("batch").distinct().count() == 3
-    assert rows(got.drop("batch")) == rows(quality.missing_timesteps(steps, 6))
+    assert got.select("batch").distinct().count() == 4
+    assert rows(streaming.current_gaps(got)) == rows(quality.missing_timesteps(steps, 6))
 
 
 def test_moments_across_batches(spark, tables):
