@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_slices
-from .common import map_texts, ship_package, written
+from .common import map_texts, ship_package, slices, written
 
 WORDS = 150_000  # words a worker remembers the hashes of
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
@@ -107,10 +107,8 @@ def prefixes(classes: DataFrame, forest: Forest) -> DataFrame:
     names = [f"k{level}" for level in forest.levels]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2000):
             count = batch.num_rows
-            if not count:
-                continue
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(count, forest.trees, depth).astype(np.uint64)
             h = np.broadcast_to(seeds, (count, forest.trees)).copy()
             columns = []
@@ -177,7 +175,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, forest: Forest, percent: int
     values = forest.values
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2000):
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, values) for i in (2, 3))
             agree = (a == b).sum(axis=1)
             keep = agree >= least
@@ -192,7 +190,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on full sets."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 500):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
