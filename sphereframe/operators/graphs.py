@@ -241,8 +241,9 @@ def density_invariant(edges: DataFrame) -> DataFrame:
 def cotan_laplacian(vertices: DataFrame, faces: DataFrame, inverse_mass: bool = False) -> tuple[DataFrame, DataFrame]:
     """Mesh Laplacian (i, j, w) and lumped mass (i, mass) of triangles (v0, v1, v2) over (node, x, y, z).
 
-    Each corner gives half its cotangent to the opposite edge and a third of
-    the triangle to its own mass.
+    Each corner gives half its cotangent to the opposite edge and, to its own
+    mass, the part of the triangle nearest to it: the Voronoi area, or half and
+    a quarter of a triangle with an obtuse angle there or elsewhere.
     """
     tri = faces
     for c in (0, 1, 2):
@@ -255,11 +256,14 @@ def cotan_laplacian(vertices: DataFrame, faces: DataFrame, inverse_mass: bool =
         dot = u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
         cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
         norm = F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2])
+        uu, vv = (w[0] * w[0] + w[1] * w[1] + w[2] * w[2] for w in (u, v))
+        nearest = (F.when(dot < 0, norm / 4.0).when((uu < dot) | (vv < dot), norm / 8.0)
+                   .otherwise(safe_div(uu * (vv - dot) + vv * (uu - dot), norm) / 8.0))
         return F.struct(F.col(f"v{a}").alias("own"), F.col(f"v{b}").alias("p"), F.col(f"v{c}").alias("q"),
-                        (safe_div(dot, norm) / 2.0).alias("half_cot"), (norm / 6.0).alias("third"))
+                        (safe_div(dot, norm) / 2.0).alias("half_cot"), nearest.alias("part"))
 
     corners = tri.select(F.explode(F.array(corner(0, 1, 2), corner(1, 2, 0), corner(2, 0, 1))).alias("_c")).select("_c.*")
-    mass = corners.groupBy(F.col("own").alias("i")).agg(F.sum("third").alias("mass"))
+    mass = corners.groupBy(F.col("own").alias("i")).agg(F.sum("part").alias("mass"))
     entry = lambda i, j, sign: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), (F.lit(sign) * F.col("half_cot")).alias("w"))
     entries = F.explode(F.array(entry("p", "q", -1.0), entry("q", "p", -1.0), entry("p", "p", 1.0), entry("q", "q", 1.0)))
     lap = corners.select(entries.alias("_e")).select("_e.*").groupBy("i", "j").agg(F.sum("w").alias("w"))

@@ -108,8 +108,9 @@ f AS (SELECT n00 AS a, n01 AS b, n11 AS c FROM c UNION ALL SELECT n00, n11, n10
 r AS (SELECT a, b, c FROM f UNION ALL SELECT b, c, a FROM f UNION ALL SELECT c, a, b FROM f),
 g AS (SELECT r.a, r.b, r.c, q.x - o.x AS ux, q.y - o.y AS uy, q.z - o.z AS uz, s.x - o.x AS vx, s.y - o.y AS vy, s.z - o.z AS vz
       FROM r JOIN p o ON o.node = r.a JOIN p q ON q.node = r.b JOIN p s ON s.node = r.c),
-h AS (SELECT a, b, c, ux * vx + uy * vy + uz * vz AS dot, sqrt(pow(uy * vz - uz * vy, 2) + pow(uz * vx - ux * vz, 2) + pow(ux * vy - uy * vx, 2)) AS n FROM g),
-m AS (SELECT a AS i, sum(n) / 6 AS mass FROM h GROUP BY 1),
+h AS (SELECT a, b, c, ux * ux + uy * uy + uz * uz AS uu, vx * vx + vy * vy + vz * vz AS vv, ux * vx + uy * vy + uz * vz AS dot, sqrt(pow(uy * vz - uz * vy, 2) + pow(uz * vx - ux * vz, 2) + pow(ux * vy - uy * vx, 2)) AS n FROM g),
+m AS (SELECT a AS i, sum(CASE WHEN dot < 0 THEN n / 4 WHEN uu < dot OR vv < dot THEN n / 8 ELSE (uu * (vv - dot) + vv * (uu - dot)) / n / 8 END) AS mass
+      FROM h GROUP BY 1),
 e AS (SELECT b AS i, c AS j, -dot / n / 2 AS w FROM h UNION ALL SELECT c, b, -dot / n / 2 FROM h
       UNION ALL SELECT b, b, dot / n / 2 FROM h UNION ALL SELECT c, c, dot / n / 2 FROM h),
 l AS (SELECT i, j, sum(w) AS w FROM e GROUP BY 1, 2)

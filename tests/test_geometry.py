@@ -188,3 +188,14 @@ def test_area_around_a_pole(spark):
     got = {r.node: r.area for r in grids.polygon_areas(spark.createDataFrame(rows, "node int, k int, lon double, lat double")).collect()}
     assert abs(got[0] - cap(60)) < 1e-3 and abs(got[1] - cap(60)) < 1e-3 and abs(got[2] - cap(-30)) < 1e-2
     assert abs(got[3] - 0.573) < 1e-3
+
+
+def test_voronoi_masses_add_up(spark):
+    # a right, an acute and an obtuse triangle apart from each other
+    places = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (10, 0, 0), (12, 0, 0), (11, 1.9, 0), (20, 0, 0), (24, 0, 0), (21, 0.5, 0)]
+    vertices = spark.createDataFrame([(i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(places)], "node int, x double, y double, z double")
+    faces = spark.createDataFrame([(0, 1, 2), (3, 4, 5), (6, 7, 8)], "v0 int, v1 int, v2 int")
+    mass = {r.i: r.mass for r in graphs.cotan_laplacian(vertices, faces)[1].collect()}
+    areas = [0.5, 1.9, 1.0]
+    assert all(abs(sum(mass[3 * k + c] for c in range(3)) - areas[k]) < 1e-12 for k in range(3))
+    assert abs(mass[0] - 0.25) < 1e-12 and abs(mass[8] - 0.5) < 1e-12 and abs(mass[6] - 0.25) < 1e-12
