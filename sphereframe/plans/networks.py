@@ -117,17 +117,17 @@ l AS (SELECT i, j, sum(w) AS w FROM e GROUP BY 1, 2)
 """
 
 
-@query("J7", _TRI + "SELECT i, j, w FROM l")
+@query("J7", _TRI + "SELECT i, j, w FROM l", customers="j")
 def cotan_laplacian(t: Tables):
     return graphs.cotan_laplacian(*mesh(t))[0]
 
 
-@query("J7", _TRI + "SELECT i, mass FROM m")
+@query("J7", _TRI + "SELECT i, mass FROM m", customers="i")
 def lumped_mass(t: Tables):
     return graphs.cotan_laplacian(*mesh(t))[1]
 
 
-@query("J7", _TRI + "SELECT l.i, j, w / mass AS w FROM l JOIN m ON m.i = l.i")
+@query("J7", _TRI + "SELECT l.i, j, w / mass AS w FROM l JOIN m ON m.i = l.i", customers="j")
 def cotan_laplacian_inverse_mass(t: Tables):
     return graphs.cotan_laplacian(*mesh(t), inverse_mass=True)[0]
 

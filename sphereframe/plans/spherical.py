@@ -323,7 +323,7 @@ def max_value_unpool(t: Tables):
 _INV = ("SELECT p.dst AS node, 1 - sum(p.w * u.w) AS error FROM v_pool p JOIN v_unpool u ON u.dst = p.src AND u.src = p.dst GROUP BY 1")
 
 
-@query("K16", _INV)
+@query("K16", _INV, customers="node")
 def inversion_error(t: Tables):
     return remap.inversion_error(remap.pool_matrix(t.weights), remap.unpool_matrix(t.weights))
 
@@ -345,14 +345,14 @@ def _chain(t: Tables):
     return remap.compose(remap.pool_matrix(remap.overlap_weights(t.dst, coarse)), remap.pool_matrix(t.weights)), coarse
 
 
-@query("K17", _CHAIN)
+@query("K17", _CHAIN, customers="src")
 def compose(t: Tables):
     return _chain(t)[0]
 
 
 @query("K17", f"""
 SELECT c.dst AS node, sum(c.w) AS row_sum, sum(abs(c.w - coalesce(d.w, 0))) AS off_direct
-FROM ({_CHAIN}) c LEFT JOIN {_DIRECT} d ON d.dst = c.dst AND d.src = c.src GROUP BY 1""")
+FROM ({_CHAIN}) c LEFT JOIN {_DIRECT} d ON d.dst = c.dst AND d.src = c.src GROUP BY 1""", customers="node")
 def compose_vs_direct(t: Tables):
     """Chained remapping keeps row sums of one but differs from the direct matrix."""
     chained, coarse = _chain(t)
@@ -381,7 +381,7 @@ GROUP BY 1, 2"""
 
 @query("K18", f"""
 WITH l AS ({_LATTICE}), a AS (SELECT p.dst, l.j AS src, sum(p.w * l.w) AS w FROM v_pool p JOIN l ON l.i = p.src GROUP BY 1, 2)
-SELECT a.dst AS i, u.src AS j, sum(a.w * u.w) AS w FROM a JOIN v_unpool u ON u.dst = a.src GROUP BY 1, 2""")
+SELECT a.dst AS i, u.src AS j, sum(a.w * u.w) AS w FROM a JOIN v_unpool u ON u.dst = a.src GROUP BY 1, 2""", customers="j")
 def coarsen_laplacian(t: Tables):
     return remap.coarsen_laplacian(remap.pool_matrix(t.weights), _lattice(t), remap.unpool_matrix(t.weights))
 
