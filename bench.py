@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -41,7 +42,9 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
-                          spark__ui__showConsoleProgress="false", spark__driver__memory="12g")
+                          spark__ui__showConsoleProgress="false", spark__driver__memory="12g",
+                          # small tables: a core for every small partition; scratch tables go where the run's other temporary files are
+                          spark__sql__adaptive__coalescePartitions__minPartitionSize="128KB", spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="bench-"))
     spark.sparkContext.setLogLevel("ERROR")
     registered = all_queries()
     registered["time_slice"].run(spark, sf).write.format("noop").mode("overwrite").save()  # start-up
