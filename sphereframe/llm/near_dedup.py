@@ -5,7 +5,8 @@ nothing.  Each tree of the forest orders the classes by its own sequence of MinH
 side by side.  A region of a tree (all classes with one prefix) is taken at the smallest depth at which it is not crowded: the depth adapts
 to each region.  Classes of a region that is not crowded from the start are all compared.  Deeper regions belong to large families; there each class
 is compared with few others, chosen differently in every tree, with the first class where even full depth is crowded, and later with the
-hubs of the family (`hub_pairs`), unless it is connected to them by then.
+hubs of the family (`hub_pairs`), unless it is connected to them by then.  What these few comparisons leave apart goes through an exact join on
+rare shingles (`rare_pairs`), so a link inside a family is found however many classes share its regions.
 
 Candidates go through an estimate from whole signatures, with a margin of over four standard deviations, and are confirmed on full sets.
 First each class is confirmed against its most similar partners only; of the remaining candidates, those whose ends are already connected need
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import in_slices
@@ -168,6 +169,44 @@ def hub_pairs(wide: DataFrame, pairs: DataFrame, joined: DataFrame, percent: int
     return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
+def rare_pairs(wide: DataFrame, sets: DataFrame, joined: DataFrame, percent: int, posts: int = 256) -> DataFrame:
+    """All pairs (a, b) of classes from crowded regions that lie in different components and may have the wanted similarity: a prefix filter join.
+
+    Shingles of one component only cannot be shared by such a pair and come first, the others follow by rising count.  Two sets that are similar
+    enough share one of their first ``n - ceil(percent * n / 100) + 1`` shingles, and behind the first they share enough is left in both.  Classes of
+    a shingle's largest component are only looked at from the others, and shingles of more than ``posts`` classes are dealt over several groups.
+    """
+    known = wide.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = known.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    apart = written(known.join(mixed, "region", "left_semi").select("id", "component").distinct(), "apart")
+
+    def run(batches):
+        for batch in slices(batches, 50):
+            full = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            n = np.array([len(x) for x in full])
+            ids, component, row = (pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n)) for i in (0, 1, 2))
+            yield pa.RecordBatch.from_arrays([ids, component, row, pa.array(np.repeat(n, n)), pa.array(np.concatenate(full).view(np.int64))], names=["id", "component", "row", "n", "shingle"])
+
+    # ids may repeat with other texts: ``row`` tells their sets apart
+    rows = sets.join(apart, "id").select("id", "component", F.xxhash64("full").alias("row"), "full").dropDuplicates(["id", "row"])
+    all_ = rows.mapInArrow(run, "id long, component long, row long, n long, shingle long")
+    common = all_.groupBy("shingle").agg(F.count(F.lit(1)).alias("count"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle", "count")
+    own = Window.partitionBy("id", "row")
+    at = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("count", "shingle")) - 1
+    first = written(all_.join(common, "shingle").withColumn("at", at).filter(F.col("at") <= F.expr(f"n - (n * {percent} + 99) div 100")).select("id", "component", "n", "shingle", "at"), "first")
+
+    counts = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("m"))
+    parts = F.ceil(F.col("all") / posts).cast("long")
+    placed = first.join(counts.filter(F.col("all") > F.col("m.c")).select("shingle", parts.alias("parts"), F.col("m.component").alias("main")), "shingle")
+    left = placed.filter("component <> main").select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    right = placed.select("shingle", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"), "main")
+    once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
+    fits = (F.col("na") * percent <= F.col("nb") * 100) & (F.col("nb") * percent <= F.col("na") * 100)
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    met = left.join(right, ["shingle", "part"]).filter(once & fits & enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def estimated(pairs: DataFrame, classes: DataFrame, forest: Forest, percent: int) -> DataFrame:
     """Pairs whose signatures agree in a share that the wanted similarity may have, with that share as ``agree``."""
     p = percent / 100
@@ -263,6 +302,9 @@ def near_duplicates(df: DataFrame, *, width: int = 4, percent: int = 80, forest:
              .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
     more = confirmed(open_.unionByName(hubs).distinct(), sets, percent)
     whole = written(components(links.unionByName(more)), "components")
+    rest = written(confirmed(estimated(rare_pairs(wide, sets, whole, percent), classes, forest, percent), sets, percent), "rest")
+    if not rest.isEmpty():
+        whole = written(components(whole.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest)), "components")
 
     members = docs.join(least, "set", "left").join(whole, "id", "left")
     component = F.coalesce("component", "id", "doc_id")

@@ -132,6 +132,19 @@ def test_near_duplicates_family(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == component
 
 
+def test_near_duplicates_outliers(spark):
+    """A family of 680 with the settings of op5.  Members add words of their own to the base; 20 pairs add more and lack one word, so each is linked with its partner only."""
+    base = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(base + [f"z{i}_{k}" for k in range(45)]) for i in range(640)}
+    for i in range(20):
+        for j in range(2):
+            texts[1000 + 2 * i + j] = " ".join(base[:9 + 19 * i] + base[10 + 19 * i:] + [f"y{i}_{j}_{k}" for k in range(48)])
+    _, component = plain_components(texts, 4, 80)
+    assert component == {i: 0 if i < 1000 else i - i % 2 for i in texts}
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == component
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
