@@ -184,8 +184,8 @@ def score(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str
 
 def with_boundary(df: DataFrame, generator: Callable[[DataFrame], DataFrame],
                   keys: Sequence[str] = ("node", "time")) -> DataFrame:
-    """Join boundary conditions a user callable makes for the (node, time) pairs of ``df``."""
-    return df.join(generator(df.select(*keys)), list(keys))
+    """Join boundary conditions a user callable makes for the (node, time) pairs of ``df``; NULL where it makes none."""
+    return df.join(generator(df.select(*keys)), list(keys), "left")
 
 
 def rollout(samples: DataFrame, scorer: LocalScorer, lags: Sequence[str], iterations: int, step_hours: int,

@@ -238,3 +238,9 @@ def test_repeated_offsets(spark):
     df = spark.range(6).select(F.expr("timestamp_ntz '2020-01-01' + make_dt_interval(0, cast(id as int))").alias("time"))
     got = samples.valid_reference_times(df, df, [0, 1, 1]).orderBy("time").collect()
     assert [r.status for r in got] == ["ok"] * 5 + ["future"]
+
+
+def test_boundary_keeps_rows(spark):
+    df = spark.createDataFrame([(1, 10, 0.5), (2, 10, 1.5)], "node long, time long, z double")
+    got = samples.with_boundary(df, lambda keys: keys.where("node = 1").withColumn("tisr", F.lit(3.0))).orderBy("node").collect()
+    assert [tuple(r) for r in got] == [(1, 10, 0.5, 3.0), (2, 10, 1.5, None)]
