@@ -110,7 +110,7 @@ def gate(text: Column) -> Column:
     for k in KEYWORDS:
         found = F.contains(low, F.lit(k)) | found
     # phrases of several words may be parted by any separators
-    return found | F.rlike(low, F.lit(r"public[\x00-\x2F\x3A-\x60\x7B-\x7F]+domain|all[\x00-\x2F\x3A-\x60\x7B-\x7F]+rights|creative[\x00-\x2F\x3A-\x60\x7B-\x7F]+commons|permission[\x00-\x2F\x3A-\x60\x7B-\x7F]+is|free[\x00-\x2F\x3A-\x60\x7B-\x7F]+software"))
+    return found | F.rlike(low, F.lit(r"public[\x00-\x2F\x3A-\x60\x7B-\x7F]+domain|all[\x00-\x2F\x3A-\x60\x7B-\x7F]+rights|creative[\x00-\x2F\x3A-\x60\x7B-\x7F]+commons|permission[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:is|to)|neither[\x00-\x2F\x3A-\x60\x7B-\x7F]+the|unless[\x00-\x2F\x3A-\x60\x7B-\x7F]+required|free[\x00-\x2F\x3A-\x60\x7B-\x7F]+software"))
 
 
 def scan(df: DataFrame, found: list[Rule] | None = None, *, text: str = "text", key: str = "doc_id") -> DataFrame:

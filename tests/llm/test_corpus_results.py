@@ -109,6 +109,13 @@ def plain_components(texts: dict, width: int, percent: int) -> tuple[dict, dict]
     return {i: len(s) for i, s in sets.items()}, {i: find(i) for i in sets}
 
 
+def test_license_gate_passes_every_notice(spark):
+    texts = [pattern.replace("(?:\\S+ ){1,8}", "the author ").replace("(?:c )?(?:19|20)[0-9][0-9]", "1999").replace("[123]", "2").replace("[23]", "2").replace("(?: v?2)?", "") for _, pattern, _ in licenses.NOTICES]
+    texts += [t.replace(" ", " --\n") for t in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").filter(licenses.gate(F.col("text"))).select("doc_id").collect()
+    assert {r.doc_id for r in got} == set(range(len(texts)))
+
+
 def test_near_duplicates_plain(spark, frame, texts):
     sizes, component = plain_components(texts, 4, 80)
     got = {r.doc_id: r for r in near_dedup.near_duplicates(frame).collect()}
