@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, bpe, exact_dedup, langid, licenses, near_dedup, packing, quality, secrets, toxicity
+from . import ann, bpe, exact_dedup, langid, licenses, mtree, near_dedup, packing, periodicity, quality, resampling, secrets, toxicity
 from .common import documents, fold, held_out, table
 
 
@@ -61,9 +61,21 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
+def op13_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodicity.digest(periodicity.collapse(documents(spark, sf_dir), rewrite=periodicity.planted))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_quality, op4_licenses, op5_near_dedup, op6_langid, op7_byte_bpe, op8_packing, op9_toxicity, op10_ann, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op4_licenses": licenses.sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_quality, op4_licenses, op5_near_dedup, op6_langid, op7_byte_bpe, op8_packing, op9_toxicity, op10_ann, op11_mtree, op12_resampling, op13_periodicity, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op4_licenses": licenses.sql(), "op11_mtree": mtree.SQL}
