@@ -19,25 +19,49 @@ from .grids import _int_div
 SLIVER_DEG = 1e-9
 
 
-def overlap_weights(src_cells: DataFrame, dst_cells: DataFrame) -> DataFrame:
+def overlap_weights(src_cells: DataFrame, dst_cells: DataFrame, split: int = 4096) -> DataFrame:
     """Overlap areas of the cells of two rectilinear grids: (dst, src, w).
 
-    Binned range join: bins are as wide as the largest cell, so a cell touches
-    at most two or three per axis; pairs meet in every bin they share and are
-    kept in the first one only.
+    Binned range join by size class: a cell's class is the power of two that holds its width, for each axis.  Two classes meet in bins as wide as
+    the wider one, so a cell touches two or three bins an axis for each class of the other grid, however much the sizes differ.  Bins in which more
+    than ``split`` cells of one class lie, under a cell that is much larger, are dealt over parts and the other side visits each part.  Pairs are
+    kept in the first bin they share.
     """
-    sizes = src_cells.select("lat0", "lat1", "lon0", "lon1").unionByName(dst_cells.select("lat0", "lat1", "lon0", "lon1"))
-    bins = sizes.agg(F.struct(F.max(F.col("lat1") - F.col("lat0")).alias("lat"),
-                              F.max(F.col("lon1") - F.col("lon0")).alias("lon")).alias("_b")).scalar()
+    bounds = ("lat0", "lat1", "lon0", "lon1")
 
-    def binned(cells: DataFrame, tag: str) -> DataFrame:
-        out = cells.select(F.col("node").alias(tag), *[F.col(c).alias(f"{tag}_{c}") for c in ("lat0", "lat1", "lon0", "lon1")])
+    def classed(cells: DataFrame, tag: str) -> DataFrame:
+        out = cells.select(F.col("node").alias(tag), *[F.col(c).alias(f"{tag}_{c}") for c in bounds])
         for axis in ("lat", "lon"):
-            low, high = F.floor(F.col(f"{tag}_{axis}0") / bins[axis]), F.floor(F.col(f"{tag}_{axis}1") / bins[axis])
+            width = F.col(f"{tag}_{axis}1") - F.col(f"{tag}_{axis}0")
+            out = out.where(width > SLIVER_DEG).withColumn(f"{tag}_k{axis}", F.ceil(F.log2(width)).cast("int"))
+        return out
+
+    def binned(cells: DataFrame, tag: str, others: DataFrame, other: str) -> DataFrame:
+        classes = others.agg(F.collect_set(F.struct(f"{other}_klat", f"{other}_klon"))).scalar()  # a few sizes, whatever the number of cells
+        out = cells.withColumn("_o", F.explode(classes)).select("*", "_o.*").drop("_o")
+        for axis in ("lat", "lon"):
+            width = F.pow(F.lit(2.0), F.greatest(f"src_k{axis}", f"dst_k{axis}"))
+            low, high = F.floor(F.col(f"{tag}_{axis}0") / width), F.floor(F.col(f"{tag}_{axis}1") / width)
             out = out.withColumn(f"{tag}_first_{axis}", low).withColumn(f"_{axis}", F.explode(F.sequence(low, high)))
         return out
 
-    pairs = binned(src_cells, "src").join(binned(dst_cells, "dst"), ["_lat", "_lon"])
+    src, dst = classed(src_cells, "src"), classed(dst_cells, "dst")
+    key = ["src_klat", "src_klon", "dst_klat", "dst_klon", "_lat", "_lon"]
+    left, right = binned(src, "src", dst, "dst"), binned(dst, "dst", src, "src")
+
+    def parts(rows: DataFrame, output: str) -> DataFrame:
+        unequal = (F.col("src_klat") != F.col("dst_klat")) | (F.col("src_klon") != F.col("dst_klon"))  # of equal size, a few cells fill a bin
+        return rows.where(unequal).groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / split).alias(output)).where(F.col(output) > 1)
+
+    def dealt(rows: DataFrame, tag: str) -> DataFrame:
+        other = "dst" if tag == "src" else "src"
+        own, far = (F.coalesce(f"_n_{x}", F.lit(1)).cast("long") for x in (tag, other))
+        out = rows.join(crowded, key, "left")
+        return (out.withColumn(f"_p_{tag}", F.pmod(F.xxhash64(tag), own)).withColumn(f"_p_{other}", F.explode(F.sequence(F.lit(0).cast("long"), far - 1)))
+                .drop("_n_src", "_n_dst"))
+
+    crowded = parts(left, "_n_src").join(parts(right, "_n_dst"), key, "full")
+    pairs = dealt(left, "src").join(dealt(right, "dst"), [*key, "_p_src", "_p_dst"])
     for axis in ("lat", "lon"):
         pairs = pairs.where(F.col(f"_{axis}") == F.greatest(f"src_first_{axis}", f"dst_first_{axis}"))
         pairs = pairs.withColumns({f"{axis}0": F.greatest(f"src_{axis}0", f"dst_{axis}0"),

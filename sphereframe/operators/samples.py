@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -231,6 +232,86 @@ def rollout(samples: DataFrame, scorer: LocalScorer, lags: Sequence[str], iterat
     return out.withColumn("leadtime", ((F.col("iteration") + 1) * step_hours).cast("int"))
 
 
+StateScorer = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+
+
+def with_future(samples: DataFrame, boundary: DataFrame, variables: Sequence[str], hours: Sequence[int], output: str = "future") -> DataFrame:
+    """Boundary conditions at ``time + h`` for every h of ``hours`` as one struct column of arrays in that order, NULL where there is none.
+
+    Samples and boundary rows meet once in (node, chunk of time), whatever the number of hours; a boundary row travels to the chunks whose
+    samples can need it, and the struct travels with its sample from then on.  Of repeated boundary rows the greatest value counts.
+    """
+    hours = [int(h) for h in hours]
+    lo, hi = min(hours), max(hours)
+    chunk = max(30 * 24, 8 * (hi - lo))
+    keep = [c for c in samples.columns if c not in ("node", "time")]
+    own = samples.select("node", "time", F.struct(*keep, F.lit(0).alias("_")).alias("_s"), chunk_index(shift_hours("time", lo), chunk).alias("_chunk"))
+    sent = boundary.groupBy("node", "time").agg(F.struct(*[F.max(F.col(v).cast("double")).alias(v) for v in variables]).alias("_b"))
+    sent = sent.withColumn("_chunk", F.explode(F.sequence(chunk_index(shift_hours("time", lo - hi), chunk), chunk_index("time", chunk))))
+    both = own.unionByName(sent, allowMissingColumns=True).withColumn("_t", epoch_micros("time"))
+    order = W.partitionBy("node", "_chunk").orderBy("_t")
+    at = [F.max("_b").over(order.rangeBetween(HOUR_US * h, HOUR_US * h)) for h in hours]
+    both = both.withColumns({f"_f{i}": c for i, c in enumerate(at)}).where(F.col("_s").isNotNull())
+    future = F.struct(*[F.array(*[F.col(f"_f{i}")[v] for i in range(len(hours))]).alias(v) for v in variables])
+    return both.select("node", "time", *[F.col("_s")[c].alias(c) for c in keep], future.alias(output))
+
+
+def rollout_state(samples: DataFrame, scorer: StateScorer, dynamic: Mapping[str, Sequence[str]], iterations: int, step_hours: int, *,
+                  boundary: DataFrame | None = None, boundary_vars: Sequence[str] = (), static: DataFrame | None = None, static_vars: Sequence[str] = (),
+                  block: int | None = None) -> DataFrame:
+    """Iterate a scorer that predicts several variables together from their lags, boundary conditions and static features.
+
+    ``dynamic`` names the lag columns of every variable in ``samples``, oldest first, as many for each.  ``scorer(state, bc, static, i)`` gets
+    arrays (rows, lags, variables), (rows, boundary_vars) at the time it predicts (``time + i * step``) and (rows, static_vars), and returns
+    (rows, variables), which become the newest lags.  What is missing reaches the scorer as NaN, and NaN comes out as NULL.
+
+    Future boundary values are joined once before the loop and carried with each row, and static features are joined by node, so no step joins
+    anything; rows never leave their partition.  ``block`` limits the iterations of one pass, and of the boundary values carried at a time.
+    Result: (node, time, iteration, <variables>, leadtime).
+    """
+    names = list(dynamic)
+    lags = {len(dynamic[v]) for v in names}
+    if len(lags) != 1 or not names:
+        raise ValueError("every variable needs the same number of lags")
+    depth, block = lags.pop(), block or iterations
+    state = F.array(*[F.col(dynamic[v][k]).cast("double") for k in range(depth) for v in names])
+    keep = samples.select("node", "time", state.alias("state"))
+    fixed = F.array(*[F.col(c).cast("double") for c in static_vars]) if static_vars else F.array().cast("array<double>")
+    keep = keep.join(static.select("node", *static_vars), "node", "left").select(*keep.columns, fixed.alias("static")) if static is not None and static_vars else keep.withColumn("static", fixed)
+    schema = T.StructType([keep.schema["node"], keep.schema["time"], T.StructField("iteration", T.IntegerType()), *[T.StructField(v, T.DoubleType()) for v in names],
+                           T.StructField("state", T.ArrayType(T.DoubleType())), T.StructField("static", T.ArrayType(T.DoubleType()))])
+
+    def advance(start: int, stop: int):
+        def array(column, shape) -> np.ndarray:
+            return np.array([[np.nan if x is None else x for x in r] for r in column], dtype=float).reshape(shape)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                n = len(frame)
+                if not n:
+                    continue
+                now, constant = array(frame["state"], (n, depth, len(names))), array(frame["static"], (n, len(static_vars)))
+                ahead = np.stack([array([f[v] for f in frame["future"]], (n, stop - start)) for v in boundary_vars], axis=2) if boundary_vars else np.zeros((n, stop - start, 0))
+                for i in range(start, stop):
+                    value = np.asarray(scorer(now, ahead[:, i - start], constant, i), dtype=float).reshape(n, len(names))
+                    now = np.concatenate([now[:, 1:], value[:, None]], axis=1)
+                    last = i == stop - 1
+                    yield pd.DataFrame({"node": frame["node"], "time": frame["time"], "iteration": np.int32(i), **{v: value[:, k] for k, v in enumerate(names)},
+                                        "state": list(now.reshape(n, -1)) if last else None, "static": frame["static"] if last else None})
+        return run
+
+    parts = []
+    for start in range(0, iterations, block):
+        stop = min(start + block, iterations)
+        rows = with_future(keep, boundary, boundary_vars, [i * step_hours for i in range(start, stop)]) if boundary is not None and boundary_vars else keep
+        made = rows.mapInPandas(advance(start, stop), schema)
+        if stop < iterations:
+            made = cut_lineage(made)
+            keep = made.where(F.col("iteration") == stop - 1).select("node", "time", "state", "static")
+        parts.append(made.select("node", "time", "iteration", *[F.when(~F.isnan(v), F.col(v)).alias(v) for v in names]))
+    return reduce(DataFrame.unionByName, parts).withColumn("leadtime", ((F.col("iteration") + 1) * step_hours).cast("int"))
+
+
 def rollout_fields(state: DataFrame, step: Callable[[DataFrame], DataFrame], iterations: int, step_hours: int,
                    block: int = 4) -> DataFrame:
     """Iterate a scorer that mixes nodes: ``step`` maps a (node, time, ...) table to the next one.

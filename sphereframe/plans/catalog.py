@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, Query
 
-MODULES = ("sources", "reshaping", "alignment", "statistics", "verification", "sampling", "spherical", "networks", "streams")
+MODULES = ("sources", "reshaping", "alignment", "statistics", "verification", "sampling", "spherical", "networks", "streams", "layouts")
 
 
 def all_queries() -> dict[str, Query]:

@@ -162,6 +162,24 @@ def lmax_gram(t: Tables):
     return graphs.krylov_gram(t.laplacian, _GRAM)[1]
 
 
+def _mass_gram_sql() -> str:
+    step = "SELECT i AS node, 2 / g * sum(w * v) - max(CASE WHEN i = j THEN v END) AS v FROM a JOIN {0} ON node = j, bound GROUP BY i, g"
+    ctes = ["a AS MATERIALIZED (SELECT l.i, j, w / mass AS w FROM l JOIN m ON m.i = l.i)", "bound AS MATERIALIZED (SELECT max(r) AS g FROM (SELECT sum(abs(w)) AS r FROM a GROUP BY i))",
+            "t0 AS MATERIALIZED (SELECT i AS node, 1 + (i * 7 % 11) / 16.0::DOUBLE - (i % 2) * 2.0::DOUBLE AS v FROM m)", f"t1 AS MATERIALIZED ({step.format('t0')})",
+            f"s2 AS MATERIALIZED ({step.format('t1')})", "t2 AS MATERIALIZED (SELECT s.node, 2 * s.v - p.v AS v FROM s2 s JOIN t0 p ON p.node = s.node)"]
+    ctes += [f"lt{k} AS MATERIALIZED (SELECT i AS node, sum(w * v) AS v FROM l JOIN t{k} ON node = j GROUP BY i)" for k in range(_GRAM)]
+    pairs = [(x, y) for x in range(_GRAM) for y in range(x, _GRAM)]
+    dots = [f"(SELECT sum(mass * x.v * y.v) FROM t{x} x JOIN t{y} y ON x.node = y.node JOIN m ON m.i = x.node) AS m_{x}_{y}" for x, y in pairs]
+    dots += [f"(SELECT sum(x.v * y.v) FROM t{x} x JOIN lt{y} y ON x.node = y.node) AS l_{x}_{y}" for x, y in pairs]
+    return _TRI.rstrip() + ",\n" + ",\n".join(ctes) + "\nSELECT " + ", ".join(dots)
+
+
+@query("J8", _mass_gram_sql())
+def lmax_mass_gram(t: Tables):
+    """The mass-weighted products from which the largest eigenvalue of M^-1 L is estimated."""
+    return graphs.mass_krylov_gram(*graphs.cotan_laplacian(*mesh(t)), _GRAM)[1]
+
+
 @query("J9", "SELECT i, j, w * (2.0::DOUBLE * 0.75 / 1.5) - CASE WHEN i = j THEN 1 ELSE 0 END AS w FROM v_lap")
 def rescale(t: Tables):
     return graphs.rescale(t.laplacian, 1.5, 0.75)
@@ -207,6 +225,19 @@ def reach(t: Tables):
     return graphs.reach(t.edges, 2)
 
 
+@query("J13", """
+WITH s AS (SELECT i, j FROM v_edge UNION SELECT i, i FROM v_edge),
+p AS (SELECT DISTINCT a.i, b.j FROM s a JOIN s b ON a.j = b.i)
+SELECT count(*) AS pairs, true AS estimate_agrees, CAST(0 AS BIGINT) AS far_nodes FROM p""")
+def reach_sketched(t: Tables):
+    """Reach by sketches next to the exact count: their sum within one percent, and no node off by five times the sketches' error."""
+    step = t.edges.select("i", "j").unionByName(t.edges.select("i", F.col("i").alias("j"))).distinct()
+    exact = step.join(step.select(F.col("i").alias("j"), F.col("j").alias("_to")), "j").select("i", "_to").distinct().groupBy(F.col("i").alias("node")).agg(F.count(F.lit(1)).alias("exact"))
+    both = exact.join(graphs.reach_sketched(t.edges, 2), "node", "full")
+    off = F.coalesce(F.abs(F.col("reached") - F.col("exact")) > F.greatest(F.lit(1.0), 5 * 1.04 / 64 * F.col("exact")), F.lit(True))
+    return both.agg(F.sum("exact").alias("pairs"), (F.abs(F.sum("reached") / F.sum("exact") - 1) < 0.01).alias("estimate_agrees"), F.count_if(off).alias("far_nodes"))
+
+
 @query("J14", """
 WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events), b AS (SELECT unnest(range(40)) AS bin),
 c AS (SELECT least(CAST(floor((value - lo) / ((hi - lo) / 40)) AS BIGINT), 39) AS bin, count(*) AS n FROM events, e GROUP BY 1)

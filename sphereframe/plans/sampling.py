@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import skill as sk
-from ..functions.columns import shift_hours
+from ..functions.columns import shift_hours, truncate_hours
 from ..operators import samples
 from .registry import query
 from .verification import wide_sql
@@ -171,6 +172,52 @@ def rollout_fields(t: Tables):
     return samples.rollout_fields(t.obs, step, 4, STEP, block=2)
 
 
+def coupled(state, bc, static, iteration):
+    """Mean and peak relax towards their past and towards each other, driven by radiation and the height of the ground."""
+    z, peak = state[:, :, 0], state[:, :, 1]
+    sun, ground = np.nan_to_num(bc[:, 0]), np.nan_to_num(static[:, 0]) / 1024.0
+    return np.column_stack([0.5 * z[:, 2] + 0.25 * z[:, 1] + 0.125 * peak[:, 0] + sun + ground, 0.5 * peak[:, 2] + 0.25 * z[:, 2] + 0.25 * iteration * sun])
+
+
+def _both(t: Tables):
+    """(node, time, z, peak): average and greatest value of each step."""
+    e = t.table("events").select(F.col("user_id").alias("node"), truncate_hours("ts", 6).alias("time"), "value")
+    return t.obs.join(e.groupBy("node", "time").agg(F.max("value").alias("peak")), ["node", "time"])
+
+
+def _coupled_sql(iterations: int = 4) -> str:
+    """The closed form of the iterations, radiation looked up at the time each of them predicts."""
+    slot = "date_trunc('day', ts) + to_hours(CAST(6 * (hour(ts) // 6) AS BIGINT))"
+    join = " ".join(f"JOIN o l{i} ON l{i}.node = t.node AND l{i}.time = t.time - INTERVAL {h} HOUR" for i, h in enumerate((18, 12, 6)))
+    ctes = [f"p AS (SELECT user_id AS node, {slot} AS time, max(value) AS peak FROM events GROUP BY 1, 2)", "o AS (SELECT node, time, z, peak FROM v_obs JOIN p USING (node, time))",
+            "times AS (SELECT DISTINCT node, time + INTERVAL 6 HOUR AS time FROM o)",
+            f"r0 AS (SELECT t.node, t.time, l0.z AS za, l1.z AS zb, l2.z AS zc, l0.peak AS pa, l1.peak AS pb, l2.peak AS pc, coalesce(s.orog_raw, 0) / 1024.0::DOUBLE AS g FROM times t {join} LEFT JOIN v_static s ON s.node = t.node)"]
+    for i in range(iterations):
+        sun = "coalesce(b.tisr, 0)"
+        ctes.append(f"r{i + 1} AS (SELECT r.node, r.time, g, zb AS za, zc AS zb, 0.5::DOUBLE * zc + 0.25::DOUBLE * zb + 0.125::DOUBLE * pa + {sun} + g AS zc, pb AS pa, pc AS pb, "
+                    f"0.5::DOUBLE * pc + 0.25::DOUBLE * zc + 0.25::DOUBLE * {i} * {sun} AS pc FROM r{i} r LEFT JOIN v_bc b ON b.node = r.node AND b.time = r.time + INTERVAL {6 * i} HOUR)")
+    out = " UNION ALL ".join(f"SELECT node, time, CAST({i} AS INTEGER) AS iteration, zc AS z, pc AS peak, CAST({6 * (i + 1)} AS INTEGER) AS leadtime FROM r{i + 1}" for i in range(iterations))
+    return "WITH " + ", ".join(ctes) + " " + out
+
+
+def _coupled(t: Tables, block: int | None = None):
+    lags = samples.lag_features(_both(t), ["z", "peak"], INPUT_K, STEP)
+    dynamic = {v: [samples.lag_name(v, k * STEP) for k in INPUT_K] for v in ("z", "peak")}
+    return samples.rollout_state(lags, coupled, dynamic, 4, STEP, boundary=t.bc, boundary_vars=["tisr"], static=t.static, static_vars=["orog_raw"], block=block)
+
+
+@query("H8", _coupled_sql())
+def rollout_state(t: Tables):
+    """Two variables predicted together, with radiation at the predicted times and the height of the ground."""
+    return _coupled(t)
+
+
+@query("O2", _coupled_sql())
+def rollout_state_blocks(t: Tables):
+    """The same run in blocks of three iterations, future radiation looked up anew for each block."""
+    return _coupled(t, 3)
+
+
 @query("O1", f"SELECT node, time, 0.5::DOUBLE * z_m6 + 0.5::DOUBLE * z_m18 AS z FROM ({_LAGS_SQL})")
 def scorer_hook(t: Tables):
     def model(batch: pd.DataFrame) -> pd.DataFrame:

@@ -50,16 +50,38 @@ def grid_healpix(t: Tables):
     return grids.grid_healpix(t.spark, _power_of_two(t))
 
 
+# Newton steps on the three-term recurrence, one row of the recursion per ring, step and degree.
 @query("I3", """
-WITH g AS (SELECT 2 * CAST(ceil((sqrt(81 + count(*)) - 9) / 2) AS BIGINT) AS nlat FROM customer),
+WITH RECURSIVE g AS (SELECT 2 * CAST(ceil((sqrt(81 + count(*)) - 9) / 2) AS BIGINT) AS nlat FROM customer),
 r AS (SELECT unnest(range(nlat)) AS ring, nlat FROM g),
+p AS (SELECT ring, nlat, 0 AS step, 1 AS k, 1.0::DOUBLE AS p0, x AS p1, x FROM (SELECT ring, nlat, cos(pi() * (ring + 0.75) / (nlat + 0.5)) AS x FROM r)
+  UNION ALL SELECT ring, nlat, CASE WHEN k = nlat THEN step + 1 ELSE step END, CASE WHEN k = nlat THEN 1 ELSE k + 1 END,
+    CASE WHEN k = nlat THEN 1.0::DOUBLE ELSE p1 END,
+    CASE WHEN k = nlat THEN x - p1 * (x * x - 1) / (nlat * (x * p1 - p0)) ELSE ((2 * k + 1) * x * p1 - k * p0) / (k + 1) END,
+    CASE WHEN k = nlat THEN x - p1 * (x * x - 1) / (nlat * (x * p1 - p0)) ELSE x END FROM p WHERE step < 6),
+l AS (SELECT ring, degrees(asin(x)) AS lat FROM p WHERE step = 6),
 s AS (SELECT ring, 4 * least(ring + 1, nlat - ring) + 16 AS size, nlat FROM r),
 b AS (SELECT ring, size, sum(size) OVER (ORDER BY ring) - size AS before FROM s)
-SELECT CAST(before + k AS BIGINT) AS node, ring, k * 360.0::DOUBLE / size AS lon FROM (SELECT *, unnest(range(size)) AS k FROM b)""", customers="node")
+SELECT CAST(before + k AS BIGINT) AS node, ring, lat, k * 360.0::DOUBLE / size AS lon FROM (SELECT *, unnest(range(size)) AS k FROM b) JOIN l USING (ring)""", customers="node")
 def grid_octahedral(t: Tables):
-    """Nodes per ring; the Gaussian latitudes have no closed SQL form and are tested apart."""
     nlat = 2 * math.ceil((math.sqrt(81 + t.table("customer").count()) - 9) / 2)
-    return grids.grid_octahedral(t.spark, nlat).drop("lat")
+    return grids.grid_octahedral(t.spark, nlat)
+
+
+@query("I3", """
+WITH RECURSIVE r AS (SELECT c_custkey AS node, c_acctbal AS v, c_custkey % 24 AS ring, cos(pi() * (c_custkey % 24 + 0.75) / 24.5) AS x0 FROM customer),
+q AS (SELECT DISTINCT ring, x0 FROM r),
+p AS (SELECT ring, 0 AS step, 1 AS k, 1.0::DOUBLE AS p0, x0 AS p1, x0 AS x FROM q
+  UNION ALL SELECT ring, CASE WHEN k = 24 THEN step + 1 ELSE step END, CASE WHEN k = 24 THEN 1 ELSE k + 1 END, CASE WHEN k = 24 THEN 1.0::DOUBLE ELSE p1 END,
+    CASE WHEN k = 24 THEN x - p1 * (x * x - 1) / (24 * (x * p1 - p0)) ELSE ((2 * k + 1) * x * p1 - k * p0) / (k + 1) END,
+    CASE WHEN k = 24 THEN x - p1 * (x * x - 1) / (24 * (x * p1 - p0)) ELSE x END FROM p WHERE step < 6)
+SELECT ring, degrees(asin(x)) AS lat, count(*) AS n, avg(v) AS z FROM r JOIN p USING (ring) WHERE step = 6 GROUP BY 1, 2""")
+def gaussian_latitudes(t: Tables):
+    """Customers on the rings of a Gaussian grid: balances averaged by the latitude of each customer's ring."""
+    ring = F.pmod("c_custkey", F.lit(24))
+    placed = t.table("customer").select(ring.alias("ring"), "c_acctbal")
+    means = placed.groupBy("ring").agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("z"))
+    return means.select("ring", F.degrees(F.asin(grids.gaussian_sine(F.col("ring"), F.lit(24)))).alias("lat"), "n", "z")
 
 
 _CUBED = "(SELECT CAST(ceil(sqrt(count(*) / 6.0)) AS BIGINT) AS n FROM customer)"

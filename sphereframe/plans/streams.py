@@ -31,21 +31,45 @@ def stream_append(t: Tables):
     return t.spark.read.parquet(out).select("node", "time", "var", "z")
 
 
-@query("N2", """
+_GAPS_SQL = """
 SELECT node, prev AS gap_start, time AS gap_end, CAST(epoch(time - prev) / 21600 - 1 AS BIGINT) AS missing FROM
 (SELECT node, time, lag(time) OVER (PARTITION BY node ORDER BY time) AS prev FROM v_obs)
-WHERE time - prev > INTERVAL 6 HOUR""")
+WHERE time - prev > INTERVAL 6 HOUR"""
+
+
+def _gaps_of_parts(t: Tables, steps, parts, delay: str):
+    """Each part arrives with all its files, and a run over what is there follows."""
+    out, source = scratch_path(t.spark, "gaps"), scratch_path(t.spark, "steps")
+    for part in parts:
+        steps.where(part).select("node", "time").write.mode("append").parquet(source)
+        arriving = streaming.read_files(t.spark, source, steps.select("node", "time").schema)
+        streaming.stream_gaps(arriving, 6, out, f"{out}-checkpoint", delay).awaitTermination()
+    return streaming.current_gaps(t.spark.read.parquet(out))
+
+
+def _range(t: Tables):
+    """First and last step of the table."""
+    return t.obs.agg(F.min("time").alias("first"), F.max("time").alias("last")).first()
+
+
+@query("N2", _GAPS_SQL)
 def stream_gaps(t: Tables):
-    """Two files in time order and a late one with steps of both."""
-    out = scratch_path(t.spark, "gaps")
-    source = scratch_path(t.spark, "steps")
+    """Both halves of the table's time range in order, then late steps of all of it; the delay covers that range."""
+    ends = _range(t)
+    middle = F.lit(ends["first"] + (ends["last"] - ends["first"]) / 2)
     steps = t.obs.select("node", "time").withColumn("_late", (F.col("node") % 7 == 3) & (F.dayofmonth("time") % 5 == 0))
-    middle = F.lit("2024-01-15").cast("timestamp_ntz")
-    for part in (~F.col("_late") & (F.col("time") < middle), ~F.col("_late") & (F.col("time") >= middle), F.col("_late")):
-        steps.where(part).select("node", "time").coalesce(1).write.mode("append").parquet(source)
-    arriving = streaming.read_files(t.spark, source, steps.select("node", "time").schema, files_per_batch=1)
-    streaming.stream_gaps(arriving, 6, out, f"{out}-checkpoint").awaitTermination()
-    return streaming.current_gaps(t.spark.read.parquet(out))
+    parts = (~F.col("_late") & (F.col("time") < middle), ~F.col("_late") & (F.col("time") >= middle), F.col("_late"))
+    return _gaps_of_parts(t, steps, parts, f"{(ends['last'] - ends['first']).days + 1} days")
+
+
+@query("N2", _GAPS_SQL)
+def stream_gaps_expiring(t: Tables):
+    """Five stretches of time in order with a delay of half a day: nodes silent for longer leave the state, and their gaps are found all the same."""
+    ends = _range(t)
+    cuts = [ends["first"] + k * (ends["last"] - ends["first"]) / 5 for k in range(1, 5)]
+    stretch = sum((F.col("time") >= F.lit(c)).cast("int") for c in cuts)
+    steps = t.obs.select("node", "time")
+    return _gaps_of_parts(t, steps, [stretch == k for k in range(5)], "12 hours")
 
 
 @query("N3", """
@@ -64,3 +88,16 @@ def stream_verify(t: Tables):
     forecasts = to_valid_time(_staged(t, t.fcst, "forecasts"))
     streaming.stream_verify(forecasts, _staged(t, t.obs, "observations"), "z", out, f"{out}-checkpoint").awaitTermination()
     return t.spark.read.parquet(out)
+
+
+@query("N4", """
+WITH w AS (SELECT max(time) - INTERVAL 1 DAY AS behind FROM v_obs),
+f AS (SELECT frt, leadtime, node, frt + to_hours(CAST(leadtime AS BIGINT)) AS time, z AS z_pred FROM v_fcst)
+SELECT f.frt, f.leadtime, f.node, f.time, z_pred, o.z AS z_obs, z_pred - o.z AS z_err FROM f LEFT JOIN v_obs o ON o.node = f.node AND o.time = f.time, w
+WHERE o.z IS NOT NULL OR f.time <= behind""")
+def stream_verify_unmatched(t: Tables):
+    """Forecasts nobody observed come out with NULL once the watermark, one day behind the observations, has passed them."""
+    out = scratch_path(t.spark, "verify")
+    forecasts = to_valid_time(_staged(t, t.fcst, "forecasts"))
+    streaming.stream_verify(forecasts, _staged(t, t.obs, "observations"), "z", out, f"{out}-checkpoint", "1 day", unmatched=True).awaitTermination()
+    return t.spark.read.parquet(out)

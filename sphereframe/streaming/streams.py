@@ -7,16 +7,17 @@ replayed after a failure replaces its own output and nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.series import epoch_micros
+from ..functions.series import HOUR_US, epoch_micros
 from ..operators.reshape import rename_drop
 from ..operators.scalers import moment_columns
 from ..sources.stores import with_partition_columns
@@ -60,44 +61,92 @@ def stream_append(stream: DataFrame, var_dict: Mapping[str, str], drops: Sequenc
 
 
 GAPS = "node long, gap_start timestamp, gap_end timestamp, missing long"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def gap_updates(stream: DataFrame, step_hours: int, delay: str) -> DataFrame:
-    """Changes of the list of gaps: a new step is joined to the steps before and after it; ``missing`` 0 closes a gap.
+class GapProcessor(StatefulProcessor):
+    """Steps of a node that may still get a neighbour: those behind the watermark and the last one before it.
 
-    The state of a node holds its steps behind the watermark's last one, so a late row splits or closes the gap it falls into as long as the
-    watermark has not passed it; later ones are dropped by the engine.
+    A node that stays silent for ``silence`` milliseconds of event time leaves the state on a timer.
     """
-    width = step_hours * 3_600_000_000
 
-    def update(key, frames, state):
-        known = set(state.get[0]) if state.exists else set()
+    def __init__(self, step_hours: int, silence: int):
+        self.width, self.silence = step_hours * HOUR_US, silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.steps = handle.getListState("steps", "at long")
+
+    def _rows(self, key, found: list[tuple]) -> pd.DataFrame:
+        stamp = lambda k: pd.to_datetime(pd.Series([f[k] for f in found], dtype="Int64").astype("object").where(lambda c: c.notna(), None), unit="us")
+        return pd.DataFrame({"node": pd.Series([key[0]] * len(found), dtype="int64"), "gap_start": stamp(0), "gap_end": stamp(1), "missing": pd.Series([f[2] for f in found], dtype="Int64")})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = {r[0] for r in self.steps.get()}
         new = set()
-        for f in frames:
-            new.update(f["at"].tolist())
+        for frame in rows:
+            new.update(frame["at"].tolist())
         new -= known
+        if not new:
+            return
         steps = sorted(known | new)
-        found = {(p, n) for p, n in zip(steps, steps[1:]) if p in new or n in new}
-        kept = state.getCurrentWatermarkMs() * 1000
+        found = [(p, n, (n - p - 1) // self.width if n - p > self.width else 0) for p, n in zip(steps, steps[1:], strict=False) if p in new or n in new]
+        if steps[0] in new:
+            found.append((None, steps[0], None))  # nothing is known before this step
+        kept = timerValues.getCurrentWatermarkInMs() * 1000
         last = max((t for t in steps if t < kept), default=None)
-        state.update(([t for t in steps if t >= kept or t == last],))
-        rows = sorted(found)
-        yield pd.DataFrame({"node": pd.Series([key[0]] * len(rows), dtype="int64"), "gap_start": pd.to_datetime([p for p, _ in rows], unit="us"),
-                            "gap_end": pd.to_datetime([n for _, n in rows], unit="us"), "missing": pd.Series([(n - p - 1) // width if n - p > width else 0 for p, n in rows], dtype="int64")})
+        self.steps.put([(t,) for t in steps if t >= kept or t == last])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(steps[-1] // 1000 + self.silence)
+        yield self._rows(key, found)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = max(r[0] for r in self.steps.get())
+        self.steps.clear()
+        yield self._rows(key, [(last, None, None)])
+
+
+def gap_updates(stream: DataFrame, step_hours: int, delay: str) -> DataFrame:
+    """Changes of the list of gaps: a new step is joined to the steps before and after it; ``missing`` 0 closes a gap.
+
+    Rows later than ``delay`` are dropped by the engine; a late row inside it splits or closes the gap it falls into.  A node silent for longer than
+    the delay leaves the state with a mark (gap_start, NULL), and a step before which nothing is known comes with a mark (NULL, gap_end):
+    :func:`current_gaps` joins the two, so state stays small and no gap is lost.
+    """
+    millis = int(pd.Timedelta(delay) / pd.Timedelta(milliseconds=1))
     timed = as_event_time(stream.select(F.col("node").cast("long").alias("node"), epoch_micros("time").alias("at"), "time")).withWatermark("time", delay)
-    return timed.groupBy("node").applyInPandasWithState(update, GAPS, "steps array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("node").transformWithStateInPandas(GapProcessor(step_hours, millis), GAPS, "Update", "EventTime")
 
 
 def stream_gaps(stream: DataFrame, step_hours: int, path: str, checkpoint: str, delay: str = "60 days") -> StreamingQuery:
-    """Write every change of the gaps of each node's series; :func:`current_gaps` reads those that are open."""
-    return _run(gap_updates(stream, step_hours, delay), lambda df, b: _write_batch(df, path, b), checkpoint, "update")
+    """Write every change of the gaps of each node's series; :func:`current_gaps` reads those that are open.
+
+    The state lives in RocksDB on the executors' disks; the setting is taken when the query starts and put back after that.
+    """
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        return _run(gap_updates(stream, step_hours, delay), lambda df, b: _write_batch(df, path, b), checkpoint, "update")
+    finally:
+        spark.conf.set(key, before)
 
 
-def current_gaps(written: DataFrame) -> DataFrame:
-    """Open gaps in the newest version of each: (node, gap_start, gap_end, missing)."""
-    now = latest(written, ["node", "gap_start"]).where(F.col("missing") > 0)
-    return now.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("gap_start", "gap_end")}).select("node", "gap_start", "gap_end", "missing")
+def current_gaps(written: DataFrame, step_hours: int = 6) -> DataFrame:
+    """Open gaps in the newest version of each: (node, gap_start, gap_end, missing).
+
+    Silences, marked when a node left the state, end at the node's next step that came with an arrival mark.
+    """
+    pairs = latest(written.where(F.col("gap_start").isNotNull() & F.col("gap_end").isNotNull()), ["node", "gap_start"]).where(F.col("missing") > 0)
+    marks = (written.where(F.col("gap_start").isNull() | F.col("gap_end").isNull())
+             .select("node", F.coalesce("gap_start", "gap_end").alias("_at"), F.col("gap_end").isNull().alias("_left")).distinct())
+    later = F.min(F.when(~F.col("_left"), F.col("_at"))).over(W.partitionBy("node").orderBy("_at").rowsBetween(1, W.unboundedFollowing))  # marks of a node: a few
+    silent = marks.withColumn("gap_end", later).where(F.col("_left") & F.col("gap_end").isNotNull())
+    width = F.expr("timestampdiff(MICROSECOND, _at, gap_end)") / F.lit(float(step_hours * HOUR_US))
+    silent = silent.select("node", F.col("_at").alias("gap_start"), "gap_end", (F.ceil(width) - 1).cast("long").alias("missing")).where(F.col("missing") > 0)
+    now = pairs.select("node", "gap_start", "gap_end", "missing").unionByName(silent)
+    return now.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("gap_start", "gap_end")})
 
 
 def moments(stream: DataFrame, variables: Sequence[str], width: str = "6 hours", delay: str = "1 day") -> DataFrame:
@@ -120,17 +169,20 @@ def latest(df: DataFrame, keys: Sequence[str], version: str = "batch") -> DataFr
     return newest.select(*keys, "_v.*")
 
 
-def verify(forecasts: DataFrame, observations: DataFrame, variable: str, delay: str = "10 days") -> DataFrame:
-    """Stream-stream join of forecasts (with valid time) and observations, with errors."""
+def verify(forecasts: DataFrame, observations: DataFrame, variable: str, delay: str = "10 days", unmatched: bool = False) -> DataFrame:
+    """Stream-stream join of forecasts (with valid time) and observations, with errors.
+
+    With ``unmatched`` also forecasts without observation, with NULL, as soon as the watermark has passed their valid time.
+    """
     f = as_event_time(forecasts).withColumnRenamed(variable, f"{variable}_pred").withWatermark("time", delay)
     o = as_event_time(observations).select("node", "time", F.col(variable).alias(f"{variable}_obs")).withWatermark("time", delay)
-    joined = f.join(o, ["node", "time"])
+    joined = f.join(o, ["node", "time"], "left_outer" if unmatched else "inner")
     return joined.withColumn(f"{variable}_err", F.col(f"{variable}_pred") - F.col(f"{variable}_obs")).withColumn(
         "time", F.col("time").cast("timestamp_ntz"))
 
 
 def stream_verify(forecasts: DataFrame, observations: DataFrame, variable: str, path: str, checkpoint: str,
-                  delay: str = "10 days") -> StreamingQuery:
-    """Emit an error row as soon as both a forecast and its observation have arrived."""
-    return (verify(forecasts, observations, variable, delay).writeStream.outputMode("append").format("parquet")
+                  delay: str = "10 days", unmatched: bool = False) -> StreamingQuery:
+    """Emit an error row as soon as both a forecast and its observation have arrived, and what stays ``unmatched`` once it is too late for that."""
+    return (verify(forecasts, observations, variable, delay, unmatched).writeStream.outputMode("append").format("parquet")
             .option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

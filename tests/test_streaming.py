@@ -74,3 +74,38 @@ def test_verify_across_batches(spark, tables):
     streaming.stream_verify(f, o, "z", out, out + "-cp", delay="40 days").awaitTermination()
     want = align.forecast_error(tables.fcst, tables.obs, ["z"])
     assert rows(spark.read.parquet(out)) == rows(want)
+
+
+def test_silent_nodes_leave_the_state(spark):
+    path, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda h: t0 + dt.timedelta(hours=h)
+    parts = [[(1, 0), (1, 6), (2, 0), (3, 0)], [(2, 48), (2, 54)], [(1, 96), (2, 96)], [(1, 90), (1, 102), (2, 150)]]
+    states = []
+    for part in parts:
+        spark.createDataFrame([(n, at(h)) for n, h in part], "node long, time timestamp_ntz").write.mode("append").parquet(path)
+        stream = streaming.read_files(spark, path, spark.read.parquet(path).schema)
+        query = streaming.stream_gaps(stream, 6, out, out + "-cp", delay="1 day")
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = spark.read.parquet(out)
+    left = {(r.node, r.gap_start) for r in got.where("gap_end IS NULL").collect()}
+    assert {(1, at(6)), (3, at(0))} <= left  # node 3 never comes back
+    want = quality.missing_timesteps(spark.createDataFrame([(n, at(h)) for p in parts for n, h in p], "node long, time timestamp_ntz"), 6)
+    assert rows(streaming.current_gaps(got)) == rows(want)
+    assert states[-1] <= 4  # at most the last step and the timer of two nodes
+
+
+def test_unmatched_forecasts(spark):
+    f_path, o_path, out = (scratch_path(spark, n) for n in ("f", "o", "out"))
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda h: t0 + dt.timedelta(hours=h)
+    fc = spark.createDataFrame([(n, at(h), float(h)) for n in (1, 2) for h in range(0, 120, 6)], "node long, time timestamp_ntz, z double")
+    ob = spark.createDataFrame([(n, at(h), 1.0) for n in (1, 2) for h in range(0, 96, 6) if (h + n) % 4], "node long, time timestamp_ntz, z double")
+    for df, path in ((fc, f_path), (ob, o_path)):
+        df.write.parquet(path)
+    streaming.stream_verify(streaming.read_files(spark, f_path, fc.schema), streaming.read_files(spark, o_path, ob.schema), "z", out, out + "-cp", "1 day", unmatched=True).awaitTermination()
+    got = {(r.node, r.time): (r.z_pred, r.z_obs) for r in spark.read.parquet(out).collect()}
+    seen = {(r.node, r.time) for r in ob.collect()}
+    behind = max(t for _, t in seen) - dt.timedelta(days=1)
+    assert got == {(r.node, r.time): (r.z, 1.0 if (r.node, r.time) in seen else None) for r in fc.collect() if (r.node, r.time) in seen or r.time <= behind}
