@@ -27,10 +27,13 @@ def _int_div(a: Column, b: int | Column) -> Column:
 
 def grid_equiangular(spark: SparkSession, nlat: int, nlon: int) -> DataFrame:
     """Regular latitude-longitude cells, row 0 at the south."""
-    row, column = _int_div(F.col("id"), nlon), F.pmod(F.col("id"), F.lit(nlon))
-    cells = spark.range(nlat * nlon).select(F.col("id").alias("node"), row.alias("i"), column.alias("j"))
+    return equiangular_cells(spark.range(nlat * nlon).withColumnRenamed("id", "node"), nlat, nlon)
+
+
+def equiangular_cells(nodes: DataFrame, nlat: int, nlon: int) -> DataFrame:
+    """The cells of those nodes of the grid that ``nodes`` lists; further columns ride along."""
     dlat, dlon = 180.0, 360.0
-    cells = cells.withColumns({
+    cells = node_ij(nodes, nlon).withColumns({
         "lat0": F.col("i") * dlat / nlat - 90.0, "lat1": (F.col("i") + 1) * dlat / nlat - 90.0,
         "lon0": F.col("j") * dlon / nlon, "lon1": (F.col("j") + 1) * dlon / nlon})
     return cells.withColumns({
@@ -52,14 +55,17 @@ def _deinterleave(bits: Column, start: int, n_bits: int) -> Column:
 
 def grid_healpix(spark: SparkSession, n: int) -> DataFrame:
     """12 n^2 equal-area nodes in nested order; ``n`` is a power of two."""
+    return healpix_nodes(spark.range(12 * n * n).withColumnRenamed("id", "node"), n)
+
+
+def healpix_nodes(nodes: DataFrame, n: int) -> DataFrame:
+    """Ring, place and area of those nodes (nested order, 0 to 12 n^2 - 1) that ``nodes`` lists."""
     if n < 1 or n & (n - 1):
         raise ValueError("nested HEALPix order needs a power of two")
     order = n.bit_length() - 1
-    face = _int_div(F.col("id"), n * n)
-    within = F.pmod(F.col("id"), F.lit(n * n))
-    pix = spark.range(12 * n * n).select(
-        F.col("id").alias("node"), face.alias("face"), _deinterleave(within, 0, order).alias("ix"),
-        _deinterleave(within, 1, order).alias("iy"))
+    face = _int_div(F.col("node"), n * n)
+    within = F.pmod(F.col("node"), F.lit(n * n))
+    pix = nodes.select("node", face.alias("face"), _deinterleave(within, 0, order).alias("ix"), _deinterleave(within, 1, order).alias("iy"))
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("face") + 1).cast("int"))
     pix = pix.withColumn("ring", (pick(FACE_RING) * n - F.col("ix") - F.col("iy") - 1).cast("long"))
     ring = F.col("ring")
@@ -96,23 +102,33 @@ def gaussian_sine(ring: pd.Series, nlat: pd.Series) -> pd.Series:
 
 
 def grid_octahedral(spark: SparkSession, nlat: int) -> DataFrame:
-    """Reduced Gaussian grid: 4k+16 nodes on the k-th ring from either pole; the latitudes are found ring by ring on the executors."""
+    """Reduced Gaussian grid: 4k+16 nodes on the k-th ring from either pole."""
+    half = nlat // 2
+    return octahedral_nodes(spark.range(4 * half * (half + 9)).withColumnRenamed("id", "node"), nlat)
+
+
+def octahedral_nodes(nodes: DataFrame, nlat: int) -> DataFrame:
+    """Ring and place of those nodes of a reduced Gaussian grid that ``nodes`` lists.
+
+    The ring follows from the node in closed form; latitudes are found once for each ring, on the executors.
+    """
     if nlat % 2:
         raise ValueError("nlat must be even")
     half = nlat // 2
-    ring = F.col("id")
-    from_pole = F.least(ring + 1, nlat - ring)
-    size = 4 * from_pole + 16
-    # Nodes before the ring: closed form of the sum of ring sizes, mirrored in the south.
-    before_north = 2 * ring * (ring + 1) + 16 * ring
-    left = nlat - ring
-    before = F.when(ring < half, before_north).otherwise(
-        F.lit(4 * half * (half + 9)) - (2 * left * (left + 1) + 16 * left))
-    rings = spark.range(nlat).select(ring.alias("ring"), F.degrees(F.asin(gaussian_sine(ring, F.lit(nlat)))).alias("lat"),
-                                     size.alias("size"), before.alias("before"))
-    nodes = rings.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
-    return nodes.select((F.col("before") + F.col("k")).alias("node"), "ring", "lat",
-                        (F.col("k") * 360.0 / F.col("size")).alias("lon"))
+    total = 4 * half * (half + 9)
+    before = lambda r: 2 * r * (r + 9)  # noqa: E731  nodes north of ring r of the northern half
+    mirrored = F.col("node") >= total // 2
+    m = F.when(mirrored, total - 1 - F.col("node")).otherwise(F.col("node"))
+    placed = nodes.select("node", m.alias("_m"), mirrored.alias("_south")).withColumn("_r", F.floor((F.sqrt(81.0 + 2.0 * F.col("_m")) - 9.0) / 2.0))
+    near = F.col("_r")
+    near = F.when(before(near) > F.col("_m"), near - 1).when(before(near + 1) <= F.col("_m"), near + 1).otherwise(near)  # the root was rounded
+    placed = placed.withColumn("_r", near)
+    size = 4 * (F.col("_r") + 1) + 16
+    k = F.col("_m") - before(F.col("_r"))
+    placed = placed.select("node", F.when(F.col("_south"), nlat - 1 - F.col("_r")).otherwise(F.col("_r")).alias("ring"),
+                           (F.when(F.col("_south"), size - 1 - k).otherwise(k) * 360.0 / size).alias("lon"))
+    rings = nodes.sparkSession.range(nlat).select(F.col("id").alias("ring"), F.degrees(F.asin(gaussian_sine(F.col("id"), F.lit(nlat)))).alias("lat"))
+    return placed.join(rings, "ring").select("node", "ring", "lat", "lon")
 
 
 def _with_lonlat(df: DataFrame) -> DataFrame:
@@ -124,13 +140,18 @@ def _with_lonlat(df: DataFrame) -> DataFrame:
 
 def grid_cubed(spark: SparkSession, n: int) -> DataFrame:
     """6 n^2 nodes: equiangular lattice on each face of a cube."""
-    face = _int_div(F.col("id"), n * n)
-    within = F.pmod(F.col("id"), F.lit(n * n))
+    return cubed_nodes(spark.range(6 * n * n).withColumnRenamed("id", "node"), n)
+
+
+def cubed_nodes(nodes: DataFrame, n: int) -> DataFrame:
+    """Face and place of those nodes of a cubed sphere that ``nodes`` lists."""
+    face = _int_div(F.col("node"), n * n)
+    within = F.pmod(F.col("node"), F.lit(n * n))
     angle = lambda c: F.tan(F.lit(math.pi / 4) * ((2 * c + 1) / F.lit(float(n)) - 1.0))
     a, b = angle(_int_div(within, n)), angle(F.pmod(within, F.lit(n)))
     axis = F.pmod(F.col("face"), F.lit(3))
     sign = F.when(F.col("face") < 3, 1.0).otherwise(-1.0)
-    cells = spark.range(6 * n * n).select(F.col("id").alias("node"), face.alias("face"), a.alias("a"), b.alias("b"))
+    cells = nodes.select("node", face.alias("face"), a.alias("a"), b.alias("b"))
     return _with_lonlat(cells.withColumns({
         "vx": F.when(axis == 0, sign).when(axis == 1, F.col("b")).otherwise(F.col("a")),
         "vy": F.when(axis == 1, sign).when(axis == 2, F.col("b")).otherwise(F.col("a")),
@@ -189,10 +210,13 @@ def _unit_interval(node: Column, seed: int, label: str) -> Column:
 
 def grid_random(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """n uniformly random nodes; the same for any partitioning."""
-    node = F.col("id")
-    z = 2.0 * _unit_interval(node, seed, "z") - 1.0
-    return spark.range(n).select(node.alias("node"), F.degrees(F.asin(z)).alias("lat"),
-                                 (360.0 * _unit_interval(node, seed, "lon")).alias("lon"))
+    return random_nodes(spark.range(n).withColumnRenamed("id", "node"), seed)
+
+
+def random_nodes(nodes: DataFrame, seed: int) -> DataFrame:
+    """A uniformly random place for each node that ``nodes`` lists, the same whenever it is asked for."""
+    z = 2.0 * _unit_interval(F.col("node"), seed, "z") - 1.0
+    return nodes.select("node", F.degrees(F.asin(z)).alias("lat"), (360.0 * _unit_interval(F.col("node"), seed, "lon")).alias("lon"))
 
 
 # --- sizes -----------------------------------------------------------------------------------

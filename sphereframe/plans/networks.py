@@ -85,7 +85,7 @@ def density_invariant(t: Tables):
 
 
 def mesh(t: Tables):
-    """Two triangles per inner cell of the customer grid (its first and last rows are left out)."""
+    """Two triangles per inner cell between customers (the first and last rows of the grid are left out)."""
     rows, columns = t.shape
     from ..functions.sphere import lonlat_to_xyz
     x, y, z = lonlat_to_xyz("lon", "lat")
@@ -117,17 +117,17 @@ l AS (SELECT i, j, sum(w) AS w FROM e GROUP BY 1, 2)
 """
 
 
-@query("J7", _TRI + "SELECT i, j, w FROM l", customers="j")
+@query("J7", _TRI + "SELECT i, j, w FROM l")
 def cotan_laplacian(t: Tables):
     return graphs.cotan_laplacian(*mesh(t))[0]
 
 
-@query("J7", _TRI + "SELECT i, mass FROM m", customers="i")
+@query("J7", _TRI + "SELECT i, mass FROM m")
 def lumped_mass(t: Tables):
     return graphs.cotan_laplacian(*mesh(t))[1]
 
 
-@query("J7", _TRI + "SELECT l.i, j, w / mass AS w FROM l JOIN m ON m.i = l.i", customers="j")
+@query("J7", _TRI + "SELECT l.i, j, w / mass AS w FROM l JOIN m ON m.i = l.i")
 def cotan_laplacian_inverse_mass(t: Tables):
     return graphs.cotan_laplacian(*mesh(t), inverse_mass=True)[0]
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import tune
 from .views import SQL_VIEWS, Tables
@@ -28,27 +27,16 @@ class Query:
 
 
 # Views other views read several times.
-SHARED = {"v_knn", "v_edge", "v_deg", "v_lap", "v_points", "v_src", "v_dst", "v_w", "v_pool", "v_unpool", "v_obs"}
+SHARED = {"v_grid", "v_knn", "v_edge", "v_deg", "v_lap", "v_points", "v_src", "v_dst", "v_w", "v_pool", "v_unpool", "v_obs"}
 
 QUERIES: dict[str, Query] = {}
 
 
-def query(survey_id: str, sql: str | None = None, name: str | None = None, customers: str | None = None):
-    """Register the decorated ``Tables -> DataFrame`` function.
-
-    ``customers`` names an id column of the result: the balance of the customer at that node is looked up beside it.
-    """
-    if customers:
-        sql = f"SELECT q.*, b.v AS balance FROM ({sql}) q LEFT JOIN v_bal b ON b.node = q.{customers}"
+def query(survey_id: str, sql: str | None = None, name: str | None = None):
+    """Register the decorated ``Tables -> DataFrame`` function."""
 
     def register(build: Callable[[Tables], DataFrame]):
         key = name or build.__name__
-        if customers:
-            plain = build
-
-            def build(t: Tables) -> DataFrame:
-                return plain(t).join(t.balance.select(F.col("node").alias(customers), F.col("v").alias("balance")), customers, "left")
-
         if key in QUERIES:
             raise ValueError(f"query {key} registered twice")
         QUERIES[key] = Query(survey_id, key, build, sql)

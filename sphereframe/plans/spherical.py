@@ -16,23 +16,23 @@ from .views import Tables, _overlap
 
 
 def _power_of_two(t: Tables) -> int:
-    """Smallest power of two n with 12 n^2 nodes for all customers."""
+    """Smallest power of two n with more than 12 n^2 nodes for the customers."""
     n = 1
-    while 12 * n * n < t.table("customer").count():
+    while 12 * n * n <= t.customers:
         n *= 2
     return n
 
 
-_N_HEALPIX = ("(SELECT CAST(pow(2, greatest(0, ceil(log2(count(*) / 12.0) / 2))) AS BIGINT) AS n FROM customer)")
+_N_HEALPIX = "(SELECT CAST(pow(2, greatest(0, ceil(log2((count(*) + 1) / 12.0) / 2))) AS BIGINT) AS n FROM customer)"
 
 
-@query("I1", "SELECT node, i, j, lat0, lat1, lon0, lon1, (lat0 + lat1) / 2 AS lat, (lon0 + lon1) / 2 AS lon, area FROM v_src", customers="node")
+@query("I1", "SELECT node, i, j, lat0, lat1, lon0, lon1, (lat0 + lat1) / 2 AS lat, (lon0 + lon1) / 2 AS lon, area FROM v_src")
 def grid_equiangular(t: Tables):
     return t.src
 
 
 @query("I2", f"""
-WITH RECURSIVE p AS (SELECT unnest(range(12 * n * n)) AS node, n FROM {_N_HEALPIX}),
+WITH RECURSIVE p AS (SELECT c_custkey AS node, n FROM customer, {_N_HEALPIX}),
 f AS (SELECT node, n, node // (n * n) AS face, node % (n * n) AS w FROM p),
 b AS (SELECT node, n, face, w, CAST(0 AS BIGINT) AS ix, CAST(0 AS BIGINT) AS iy, CAST(1 AS BIGINT) AS bit FROM f
       UNION ALL SELECT node, n, face, w // 4, ix + bit * (w % 2), iy + bit * ((w // 2) % 2), bit * 2 FROM b WHERE bit < n),
@@ -45,14 +45,15 @@ z AS (SELECT *, CASE WHEN ring < n THEN 1.0::DOUBLE - m * m / (3.0::DOUBLE * n *
       (fl * m + ix - iy + 1 + s) // 2 AS p0 FROM q),
 l AS (SELECT *, CASE WHEN p0 > 4 * m THEN p0 - 4 * m WHEN p0 < 1 THEN p0 + 4 * m ELSE p0 END AS p FROM z)
 SELECT node, ring, degrees(asin(z)) AS lat, (p - (s + 1) * 0.5::DOUBLE) * 90.0::DOUBLE / m AS lon,
-       4 * pi() / (12 * n * n) AS area FROM l""", customers="node")
+       4 * pi() / (12 * n * n) AS area FROM l""")
 def grid_healpix(t: Tables):
-    return grids.grid_healpix(t.spark, _power_of_two(t))
+    """Customers on the nested equal-area sampling."""
+    return grids.healpix_nodes(t.keys, _power_of_two(t))
 
 
 # Newton steps on the three-term recurrence, one row of the recursion per ring, step and degree.
 @query("I3", """
-WITH RECURSIVE g AS (SELECT 2 * CAST(ceil((sqrt(81 + count(*)) - 9) / 2) AS BIGINT) AS nlat FROM customer),
+WITH RECURSIVE g AS (SELECT 2 * CAST(ceil((sqrt(82 + count(*)) - 9) / 2) AS BIGINT) AS nlat FROM customer),
 r AS (SELECT unnest(range(nlat)) AS ring, nlat FROM g),
 p AS (SELECT ring, nlat, 0 AS step, 1 AS k, 1.0::DOUBLE AS p0, x AS p1, x FROM (SELECT ring, nlat, cos(pi() * (ring + 0.75) / (nlat + 0.5)) AS x FROM r)
   UNION ALL SELECT ring, nlat, CASE WHEN k = nlat THEN step + 1 ELSE step END, CASE WHEN k = nlat THEN 1 ELSE k + 1 END,
@@ -62,10 +63,10 @@ p AS (SELECT ring, nlat, 0 AS step, 1 AS k, 1.0::DOUBLE AS p0, x AS p1, x FROM (
 l AS (SELECT ring, degrees(asin(x)) AS lat FROM p WHERE step = 6),
 s AS (SELECT ring, 4 * least(ring + 1, nlat - ring) + 16 AS size, nlat FROM r),
 b AS (SELECT ring, size, sum(size) OVER (ORDER BY ring) - size AS before FROM s)
-SELECT CAST(before + k AS BIGINT) AS node, ring, lat, k * 360.0::DOUBLE / size AS lon FROM (SELECT *, unnest(range(size)) AS k FROM b) JOIN l USING (ring)""", customers="node")
+SELECT c_custkey AS node, ring, lat, (c_custkey - before) * 360.0::DOUBLE / size AS lon FROM customer JOIN b ON c_custkey >= before AND c_custkey < before + size JOIN l USING (ring)""")
 def grid_octahedral(t: Tables):
-    nlat = 2 * math.ceil((math.sqrt(81 + t.table("customer").count()) - 9) / 2)
-    return grids.grid_octahedral(t.spark, nlat)
+    """Customers on the rings of a reduced Gaussian sampling."""
+    return grids.octahedral_nodes(t.keys, 2 * math.ceil((math.sqrt(82 + t.customers) - 9) / 2))
 
 
 @query("I3", """
@@ -84,20 +85,20 @@ def gaussian_latitudes(t: Tables):
     return means.select("ring", F.degrees(F.asin(grids.gaussian_sine(F.col("ring"), F.lit(24)))).alias("lat"), "n", "z")
 
 
-_CUBED = "(SELECT CAST(ceil(sqrt(count(*) / 6.0)) AS BIGINT) AS n FROM customer)"
+_CUBED = "(SELECT CAST(ceil(sqrt((count(*) + 1) / 6.0)) AS BIGINT) AS n FROM customer)"
 
 
 @query("I4", f"""
-WITH c AS (SELECT unnest(range(6 * n * n)) AS node, n FROM {_CUBED}),
+WITH c AS (SELECT c_custkey AS node, n FROM customer, {_CUBED}),
 f AS (SELECT node, node // (n * n) AS face, tan(pi() / 4 * ((2 * ((node % (n * n)) // n) + 1) / n::DOUBLE - 1)) AS a,
       tan(pi() / 4 * ((2 * (node % n) + 1) / n::DOUBLE - 1)) AS b FROM c),
 v AS (SELECT node, face, CASE WHEN face < 3 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s, a, b,
       sqrt(1 + a * a + b * b) AS n FROM f)
 SELECT node, face, CASE face % 3 WHEN 0 THEN s WHEN 1 THEN b ELSE a END / n AS x,
-       CASE face % 3 WHEN 1 THEN s WHEN 2 THEN b ELSE a END / n AS y, CASE face % 3 WHEN 2 THEN s WHEN 0 THEN b ELSE a END / n AS z FROM v""", customers="node")
+       CASE face % 3 WHEN 1 THEN s WHEN 2 THEN b ELSE a END / n AS y, CASE face % 3 WHEN 2 THEN s WHEN 0 THEN b ELSE a END / n AS z FROM v""")
 def grid_cubed(t: Tables):
-    n = math.ceil(math.sqrt(t.table("customer").count() / 6.0))
-    return grids.grid_cubed(t.spark, n).drop("lon", "lat")
+    """Customers on the faces of a cubed sphere."""
+    return grids.cubed_nodes(t.keys, math.ceil(math.sqrt((t.customers + 1) / 6.0))).drop("lon", "lat")
 
 
 _ICO = "(SELECT CAST(ceil(sqrt((count(*) - 2) / 10.0)) AS BIGINT) AS n FROM customer)"
@@ -106,7 +107,7 @@ _ICO = "(SELECT CAST(ceil(sqrt((count(*) - 2) / 10.0)) AS BIGINT) AS n FROM cust
 @query("I4", f"SELECT 10 * n * n + 2 AS nodes, 10 * n * n + 2 AS places, CAST(0 AS DOUBLE) AS off_sphere FROM {_ICO}")
 def grid_icosahedral(t: Tables):
     """Node count, distinct places (no shared node made twice) and distance from the sphere."""
-    n = math.ceil(math.sqrt((t.table("customer").count() - 2) / 10.0))
+    n = math.ceil(math.sqrt((t.customers - 2) / 10.0))
     g = grids.grid_icosahedral(t.spark, n)
     radius = F.abs(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")) - 1.0)
     cell = [F.round(c, 9).alias(c) for c in "xyz"]
@@ -121,9 +122,10 @@ def _unit_sql(label: str) -> str:
 
 
 @query("I4", f"SELECT node, degrees(asin(2 * {_unit_sql('z')} - 1)) AS lat, 360 * {_unit_sql('lon')} AS lon "
-             "FROM (SELECT unnest(range(count(*))) AS node FROM customer)", customers="node")
+             "FROM (SELECT c_custkey AS node FROM customer)")
 def grid_random(t: Tables):
-    return grids.grid_random(t.spark, t.table("customer").count(), 42)
+    """A random place for every customer."""
+    return grids.random_nodes(t.keys, 42)
 
 
 _NPIX_SQL = {"equiangular": "2 * p * p", "gaussian": "4 * (p // 2) * (p // 2 + 9)", "healpix": "12 * p * p",
@@ -161,7 +163,7 @@ def resolution_profile(t: Tables):
     return grids.resolution_profile(t.nodes, _W, _B)
 
 
-@query("I7", "SELECT node, area, area / (SELECT sum(area) FROM v_src) AS weight FROM v_src", customers="node")
+@query("I7", "SELECT node, area, area / (SELECT sum(area) FROM v_src) AS weight FROM v_src")
 def area_weights(t: Tables):
     return grids.area_weights(t.src.select("node", "area"))
 
@@ -173,12 +175,12 @@ _EDGE = ("2 * atan2(tan(radians({b} - {a}) / 2) * (tan(radians({p}) / 2) + tan(r
 @query("I8", "SELECT node, abs(" + " + ".join([
     _EDGE.format(a="lon0", b="lon1", p="lat0", q="lat0"), _EDGE.format(a="lon1", b="lon1", p="lat0", q="lat1"),
     _EDGE.format(a="lon1", b="lon0", p="lat1", q="lat1"), _EDGE.format(a="lon0", b="lon0", p="lat1", q="lat0")]) +
-    ") AS area FROM v_src", customers="node")
+    ") AS area FROM v_src")
 def polygon_areas(t: Tables):
     return grids.polygon_areas(grids.cell_boundaries(t.src))
 
 
-@query("I9", "SELECT node, i, j FROM v_src", customers="node")
+@query("I9", "SELECT node, i, j FROM v_src")
 def node_ij(t: Tables):
     rows, columns = t.shape
     nlat, nlon = grids.grid_shape(rows * columns, 2)
@@ -190,7 +192,7 @@ def parent_map(t: Tables):
     return grids.parent_map(t.table("customer").select(F.col("c_custkey").alias("node")), 2)
 
 
-@query("I10", "SELECT node, (i // 2) * (nlon // 2) + j // 2 AS parent FROM v_src, v_gs", customers="node")
+@query("I10", "SELECT node, (i // 2) * (nlon // 2) + j // 2 AS parent FROM v_src, v_gs")
 def parent_map_grid(t: Tables):
     return grids.parent_map_grid(t.src, 2, t.shape[1])
 
@@ -198,17 +200,17 @@ def parent_map_grid(t: Tables):
 # --- remapping -------------------------------------------------------------------------------
 
 
-@query("D10", "SELECT dst, src, w FROM v_w", customers="src")
+@query("D10", "SELECT dst, src, w FROM v_w")
 def overlap_weights(t: Tables):
     return remap.overlap_weights(t.src, t.dst)
 
 
-@query("K1", "SELECT dst, src, w FROM v_pool", customers="src")
+@query("K1", "SELECT dst, src, w FROM v_pool")
 def pool_matrix(t: Tables):
     return remap.pool_matrix(t.weights)
 
 
-@query("K1", "SELECT dst, src, w FROM v_unpool", customers="src")
+@query("K1", "SELECT dst, src, w FROM v_unpool")
 def unpool_matrix(t: Tables):
     return remap.unpool_matrix(t.weights)
 
@@ -233,8 +235,8 @@ def remap_largest_area(t: Tables):
 
 @query("K4", """
 SELECT (SELECT sum(w) FROM v_w) AS total_area,
-(SELECT max(abs(s - area)) FROM (SELECT dst, sum(w) AS s FROM v_w GROUP BY 1) JOIN v_dst ON node = dst) AS dst_deviation,
-(SELECT max(abs(s - area)) FROM (SELECT src, sum(w) AS s FROM v_w GROUP BY 1) JOIN v_src ON node = src) AS src_deviation,
+(SELECT max(abs(coalesce(s, 0) - area)) FROM v_dst LEFT JOIN (SELECT dst, sum(w) AS s FROM v_w GROUP BY 1) ON node = dst) AS dst_deviation,
+(SELECT max(abs(coalesce(s, 0) - area)) FROM v_src LEFT JOIN (SELECT src, sum(w) AS s FROM v_w GROUP BY 1) ON node = src) AS src_deviation,
 (SELECT max(abs(s - 1)) FROM (SELECT dst, sum(w) AS s FROM v_pool GROUP BY 1)) AS row_sum_deviation""")
 def check_weights(t: Tables):
     return remap.check_weights(t.weights, t.src, t.dst)
@@ -345,7 +347,7 @@ def max_value_unpool(t: Tables):
 _INV = ("SELECT p.dst AS node, 1 - sum(p.w * u.w) AS error FROM v_pool p JOIN v_unpool u ON u.dst = p.src AND u.src = p.dst GROUP BY 1")
 
 
-@query("K16", _INV, customers="node")
+@query("K16", _INV)
 def inversion_error(t: Tables):
     return remap.inversion_error(remap.pool_matrix(t.weights), remap.unpool_matrix(t.weights))
 
@@ -367,14 +369,14 @@ def _chain(t: Tables):
     return remap.compose(remap.pool_matrix(remap.overlap_weights(t.dst, coarse)), remap.pool_matrix(t.weights)), coarse
 
 
-@query("K17", _CHAIN, customers="src")
+@query("K17", _CHAIN)
 def compose(t: Tables):
     return _chain(t)[0]
 
 
 @query("K17", f"""
 SELECT c.dst AS node, sum(c.w) AS row_sum, sum(abs(c.w - coalesce(d.w, 0))) AS off_direct
-FROM ({_CHAIN}) c LEFT JOIN {_DIRECT} d ON d.dst = c.dst AND d.src = c.src GROUP BY 1""", customers="node")
+FROM ({_CHAIN}) c LEFT JOIN {_DIRECT} d ON d.dst = c.dst AND d.src = c.src GROUP BY 1""")
 def compose_vs_direct(t: Tables):
     """Chained remapping keeps row sums of one but differs from the direct matrix."""
     chained, coarse = _chain(t)
@@ -385,25 +387,24 @@ def compose_vs_direct(t: Tables):
 
 
 def _lattice(t: Tables):
-    """Laplacian of the four-neighbour graph of the customer grid."""
+    """Laplacian of the four-neighbour graph of the customers' cells."""
     rows, columns = t.shape
     step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
     edges = t.src.select("node", "i", "j", step.alias("s")).withColumn("i2", F.col("i") + F.col("s.a"))
     edges = edges.where((F.col("i2") >= 0) & (F.col("i2") < rows))
     other = F.col("i2") * columns + F.pmod(F.col("j") + F.col("s.b"), F.lit(columns))
-    w = edges.select(F.col("node").alias("i"), other.alias("j"), F.lit(1.0).alias("w"))
+    w = edges.select(F.col("node").alias("i"), other.alias("j"), F.lit(1.0).alias("w")).join(t.keys.withColumnRenamed("node", "j"), "j", "left_semi").select("i", "j", "w")
     return graphs.laplacian(w, "combinatorial")
 
 
-_LATTICE = """SELECT i, j, sum(w) AS w FROM (SELECT s.node AS i, (s.i + a) * nlon + (s.j + b + nlon) % nlon AS j, -1.0::DOUBLE AS w
-FROM v_src s, v_gs, (SELECT unnest([1, -1, 0, 0]) AS a, unnest([0, 0, 1, -1]) AS b) WHERE s.i + a >= 0 AND s.i + a < nlat
-UNION ALL SELECT s.node, s.node, 1.0::DOUBLE FROM v_src s, v_gs, (SELECT unnest([1, -1, 0, 0]) AS a) WHERE s.i + a >= 0 AND s.i + a < nlat)
-GROUP BY 1, 2"""
+_LATTICE = """SELECT i, j, sum(w) AS w FROM (SELECT i, unnest([j, i]) AS j, unnest([-1.0::DOUBLE, 1.0::DOUBLE]) AS w FROM
+(SELECT s.node AS i, (s.i + a) * nlon + (s.j + b + nlon) % nlon AS j FROM v_src s, v_gs, (SELECT unnest([1, -1, 0, 0]) AS a, unnest([0, 0, 1, -1]) AS b)
+ WHERE s.i + a >= 0 AND s.i + a < nlat) WHERE j IN (SELECT c_custkey FROM customer)) GROUP BY 1, 2"""
 
 
 @query("K18", f"""
 WITH l AS ({_LATTICE}), a AS (SELECT p.dst, l.j AS src, sum(p.w * l.w) AS w FROM v_pool p JOIN l ON l.i = p.src GROUP BY 1, 2)
-SELECT a.dst AS i, u.src AS j, sum(a.w * u.w) AS w FROM a JOIN v_unpool u ON u.dst = a.src GROUP BY 1, 2""", customers="j")
+SELECT a.dst AS i, u.src AS j, sum(a.w * u.w) AS w FROM a JOIN v_unpool u ON u.dst = a.src GROUP BY 1, 2""")
 def coarsen_laplacian(t: Tables):
     return remap.coarsen_laplacian(remap.pool_matrix(t.weights), _lattice(t), remap.unpool_matrix(t.weights))
 
@@ -415,8 +416,8 @@ KERNEL = {(-1, -1): 0.0625, (-1, 0): 0.125, (-1, 1): 0.0625, (0, -1): 0.125, (0,
 @query("K19", f"""
 WITH k AS (SELECT unnest([{', '.join(str(a) for a, _ in KERNEL)}]) AS di, unnest([{', '.join(str(b) for _, b in KERNEL)}]) AS dj,
            unnest([{', '.join(str(w) for w in KERNEL.values())}])::DOUBLE AS w),
-c AS (SELECT s.i, s.j, s.node, f.time, f.z FROM v_field f JOIN v_src s ON s.node = f.node)
-SELECT o.node, c.time, sum(k.w * c.z) AS z FROM c, k, v_gs g, v_src o
+c AS (SELECT s.i, s.j, s.node, f.time, f.z FROM v_field f JOIN v_grid s ON s.node = f.node)
+SELECT o.node, c.time, sum(k.w * c.z) AS z FROM c, k, v_gs g, v_grid o
 WHERE o.i = c.i - k.di AND o.j = (c.j - k.dj + nlon) % nlon GROUP BY 1, 2""")
 def stencil(t: Tables):
     return remap.stencil(t.field, KERNEL, *t.shape, ["z"], ["time"])

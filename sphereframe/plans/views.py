@@ -126,17 +126,27 @@ class Tables:
     @cached_property
     def shape(self) -> tuple[int, int]:
         """Rows and columns of the smallest 1:2 grid with a cell per customer."""
-        rows = math.ceil(math.sqrt(self.table("customer").count() / 2.0))
+        rows = math.ceil(math.sqrt((self.customers + 1) / 2.0))  # node 0 is no customer
         return rows, 2 * rows
 
     def grid(self, num: int = 1, den: int = 1) -> DataFrame:
-        """The customer grid coarsened by num/den (not nested in general)."""
+        """The whole grid coarsened by num/den (not nested in general): what customers' cells are mapped to."""
         rows = self.shape[0] * num // den
         return grids.grid_equiangular(self.spark, rows, 2 * rows)
 
+    @cached_property
+    def keys(self) -> DataFrame:
+        """(node): the customers, each of which is a node of whichever sampling is asked for."""
+        return self.table("customer").select(F.col("c_custkey").alias("node"))
+
+    @cached_property
+    def customers(self) -> int:
+        return self.table("customer").count()
+
     @cached_property
     def src(self) -> DataFrame:
-        return self.grid()
+        """The cells of the customers."""
+        return grids.equiangular_cells(self.keys, *self.shape)
 
     @cached_property
     def dst(self) -> DataFrame:
@@ -256,10 +266,11 @@ SQL_VIEWS: dict[str, str] = {
     "v_ens": "SELECT frt, leadtime, node, CAST(m AS INTEGER) AS member, "
              "z + 0.25::DOUBLE * ((3 * node + 5 * m + leadtime) % 7 - 3) AS z "
              "FROM v_fcst, (SELECT unnest(range(0, 5)) AS m)",
-    "v_gs": "SELECT nlat, 2 * nlat AS nlon FROM (SELECT CAST(ceil(sqrt(count(*) / 2.0::DOUBLE)) AS BIGINT) AS nlat FROM customer)",
+    "v_gs": "SELECT nlat, 2 * nlat AS nlon FROM (SELECT CAST(ceil(sqrt((count(*) + 1) / 2.0::DOUBLE)) AS BIGINT) AS nlat FROM customer)",
     "v_gd": "SELECT nlat, 2 * nlat AS nlon FROM (SELECT nlat * 3 // 5 AS nlat FROM v_gs)",
     "v_gc": "SELECT nlat, 2 * nlat AS nlon FROM (SELECT nlat // 4 AS nlat FROM v_gs)",
-    "v_src": _cells("v_gs"),
+    "v_grid": _cells("v_gs"),
+    "v_src": "SELECT v_grid.* FROM customer JOIN v_grid ON node = c_custkey",
     "v_dst": _cells("v_gd"),
     "v_coarse": _cells("v_gc"),
     "v_w": _overlap("v_src", "v_dst"),
