@@ -86,6 +86,12 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | No
         *by, value, (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))
 
 
+def centred_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Average ranks less their mean over the group, so they sum to zero."""
+    return value_ranks(df, by, value, weight=weight).select(
+        *by, value, (F.col("below") + (F.col("n") - F.col("size")) / F.lit(2.0)).alias("rank"))
+
+
 def numbered_by_hash(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
     """Add ``position`` 0..n-1 in a seeded pseudo-random order, without a global sort.
 

@@ -78,8 +78,11 @@ def climatology_forecast(times: DataFrame, clim: DataFrame, groups: TimeGroups,
 
 def attach_static_bc(dynamic: DataFrame, static: DataFrame, bc: DataFrame, static_vars: Sequence[str],
                      bc_vars: Sequence[str], dynamic_vars: Sequence[str]) -> DataFrame:
-    """Static features by node and boundary conditions by (node, time); columns in feature order."""
-    joined = dynamic.join(bc, ["node", "time"]).join(static, "node")
+    """Static features by node and boundary conditions by (node, time), NULL where there are none; columns in feature order.
+
+    Every row of ``dynamic`` stays.
+    """
+    joined = dynamic.join(bc, ["node", "time"], "left").join(static, "node", "left")
     return joined.select("node", "time", *static_vars, *bc_vars, *dynamic_vars)
 
 

@@ -61,71 +61,55 @@ def knn_graph(nodes: DataFrame, k: int, leaf_size: int = 32) -> DataFrame:
     """Exact k nearest neighbours by chord distance: (i, j, d, rank), ties to the smaller id.
 
     ``nodes`` is (node, x, y, z) on the unit sphere, however unevenly spread.
-    Space is cut into cubes of 2^-level; crowded cubes are split until they hold
-    at most ``leaf_size`` nodes.
+    Space is cut into cubes of 2^-level, of which only those with nodes are kept, with their counts.
 
     1. The smallest cube of a node with more than k nodes in it bounds the
-       distance of its k-th neighbour.
-    2. Only leaves within that bound are candidates; sorting them by their
-       farthest corner tightens the bound before any point is looked at.
-    3. Points of the remaining leaves are compared.
+       distance of its k-th neighbour, and its frontier starts with the cubes of
+       that size around it.
+    2. The frontier is sorted by farthest corner: where the counts reach k, the
+       bound is tightened, and cubes beyond it go.  Cubes that are still crowded
+       are replaced by their eighths, until none is left.  A frontier holds the
+       cubes near the edge of the search ball only, however isolated its node is.
+    3. Points of the remaining cubes are compared.
 
     Nodes at one place share a single search, so copies cost nothing.
     """
     need = k + 1
     places = cut_lineage(_distinct_places(nodes, need))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL)))
-    located = places.withColumn("level", levels)
+    located = places.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL))))
     located = located.withColumns({f"c{a}": _cell(a, F.col("level")) for a in "xyz"})
     cell = ["level", "cx", "cy", "cz"]
-    counts = located.groupBy(*cell).agg(F.sum("m").alias("n"))
+    counts = cut_lineage(located.groupBy(*cell).agg(F.sum("m").alias("n")))
     total = places.agg(F.sum("m")).scalar()
+    own = located.select("place", *cell).join(counts, cell).groupBy("place").agg(F.coalesce(F.max(F.when(F.col("n") >= need, F.col("level"))), F.lit(0)).alias("home"))
 
-    known = located.select("place", *cell).join(counts, cell)
-    own = known.groupBy("place").agg(
-        F.max(F.when(F.col("n") >= need, F.col("level"))).alias("home"),
-        F.coalesce(F.min(F.when(F.col("n") <= leaf_size, F.col("level"))), F.lit(MAX_LEVEL)).alias("leaf_level"))
-    own = cut_lineage(places.join(own, "place").withColumn("home", F.coalesce("home", F.lit(0))))
-
-    # Leaves, addressed by every cube they lie in (role 0) and by themselves (role 1).
-    members = own.withColumns({f"l{a}": _cell(a, F.col("leaf_level")) for a in "xyz"})
-    leaf = ["leaf_level", "lx", "ly", "lz"]
-    leaves = members.groupBy(*leaf).agg(F.sum("m").alias("n"))
-    tree = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("leaf_level")))).withColumns(
-        {f"c{a}": _coarser(F.col(f"l{a}"), F.col("leaf_level") - F.col("level")) for a in "xyz"} | {"role": F.lit(0)})
-    tree = tree.unionByName(leaves.withColumns(
-        {f"c{a}": F.col(f"l{a}") for a in "xyz"} | {"level": F.col("leaf_level"), "role": F.lit(1)}))
-
-    # Cubes the search ball of each place touches.  At its home level they are
-    # at most two steps away and stand for all leaves inside; at coarser levels
-    # at most one step, and matter only if they are leaves themselves.
     bound = F.when(total >= need, _side(F.col("home")) * math.sqrt(3.0) * (1 + 1e-9)).otherwise(F.lit(4.0))
-    shallowest = leaves.agg(F.min("leaf_level")).scalar()
-    # A place fans out to hundreds of cubes: spread places over all tasks first.
-    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = own.repartition(tasks, "place").select("place", "x", "y", "z", "home", bound.alias("bound")).withColumn(
-        "level", F.explode(F.sequence(F.least(shallowest, F.col("home")), F.col("home"))))
-    at_home = F.col("level") == F.col("home")
-    near = near.withColumn("role", F.when(at_home, 0).otherwise(1))
-    near = _neighbourhood(near, F.when(at_home, 2).otherwise(1))
-    near = near.withColumns({f"c{a}": _cell(a, F.col("level")) + F.col(f"_d{a}") for a in "xyz"})
+    # A place fans out to 125 cubes: spread places over all tasks first.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = places.select("place", "x", "y", "z").join(own, "place").repartition(tasks, "place").withColumn("bound", bound).withColumnRenamed("home", "level")
+    near = _neighbourhood(near, F.lit(2)).withColumns({f"c{a}": _cell(a, F.col("level")) + F.col(f"_d{a}") for a in "xyz"})
     inside = _min_distance(_side(F.col("level")), "c") <= F.col("bound")
     for a in "xyz":
         inside = inside & (F.col(f"c{a}") >= 0) & (F.col(f"c{a}") < F.pow(F.lit(2.0), F.col("level")))
-    hits = near.where(inside).join(tree, ["role", *cell]).select("place", "x", "y", "z", "bound", *leaf, "n")
-
-    leaf_side = _side(F.col("leaf_level"))
-    hits = hits.withColumns({"low": _min_distance(leaf_side, "l"), "high": _max_distance(leaf_side, "l")})
-    by_high = W.partitionBy("place").orderBy("high", *leaf).rowsBetween(W.unboundedPreceding, W.currentRow)
-    hits = hits.where(F.col("low") <= F.col("bound")).withColumn("_seen", F.sum("n").over(by_high))
+    keep = ["place", "x", "y", "z", "bound", *cell]
+    frontier = near.where(inside).select(*keep).join(counts, cell)
+    crowded = (F.col("n") > leaf_size) & (F.col("level") < MAX_LEVEL)
+    by_high = W.partitionBy("place").orderBy("high", *cell).rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("place")
-    hits = hits.withColumn("tight", F.min(F.when(F.col("_seen") >= need, F.col("high"))).over(whole))
-    limit = F.least(F.coalesce(F.col("tight") * (1 + 1e-9), F.col("bound")), F.col("bound"))
-    hits = hits.where(F.col("low") <= limit).select("place", "x", "y", "z", *leaf)
-
-    points = members.select(*leaf, F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "ids")
+    while True:
+        side = _side(F.col("level"))
+        seen = frontier.withColumns({"low": _min_distance(side, "c"), "high": _max_distance(side, "c")}).withColumn("_seen", F.sum("n").over(by_high))
+        tight = F.min(F.when(F.col("_seen") >= need, F.col("high"))).over(whole) * (1 + 1e-9)
+        frontier = cut_lineage(seen.withColumn("bound", F.least(F.coalesce(tight, F.col("bound")), F.col("bound"))).where(F.col("low") <= F.col("bound")).select(*keep, "n"))
+        if frontier.where(crowded).isEmpty():
+            break
+        eighths = frontier.where(crowded).drop("n").withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(7))))
+        eighths = eighths.withColumns({f"c{a}": F.col(f"c{a}") * 2 + F.shiftright("_o", i).bitwiseAND(F.lit(1)) for i, a in enumerate("xyz")} | {"level": F.col("level") + 1})
+        frontier = frontier.where(~crowded).unionByName(eighths.select(*keep).join(counts, cell))
+
+    points = located.select(*cell, F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "ids")
     d = chord(*[F.col(c) for c in ("x", "y", "z", "px", "py", "pz")])
-    pairs = hits.join(points, leaf).select("place", d.alias("d"), F.explode("ids").alias("j"))
+    pairs = frontier.select("place", "x", "y", "z", *cell).join(points, cell).select("place", d.alias("d"), F.explode("ids").alias("j"))
     nearest = W.partitionBy("place").orderBy("d", "j")
     best = pairs.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= need)
     lists = best.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("near"))
@@ -164,17 +148,26 @@ def _max_distance(side: Column, prefix: str) -> Column:
     return F.sqrt(total) * (1 + 1e-9)
 
 
-def radius_graph(nodes: DataFrame, radius: float) -> DataFrame:
+def radius_graph(nodes: DataFrame, radius: float, block: int = 2048) -> DataFrame:
     """Edges (i, j, d) between nodes at most ``radius`` apart (chord).
 
-    Cells as wide as the radius: a node looks into its own and the 26 cells around it.
+    Cells as wide as the radius: a node looks into its own and the 26 cells around it.  A cell with more than ``block`` nodes is cut into blocks of
+    that size, for those that look and those that are looked at, and the pairs of blocks are dealt over the tasks.
     """
+    cell = ["cx", "cy", "cz"]
     at = {f"c{a}": F.floor(F.col(a) / F.lit(float(radius))) for a in "xyz"}
-    left = nodes.select(F.col("node").alias("i"), "x", "y", "z", *[c.alias(k) for k, c in at.items()])
+    placed = nodes.select("node", "x", "y", "z", *[c.alias(k) for k, c in at.items()])
+    blocks = (placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+              .select(*cell, F.ceil(F.col("_n") / block).cast("long").alias("_blocks")))  # the crowded cells, a small part of the nodes
+    count = F.coalesce("_blocks", F.lit(1).cast("long"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    left = placed.select(F.col("node").alias("i"), "x", "y", "z", *cell)
     left = _neighbourhood(left, F.lit(1)).withColumns({f"c{a}": F.col(f"c{a}") + F.col(f"_d{a}") for a in "xyz"})
-    right = nodes.select(F.col("node").alias("j"), *[F.col(a).alias(f"p{a}") for a in "xyz"], *[c.alias(k) for k, c in at.items()])
+    left = left.join(blocks, cell, "left").withColumn("_l", F.pmod(F.xxhash64("i"), count)).withColumn("_r", every).drop("_blocks")
+    right = placed.select(F.col("node").alias("j"), *[F.col(a).alias(f"p{a}") for a in "xyz"], *cell)
+    right = right.join(blocks, cell, "left").withColumn("_r", F.pmod(F.xxhash64("j"), count)).withColumn("_l", every).drop("_blocks")
     d = chord(*[F.col(c) for c in ("x", "y", "z", "px", "py", "pz")])
-    pairs = left.join(right, ["cx", "cy", "cz"]).where(F.col("i") != F.col("j")).select("i", "j", d.alias("d"))
+    pairs = left.join(right, [*cell, "_l", "_r"]).where(F.col("i") != F.col("j")).select("i", "j", d.alias("d"))
     return pairs.where(F.col("d") <= F.lit(float(radius)))
 
 

@@ -9,9 +9,9 @@ table turns out small and splits when one node is heavy.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import TimeGroups, clip, safe_div, time_keys
@@ -199,10 +199,14 @@ def merge_moments(partials: DataFrame, keys: Sequence[str], variables: Sequence[
 
     Deviations of the partial means are taken from the overall mean, so large offsets cancel nothing.
     """
-    both = W.partitionBy(*[F.col(k) for k in keys])
-    centred = partials
-    for v in variables:
-        centred = centred.withColumn(f"_c_{v}", safe_div(F.sum(F.col(f"n_{v}") * F.col(f"mean_{v}")).over(both), F.sum(f"n_{v}").over(both)))
+    centres = [safe_div(F.sum(F.col(f"n_{v}") * F.col(f"mean_{v}")), F.sum(f"n_{v}")).alias(f"_c_{v}") for v in variables]
+    if keys:  # sums are combined before they travel, here and below
+        means = partials.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*centres)
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        centred = partials.join(means, reduce(lambda a, b: a & b, same)).drop(*[f"_k_{k}" for k in keys])
+    else:
+        one = partials.agg(F.struct(*centres)).scalar()
+        centred = partials.withColumns({f"_c_{v}": one[f"_c_{v}"] for v in variables})
     aggs = [F.sum("n").alias("n")]
     for v in variables:
         off = F.col(f"mean_{v}") - F.col(f"_c_{v}")

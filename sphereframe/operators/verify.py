@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import skill as sk
 from ..functions.columns import TimeGroups, safe_div, value_bin
-from ..functions.ranks import average_ranks, exact_quantiles
+from ..functions.ranks import centred_ranks, exact_quantiles
 from ..functions.special import t_pvalue
 from ..session import cut_lineage
 from . import align
@@ -36,18 +36,15 @@ def spearman(pairs: DataFrame, pred: str, obs: str, by: Sequence[str]) -> DataFr
     distinct = cut_lineage(
         pairs.where(F.col(pred).isNotNull() & F.col(obs).isNotNull())
         .groupBy(*by, F.col(pred).alias("_p"), F.col(obs).alias("_o")).agg(F.count(F.lit(1)).alias("_w")))
-    rank_p = average_ranks(distinct, by, "_p", "_w").withColumnRenamed("rank", "_rp")
-    rank_o = average_ranks(distinct, by, "_o", "_w").withColumnRenamed("rank", "_ro")
+    # Ranks count from the middle of their group, so no large sums have to cancel.
+    rank_p = centred_ranks(distinct, by, "_p", "_w").withColumnRenamed("rank", "_rp")
+    rank_o = centred_ranks(distinct, by, "_o", "_w").withColumnRenamed("rank", "_ro")
     ranked = distinct.join(rank_p, [*by, "_p"]).join(rank_o, [*by, "_o"])
     w, rp, ro = F.col("_w"), F.col("_rp"), F.col("_ro")
-    # Average ranks of n rows have mean (n+1)/2 on both sides; ranks are multiples
-    # of one half, so these sums of quarters are exact for groups below 2^17 rows
-    # and lose only low bits beyond.
     sums = ranked.groupBy(*by).agg(F.sum(w).alias("n"), F.sum(w * rp * ro).alias("_spo"),
                                    F.sum(w * rp * rp).alias("_spp"), F.sum(w * ro * ro).alias("_soo"))
     n = F.col("n")
-    centre = n.cast("double") * (n + 1) * (n + 1) / 4.0
-    r = safe_div(F.col("_spo") - centre, F.sqrt(F.col("_spp") - centre) * F.sqrt(F.col("_soo") - centre))
+    r = safe_div(F.col("_spo"), F.sqrt("_spp") * F.sqrt("_soo"))
     out = sums.select(*by, n, r.alias("spearman_R"))
     r = F.col("spearman_R")
     return out.withColumns({"spearman_R2": r * r,
@@ -162,17 +159,21 @@ def ensemble_median(ens: DataFrame, variables: Sequence[str], keys: Sequence[str
 
     With the member numbers given, members become plain columns (a codegen'd
     hash aggregate that combines map-side) and the median is an expression over
-    them.  A group never holds more rows than the ensemble has members.
+    them.  A group never holds more rows than the ensemble has members.  A member
+    that is not among the given ones stops the query.
     """
     if members is None:
         return ens.groupBy(*keys).agg(*[F.median(v).alias(v) for v in variables])
     aggs = [F.max(F.when(F.col("member") == int(m), F.col(v))).alias(f"_{v}_{m}") for v in variables for m in members]
-    wide = ens.groupBy(*keys).agg(*aggs)
+    listed = F.coalesce(F.col("member").isin([int(m) for m in members]), F.lit(False))
+    wide = ens.groupBy(*keys).agg(*aggs, F.max(F.when(~listed, F.coalesce(F.col("member").cast("string"), F.lit("NULL")))).alias("_other"))
     for v in variables:
         wide = wide.withColumn(f"_{v}", F.array_sort(F.array_compact(F.array(*[F.col(f"_{v}_{m}") for m in members]))))
     at = lambda v, i: F.get(F.col(f"_{v}"), i.cast("int"))
     n = {v: F.size(f"_{v}") for v in variables}
-    return wide.select(*keys, *[((at(v, F.floor((n[v] - 1) / 2)) + at(v, F.floor(n[v] / 2))) / 2.0).alias(v) for v in variables])
+    stop = F.raise_error(F.concat(F.lit("a member is not among the given ones: "), F.col("_other"))).cast("double")
+    median = {v: (at(v, F.floor((n[v] - 1) / 2)) + at(v, F.floor(n[v] / 2))) / 2.0 for v in variables}
+    return wide.select(*keys, *[F.when(F.col("_other").isNotNull(), stop).otherwise(m).alias(v) for v, m in median.items()])
 
 
 def shift_leadtime(df: DataFrame, hours: int, leadtime: str = "leadtime") -> DataFrame:

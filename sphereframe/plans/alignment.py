@@ -76,8 +76,8 @@ def climatology_forecast_dayofyear(t: Tables):
 
 
 @query("D8", """
-SELECT o.node, o.time, slt, orog_raw, tisr, z FROM v_obs o JOIN v_bc b ON o.node = b.node AND o.time = b.time
-JOIN v_static s ON s.node = o.node""")
+SELECT o.node, o.time, slt, orog_raw, tisr, z FROM v_obs o LEFT JOIN v_bc b ON o.node = b.node AND o.time = b.time
+LEFT JOIN v_static s ON s.node = o.node""")
 def attach_static_bc(t: Tables):
     return ops.attach_static_bc(t.obs, t.static, t.bc, ["slt", "orog_raw"], ["tisr"], ["z"])
 

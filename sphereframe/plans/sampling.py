@@ -94,11 +94,11 @@ def valid_reference_times(t: Tables):
 
 @query("H5", f"""
 SELECT l.node, l.time, unnest([0, 1, 2, 3, 4, 5]) AS position, unnest([CAST(slt AS DOUBLE), orog_raw, tisr, z_m18, z_m12, z_m6]) AS value
-FROM ({_LAGS_SQL}) l JOIN v_bc b ON b.node = l.node AND b.time = l.time JOIN v_static s ON s.node = l.node""")
+FROM ({_LAGS_SQL}) l LEFT JOIN v_bc b ON b.node = l.node AND b.time = l.time LEFT JOIN v_static s ON s.node = l.node""")
 def sample_vectors(t: Tables):
     """Feature order: static, boundary, dynamic lags (oldest first)."""
     lags = samples.lag_features(t.obs, ["z"], INPUT_K, STEP)
-    rows = lags.join(t.bc, ["node", "time"]).join(t.static, "node")
+    rows = lags.join(t.bc, ["node", "time"], "left").join(t.static, "node", "left")
     vectors = samples.sample_vectors(rows, ["slt", "orog_raw", "tisr", *LAGS])
     return vectors.select("node", "time", F.posexplode("x").alias("position", "value"))
 

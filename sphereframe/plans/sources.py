@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from .registry import query
 from .views import Tables
 
@@ -36,10 +36,11 @@ def write_grid(t: Tables):
     """Create, append along time, then replace one month in place; read everything back."""
     path = scratch_path(t.spark, "grid")
     early = F.col("time") < F.lit("1998-06-15").cast("timestamp_ntz")
-    sources.write_grid(t.clim.where(early), path)
-    sources.write_grid(t.clim.where(~early), path, "append")
+    clim = cut_lineage(t.clim)
+    sources.write_grid(clim.where(early), path)
+    sources.write_grid(clim.where(~early), path, "append")
     july = (F.year("time") == 1999) & (F.month("time") == 7)
-    sources.write_grid(t.clim.where(july).withColumn("qty", F.col("qty") + 1), path, "update")
+    sources.write_grid(clim.where(july).withColumn("qty", F.col("qty") + 1), path, "update")
     return sources.read_grid(path, ["qty", "price", "disc"], spark=t.spark)
 
 
@@ -96,13 +97,13 @@ def merge_static(t: Tables):
 
 
 @query("A8", """
-SELECT o.node, o.time, z, tisr, s.s_nationkey AS slt FROM v_obs o JOIN v_bc b ON o.node = b.node AND o.time = b.time
-JOIN supplier s ON s.s_suppkey = o.node
+SELECT o.node, o.time, z, tisr, s.s_nationkey AS slt FROM v_obs o LEFT JOIN v_bc b ON o.node = b.node AND o.time = b.time
+LEFT JOIN supplier s ON s.s_suppkey = o.node
 WHERE o.time BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-14 18:00:00'""")
 def extract_toy(t: Tables):
     toy = sources.extract_toy({"dynamic": t.obs, "bc": t.bc, "static": t.static},
                               "2024-01-08T00:00:00", "2024-01-14T18:00:00")
-    return (toy["dynamic"].join(toy["bc"], ["node", "time"]).join(toy["static"], "node")
+    return (toy["dynamic"].join(toy["bc"], ["node", "time"], "left").join(toy["static"], "node", "left")
             .select("node", "time", "z", "tisr", "slt"))
 
 

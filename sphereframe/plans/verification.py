@@ -75,9 +75,23 @@ def skill_spearman(t: Tables):
     return verify.spearman(t.clim, "price", "qty", ["node"])
 
 
-@query("F6")
+def _p_sql(t: str, dof: str) -> str:
+    """Two-sided tail of Student's t for whole degrees of freedom: a finite sum over even powers of a cosine."""
+    c2, s = f"({dof} / ({dof} + {t} * {t}))", f"(abs({t}) / sqrt({dof} + {t} * {t}))"
+    odd = f"list_sum(list_transform(range(0, CAST(({dof} - 1) / 2 AS BIGINT)), lambda k: exp(lgamma(k + 1.0::DOUBLE) - lgamma(k + 1.5::DOUBLE)) * sqrt(pi()) / 2 * pow({c2}, k)))"
+    even = f"list_sum(list_transform(range(0, CAST({dof} / 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5::DOUBLE) - lgamma(k + 1.0::DOUBLE)) / sqrt(pi()) * pow({c2}, k)))"
+    return (f"CASE WHEN {t} IS NULL OR {dof} IS NULL OR {dof} <= 0 THEN NULL WHEN CAST({dof} AS BIGINT) % 2 = 1 "
+            f"THEN 1 - 2 / pi() * (asin({s}) + {s} * sqrt({c2}) * coalesce({odd}, 0)) ELSE 1 - {s} * {even} END")
+
+
+_BOTH = f"""
+WITH p AS ({wide_sql("v_clim", "price", "qty", "node", sk.CORRELATION)}), s AS ({_SPEARMAN.strip()})
+SELECT p.*, s.spearman_R, s.spearman_R2, s.spearman_t, s.spearman_dof FROM p JOIN s ON s.node = p.node"""
+
+
+@query("F6", f"SELECT *, {_p_sql('pearson_t', 'pearson_dof')} AS pearson_R_pvalue, {_p_sql('spearman_t', 'spearman_dof')} AS spearman_R_pvalue FROM ({_BOTH})")
 def skill_pvalue(t: Tables):
-    """p values of both correlations (no SQL twin: needs the incomplete beta function)."""
+    """p values of both correlations."""
     pearson = sk.skill_columns(t.clim, "price", "qty", ["node"], sk.CORRELATION)
     spearman = verify.spearman(t.clim, "price", "qty", ["node"]).drop("n")
     both = pearson.join(spearman, "node")
