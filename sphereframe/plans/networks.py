@@ -1,7 +1,7 @@
 """Queries over neighbour graphs and graph filters.
 
-Nodes are the embeddings' first three components projected to the sphere (an
-irregular sampling); the next three components are fields on them.
+Nodes are sums over three thirds of the embeddings' components, projected to the
+sphere (an irregular sampling); three further sums are fields on them.
 """
 
 from __future__ import annotations
