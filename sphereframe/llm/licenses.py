@@ -10,6 +10,7 @@ Four plain phrases (``BASE``) are counted besides, whatever the suppression does
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,7 +62,7 @@ NOTICES: list[tuple[str, str, int]] = [
     ("public-domain", "released into the public domain", 5), ("public-domain", "dedicated to the public domain", 5), ("public-domain", "placed in the public domain", 5), ("public-domain", "public domain dedication", 4),
     ("zlib", "this software is provided as is without any express or implied warranty", 5), ("no-warranty", "without warranty of any kind", 3), ("no-warranty", "without any warranty", 3),
     ("all-rights-reserved", "all rights reserved", 2), ("proprietary", "proprietary and confidential", 4), ("proprietary", "confidential and proprietary", 4), ("copyleft", "copyleft", 1),
-    ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", 2), ("gpl", "gplv[123]", 3), ("lgpl", "lgplv[23]", 3), ("agpl", "agplv3", 3), ("gpl", "gnu gpl(?: v?[123])?", 4), ("lgpl", "gnu lgpl(?: v?[23])?", 4),
+    ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", 2), ("gpl", "gplv1", 3), ("gpl", "gplv2", 3), ("gpl", "gplv3", 3), ("lgpl", "lgplv2", 3), ("lgpl", "lgplv3", 3), ("agpl", "agplv3", 3), ("gpl", "gnu gpl(?: v?[123])?", 4), ("lgpl", "gnu lgpl(?: v?[23])?", 4),
 ]
 
 
@@ -76,7 +77,10 @@ class Rule:
 
 
 def _rule(label: str, pattern: str, priority: int, base: bool = False) -> Rule:
-    return Rule(pattern.split(" ")[0], f"^(?:{pattern}) ", label, priority, min(1.0, 0.3 + priority / 10), base)
+    anchor = re.match(r"[a-z0-9]+(?=$| |\(\?: )", pattern)
+    if not anchor:
+        raise ValueError(f"signature {pattern!r} does not start with a whole literal word")
+    return Rule(anchor[0], f"^(?:{pattern}) ", label, priority, min(1.0, 0.3 + priority / 10), base)
 
 
 def rules() -> list[Rule]:
@@ -156,16 +160,15 @@ def scan(df: DataFrame, found: list[Rule] | None = None, *, text: str = "text",
 
 
 def sql() -> str:
-    """The same as SQL."""
+    """The same as SQL, without gate and anchors: every signature is tried on whole texts, and at every word of those it matches."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ",\n".join(f"({quote(r.anchor)}, {quote(r.pattern)}, {quote(r.label)}, {r.priority}, {r.weight!r}::DOUBLE, {r.base})" for r in rules())
+    values = ",\n".join(f"({quote(r.pattern)}, {quote(r.label)}, {r.priority}, {r.weight!r}::DOUBLE, {r.base})" for r in rules())
     return rf"""
-WITH rules(anchor, pattern, label, priority, weight, base) AS (VALUES {values}),
+WITH rules(pattern, label, priority, weight, base) AS (VALUES {values}),
 low AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 w AS (SELECT doc_id, CASE WHEN trim(regexp_replace(t, '{NO_WORD}', ' ', 'g')) = '' THEN []::VARCHAR[] ELSE string_split(trim(regexp_replace(t, '{NO_WORD}', ' ', 'g')), ' ') END AS words FROM low),
-p AS (SELECT doc_id, words, unnest(range(len(words))) AS start FROM w),
-a AS (SELECT doc_id, start, words[start + 1] AS word, array_to_string(words[start + 1:start + {SPAN}], ' ') || ' ' AS tail FROM p WHERE words[start + 1] IN (SELECT anchor FROM rules)),
-h AS (SELECT a.doc_id, a.start, r.label, r.priority, r.weight, r.base, regexp_extract(a.tail, r.pattern) AS hit FROM a JOIN rules r ON a.word = r.anchor),
+likely AS MATERIALIZED (SELECT w.doc_id, w.words, r.* FROM w, rules r WHERE regexp_matches(' ' || array_to_string(w.words, ' ') || ' ', replace(r.pattern, '^', ' '))),
+h AS (SELECT doc_id, start, label, priority, weight, base, regexp_extract(array_to_string(words[start + 1:start + {SPAN}], ' ') || ' ', pattern) AS hit FROM (SELECT *, unnest(range(len(words))) AS start FROM likely)),
 d AS (SELECT *, length(hit) - length(replace(hit, ' ', '')) AS size FROM h WHERE hit <> ''),
 best AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id, start ORDER BY priority DESC, size DESC, label DESC, weight DESC) = 1),
 rest AS (SELECT * FROM best x WHERE NOT EXISTS (SELECT 1 FROM best y WHERE y.doc_id = x.doc_id AND y.start < x.start AND y.start >= x.start - {SPAN} AND y.start + y.size >= x.start + x.size AND y.priority >= x.priority)),
