@@ -40,7 +40,7 @@ class WordTokenizer:
 
     Each distinct chunk between blanks is looked up or put together from its words, each distinct word is encoded once.  Words are handed
     to the tokenizer many at a time; their last ids carry the end-of-word mark.  Chunks with characters beyond the first 256 or control
-    characters go to the tokenizer whole.
+    characters go to the tokenizer whole, and so does every text in which one of the tokenizer's added tokens is spelled out.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -48,7 +48,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(self.added)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.end = end_id.to_bytes(4, "little")
@@ -70,22 +71,25 @@ class WordTokenizer:
                 self.words.update((w, self._whole(w)) for w in part)
 
     def _learn(self, chunks: set[str]) -> None:
-        plain = [c for c in chunks if PLAIN.fullmatch(c)]
+        plain = [c for c in chunks if (c.isprintable() if c.isascii() else PLAIN.fullmatch(c))]  # chunks hold no blanks
         self.known.update((c, self._whole(c)) for c in chunks.difference(plain))
-        split = [WORDS.findall(c.lower()) for c in plain]
+        if not plain:
+            return
+        split = [[w] if w.isalpha() else WORDS.findall(w) for w in "\n".join(plain).lower().split("\n")]
         self._learn_words(list(set().union(*split).difference(self.words)))
         word = self.words.__getitem__
         self.known.update(zip(plain, (word(w[0]) if len(w) == 1 else b"".join(map(word, w)) for w in split), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, the end id last."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        special = {i for i, t in enumerate(texts) if self.mark in t and any(a in t for a in self.added)}
+        split = [[""] if i in special else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
         if len(self.known) > CHUNKS:
             self.known = {"": b""}
         if len(self.words) > KNOWN_WORDS:
             self.words.clear()
         self._learn(set().union(*split).difference(self.known))
-        return [b"".join(map(self.known.__getitem__, chunks)) + self.end for chunks in split]
+        return [(self._whole(texts[i]) if i in special else b"".join(map(self.known.__getitem__, chunks))) + self.end for i, chunks in enumerate(split)]
 
 
 @lru_cache(maxsize=2)
