@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,12 +53,33 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/corpus/{name}-{uuid.uuid4().hex}"
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here and lost executors only re-read files."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` whose last reader has run, and let Spark drop the shuffle files of what has run.
+
+    Spark deletes shuffle files when the objects of their query are collected on the driver, so it is asked to collect.
+    """
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def fold(id_col: Column | str, folds: int) -> Column:

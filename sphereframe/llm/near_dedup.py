@@ -1,16 +1,16 @@
 """Near duplicates by an LSH forest over MinHash signatures.
 
 A document is the set of its distinct runs of ``width`` words.  Documents with equal sets are one class from the start, so copies cost
-nothing.  Each tree of the forest orders the classes by its own sequence of MinHash values; what shares a long common prefix there stands
-side by side.  A region of a tree (all classes with one prefix) is taken at the smallest depth at which it is not crowded: the depth adapts
-to each region.  Classes of a region that is not crowded from the start are all compared.  Deeper regions belong to large families; there each class
-is compared with few others, chosen differently in every tree, with the first class where even full depth is crowded, and later with the
-hubs of the family (`hub_pairs`), unless it is connected to them by then.  What these few comparisons leave apart goes through an exact join on
-rare shingles (`rare_pairs`), so a link inside a family is found however many classes share its regions.
+nothing.  Each tree of the forest sorts the classes by its own sequence of MinHash values, over range partitions: what shares a long common
+prefix stands side by side.  A region is a stretch with one prefix, taken at the smallest depth at which it is not crowded, so the depth adapts
+to each region; all its classes are candidates.  In regions that are crowded at the least depth, every class also meets its neighbours of longest
+common prefix on both sides, up to the second depth, so a class without company deeper down ascends to them.  Such regions are large families, and
+regions cut by a partition's border are treated like them: what is still apart there goes through an exact join on rare shingles
+(`rare_pairs`), so no link is lost however many classes share a region.
 
 Candidates go through an estimate from whole signatures, with a margin of over four standard deviations, and are confirmed on full sets.
 First each class is confirmed against its most similar partners only; of the remaining candidates, those whose ends are already connected need
-no confirmation.  Components come from star contraction.  Nothing is collected to the driver but counts.
+no confirmation.  Components come from star contraction.  Nothing is collected to the driver but counts, and the counters that order shingles.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import in_slices
-from .common import map_texts, ship_package, slices, written
+from .common import discard, map_texts, ship_package, slices, written
 
 WORDS = 150_000  # words a worker remembers the hashes of
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
@@ -37,7 +37,8 @@ class Forest:
     trees: int = 16
     levels: tuple[int, ...] = (2, 3, 4, 6, 8)
     crowd: int = 32  # classes in a region beyond which it is followed to the next depth
-    companions: int = 6  # size of the groups compared below a crowded region
+    beside: int = 3  # neighbours met on each side in crowded regions
+    counters: int = 1 << 16  # counters of the sketch that orders shingles by how common they are
 
     @property
     def values(self) -> int:
@@ -84,7 +85,7 @@ def signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, forest: Forest, width: int, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, set, sig): digest of the set and its signature, both null without words."""
+    """(doc_id, n_shingles, set, sig, low): digest of the set, its signature and the lowest bytes of that, all null without words."""
     multipliers = forest.multipliers()
 
     def work(ids: list, texts: list) -> dict:
@@ -92,109 +93,148 @@ def signatures(df: DataFrame, forest: Forest, width: int, *, text: str = "text",
             out = []
             for t in part:
                 s = shingles(t, width)
-                out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s, multipliers).tobytes()) if len(s) else (0, None, None))
+                if not len(s):
+                    out.append((0, None, None, None))
+                    continue
+                sig = signature(s, multipliers)
+                out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig.tobytes(), sig.astype(np.uint8).tobytes()))
             return out
 
         got = in_slices(texts, 4_000_000, reduce)
-        return {"doc_id": ids, "n_shingles": [g[0] for g in got], "set": [g[1] for g in got], "sig": [g[2] for g in got]}
+        return {"doc_id": ids, "n_shingles": [g[0] for g in got], "set": [g[1] for g in got], "sig": [g[2] for g in got], "low": [g[3] for g in got]}
 
-    return map_texts(df, "doc_id long, n_shingles long, set binary, sig binary", work, text=text, key=key)
+    return map_texts(df, "doc_id long, n_shingles long, set binary, sig binary, low binary", work, text=text, key=key)
 
 
-def prefixes(classes: DataFrame, forest: Forest) -> DataFrame:
-    """(id, n, tree, k<level>...): hashed prefixes of every class in every tree."""
+def tree_keys(classes: DataFrame, forest: Forest) -> DataFrame:
+    """(id, n, key): the place of every class in every tree; keys are the tree's number and its MinHash values, and sort as bytes."""
     depth = forest.levels[-1]
-    seeds = (np.arange(forest.trees, dtype=np.uint64) + np.uint64(1)) * _M[5]
-    names = [f"k{level}" for level in forest.levels]
 
     def run(batches):
         for batch in slices(batches, 2000):
             count = batch.num_rows
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(count, forest.trees, depth).astype(np.uint64)
-            h = np.broadcast_to(seeds, (count, forest.trees)).copy()
-            columns = []
-            for level in range(1, depth + 1):
-                h = (h ^ (h >> np.uint64(30)) ^ sig[:, :, level - 1]) * _M[6]
-                if level in forest.levels:
-                    columns.append(pa.array((h ^ (h >> np.uint64(31))).reshape(-1).view(np.int64)))
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(count, forest.trees, depth)
+            whole = np.concatenate([np.broadcast_to(np.arange(forest.trees, dtype=np.uint32)[None, :, None], (count, forest.trees, 1)), sig], axis=2).astype(">u4")
+            keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * depth + 4), count * forest.trees, [None, pa.py_buffer(whole.tobytes())]).cast(pa.binary())
             ids, n = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), forest.trees) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(np.tile(np.arange(forest.trees, dtype=np.int32), count)), *columns], names=["id", "n", "tree", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), keys], names=["id", "n", "key"])
 
-    return classes.select("id", "n", "sig").mapInArrow(run, "id long, n long, tree int, " + ", ".join(f"{k} long" for k in names))
+    return classes.select("id", "n", "sig").mapInArrow(run, "id long, n long, key binary")
 
 
-def candidates(classes: DataFrame, forest: Forest, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b), a < b, that meet in a region of some tree and whose sizes allow the wanted similarity.
+def neighbours(ids: np.ndarray, n: np.ndarray, keys: np.ndarray, forest: Forest, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of a sorted stretch of trees, and the rows whose depth-first region is crowded or may go on beyond the stretch.
 
-    Also (id, n, region) of the classes in regions that are crowded at the least depth, for `hub_pairs`.
+    ``keys`` has a row for each class and tree: the tree and its values.
     """
-    first, last = f"k{forest.levels[0]}", f"k{forest.levels[-1]}"
-    rows = prefixes(classes, forest)
-    count = lambda r, k: r.groupBy(k).agg(F.count(F.lit(1)).alias(f"c_{k}"))
-    rows = written(rows.join(count(rows, first).filter(f"c_{first} > 1"), first), "regions")  # who shares not even the shortest prefix has no candidate
-    wide = rows.filter(F.col(f"c_{first}") > forest.crowd).select("id", "n", F.col(first).alias("region"))
-    region, size = F.col(first), F.col(f"c_{first}")
-    for level in forest.levels[1:]:
-        k = f"k{level}"
-        crowded = rows.filter(size > forest.crowd)
-        rows = rows.join(count(crowded, k), k, "left")
-        region, size = F.when(size > forest.crowd, F.col(k)).otherwise(region), F.when(size > forest.crowd, F.col(f"c_{k}")).otherwise(size)
-    rows = rows.select("id", "n", "tree", region.alias("region"), size.alias("size"), (F.col(f"c_{first}") > forest.crowd).alias("family")).filter("size > 1")
-    rows = written(rows, "placed")
-    crowded = rows.filter(F.col("size") > forest.crowd)
-    # below a crowded region: small groups dealt anew in every tree; where even full depth is crowded, also the class with the smallest id
-    group = F.pmod(F.xxhash64("id", "tree"), F.greatest(F.lit(1), (F.col("size") / forest.companions).cast("long")))
-    places = rows.select("id", "n", "region", F.when(F.col("family"), group).otherwise(F.lit(-1)).alias("group"))
-    left, right = places.toDF("a", "na", "region", "group"), places.toDF("b", "nb", "region", "group")
-    fits = (F.col("na") * percent <= F.col("nb") * 100) & (F.col("nb") * percent <= F.col("na") * 100)
-    within = left.join(right, ["region", "group"]).filter((F.col("a") < F.col("b")) & fits).select("a", "b")
-    leaders = crowded.groupBy("region").agg(F.min(F.struct("id", "n")).alias("m")).select("region", F.col("m.id").alias("a"), F.col("m.n").alias("na"))
-    led = crowded.select("region", F.col("id").alias("b"), F.col("n").alias("nb")).join(leaders, "region").filter((F.col("a") < F.col("b")) & fits).select("a", "b")
-    return within.unionByName(led).distinct(), wide
+    size = len(ids)
+    same = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(axis=1) - 1  # common prefix of neighbours in values; -1 across trees
+    place, group, crowded = np.full(size, -1), np.zeros(size, np.int64), None
+    for k, level in enumerate(forest.levels):
+        group = np.concatenate([[0], np.cumsum(same < level)])
+        many = np.bincount(group)[group]
+        fits = (place < 0) & (many <= forest.crowd)
+        place[fits] = group[fits] * len(forest.levels) + k
+        if crowded is None:
+            first, crowded = group, many > forest.crowd
+        if k <= 1:
+            near = group
+    at = np.arange(size)
+    pairs = []
+    for step in range(1, forest.crowd):
+        left, right = at[:size - step], at[step:]
+        meet = (place[left] == place[right]) & (place[left] >= 0)
+        if step <= forest.beside:
+            meet |= crowded[left] & (near[left] == near[right])
+        meet &= (n[left] * percent <= n[right] * 100) & (n[right] * percent <= n[left] * 100)
+        pairs.append(np.stack([ids[left[meet]], ids[right[meet]]]))
+    both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    open_ = crowded | (first == first[0]) | (first == first[-1])
+    return both.min(axis=0), both.max(axis=0), np.flatnonzero(open_)
 
 
-def hub_pairs(wide: DataFrame, pairs: DataFrame, joined: DataFrame, percent: int, hubs: int = 10) -> DataFrame:
-    """Pairs of classes in crowded regions with the hubs of these regions, unless they are connected already.
+def candidates(classes: DataFrame, forest: Forest, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of neighbours in some tree whose sizes allow the wanted similarity.
 
-    In a large family most members are closest to those near its origin, and a member may have no other link.  A class's agreement summed over its
-    candidates tells how central it is; each region has ``hubs`` hubs, the most central class of each of as many parts.
+    Also (id, region) of the classes in regions that are crowded at the least depth or cut by a border, for `rare_pairs`.
     """
-    ends = pairs.select(F.col("a").alias("id"), "agree").unionByName(pairs.select(F.col("b").alias("id"), "agree"))
-    central = ends.groupBy("id").agg(F.sum("agree").alias("score"))
-    known = wide.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    best = (known.join(central, "id").groupBy("region", F.pmod(F.xxhash64("id"), F.lit(hubs)).alias("part")).agg(F.max(F.struct("score", "id", "n", "component")).alias("h"))
-            .select("region", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.component").alias("hc")))
-    fits = (F.col("n") * percent <= F.col("hn") * 100) & (F.col("hn") * percent <= F.col("n") * 100)
-    met = known.withColumnRenamed("region", "_r").join(best, (F.col("_r") == F.col("region")) & (F.col("component") != F.col("hc")) & fits)
-    return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    rows = tree_keys(classes, forest)
+    width = forest.levels[-1] + 1
+    parts = max(classes.sparkSession.sparkContext.defaultParallelism, -(-classes.count() * forest.trees // 100_000))
+
+    def run(batches):
+        held = []
+
+        def flush():
+            ids, n = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (0, 1))
+            raw = b"".join(x for b in held for x in b.column(2).to_pylist())
+            keys = np.frombuffer(raw, ">u4").reshape(-1, width).astype(np.uint32)
+            a, b, open_ = neighbours(ids, n, keys, forest, percent)
+            deep = keys[open_, :forest.levels[0] + 1].astype(np.uint64)
+            region = np.zeros(len(open_), np.uint64)
+            for k in range(deep.shape[1]):
+                region = (region ^ (region >> np.uint64(30)) ^ deep[:, k]) * _M[6]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, ids[open_]])), pa.array(np.concatenate([b, ids[open_]])),
+                                              pa.array(np.concatenate([np.zeros(len(a), np.int64), region.view(np.int64) | 1]))], names=["a", "b", "region"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= 400_000:  # a partition that came out much too large is cut again
+                yield from flush()
+                held.clear()
+        if held:
+            yield from flush()
+
+    ordered = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "id")
+    met = written(ordered.mapInArrow(run, "a long, b long, region long").distinct(), "met")
+    return met.filter("region = 0 AND a <> b").select("a", "b"), met.filter("region <> 0").select(F.col("a").alias("id"), "region")
+
+
+def common_counts(sets: DataFrame, counters: int) -> np.ndarray:
+    """How many sets hold the shingles of each counter: bounded by ``counters`` rows, counted over all sets."""
+
+    def run(batches):
+        total = np.zeros(counters, np.int64)
+        for batch in slices(batches, 500):
+            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            total += np.bincount((flat % np.uint64(counters)).astype(np.int64), minlength=counters)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["counter", "n"])
 
+    out = np.zeros(counters, np.int64)
+    counted = sets.select("full").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    out[counted["counter"].to_numpy()] = counted["n"].to_numpy()
+    return out
 
-def rare_pairs(wide: DataFrame, sets: DataFrame, joined: DataFrame, percent: int, posts: int = 256) -> DataFrame:
-    """All pairs (a, b) of classes from crowded regions that lie in different components and may have the wanted similarity: a prefix filter join.
 
-    Shingles of one component only cannot be shared by such a pair and come first, the others follow by rising count.  Two sets that are similar
-    enough share one of their first ``n - ceil(percent * n / 100) + 1`` shingles, and behind the first they share enough is left in both.  Classes of
-    a shingle's largest component are only looked at from the others, and shingles of more than ``posts`` classes are dealt over several groups.
+def rare_pairs(wide: DataFrame, sets: DataFrame, joined: DataFrame, percent: int, counters: int, posts: int = 256) -> DataFrame:
+    """All pairs (a, b) of classes from open regions that lie in different components and may have the wanted similarity: a prefix filter join.
+
+    All sets are ordered alike, rare shingles first, as far as the counters of a sketch tell (the order decides the work, not the result).  Two sets
+    that are similar enough share one of their first ``n - ceil(percent * n / 100) + 1`` shingles, and behind the first they share enough is left in
+    both, so only these first ones are sent.  Classes of a shingle's largest component are only looked at from the others, and shingles of more than
+    ``posts`` classes are dealt over several groups.
     """
     known = wide.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = known.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     apart = written(known.join(mixed, "region", "left_semi").select("id", "component").distinct(), "apart")
+    rank = common_counts(sets, counters).astype(np.uint32)
 
     def run(batches):
-        for batch in slices(batches, 50):
-            full = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
-            n = np.array([len(x) for x in full])
-            ids, component, row = (pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n)) for i in (0, 1, 2))
-            yield pa.RecordBatch.from_arrays([ids, component, row, pa.array(np.repeat(n, n)), pa.array(np.concatenate(full).view(np.int64))], names=["id", "component", "row", "n", "shingle"])
-
-    # ids may repeat with other texts: ``row`` tells their sets apart
-    rows = sets.join(apart, "id").select("id", "component", F.xxhash64("full").alias("row"), "full").dropDuplicates(["id", "row"])
-    all_ = rows.mapInArrow(run, "id long, component long, row long, n long, shingle long")
-    common = all_.groupBy("shingle").agg(F.count(F.lit(1)).alias("count"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle", "count")
-    own = Window.partitionBy("id", "row")
-    at = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("count", "shingle")) - 1
-    first = written(all_.join(common, "shingle").withColumn("at", at).filter(F.col("at") <= F.expr(f"n - (n * {percent} + 99) div 100")).select("id", "component", "n", "shingle", "at"), "first")
-
+        for batch in slices(batches, 200):
+            out = []
+            for x, i, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                x = np.frombuffer(x, np.uint64)
+                order = x[np.lexsort((x, rank[(x % np.uint64(counters)).astype(np.int64)]))]
+                keep = len(x) - -(-len(x) * percent // 100) + 1
+                out.append((np.full(keep, i), np.full(keep, c), np.full(keep, len(x)), order[:keep].view(np.int64), np.arange(keep)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(column)) for column in zip(*out, strict=True)], names=["id", "component", "n", "shingle", "at"])
+
+    full = sets.join(apart, "id").select("full", "id", "component")
+    first = written(full.mapInArrow(run, "id long, component long, n long, shingle long, at long").distinct(), "first")  # repeated rows with one id and set count once
+    discard(apart)
     counts = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("m"))
     parts = F.ceil(F.col("all") / posts).cast("long")
     placed = first.join(counts.filter(F.col("all") > F.col("m.c")).select("shingle", parts.alias("parts"), F.col("m.component").alias("main")), "shingle")
@@ -208,19 +248,22 @@ def rare_pairs(wide: DataFrame, sets: DataFrame, joined: DataFrame, percent: int
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, forest: Forest, percent: int) -> DataFrame:
-    """Pairs whose signatures agree in a share that the wanted similarity may have, with that share as ``agree``."""
+    """Pairs whose signatures agree in a share that the wanted similarity may have, with that share as ``agree``.
+
+    Lowest bytes stand for the values: where values differ they agree by chance once in 256, which lets pairs pass but loses none.
+    """
     p = percent / 100
     least = int(np.floor(forest.values * (p - 4.5 * np.sqrt(p * (1 - p) / forest.values))))
     values = forest.values
 
     def run(batches):
         for batch in slices(batches, 2000):
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, values) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, values) for i in (2, 3))
             agree = (a == b).sum(axis=1)
             keep = agree >= least
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(agree[keep].astype(np.int32))], names=["a", "b", "agree"])
 
-    sig = classes.select("id", "sig")
+    sig = classes.select("id", "low")
     joined = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return joined.mapInArrow(run, "a long, b long, agree int")
 
@@ -263,7 +306,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v")
-        edges = written(small.distinct(), "edges")
+        last, edges = edges, written(small.distinct(), "edges")
+        discard(last)
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
@@ -277,38 +321,41 @@ def near_duplicates(df: DataFrame, *, width: int = 4, percent: int = 80, forest:
     ship_package(spark)
     forest = forest or Forest()
     docs = written(signatures(df, forest, width, text=text, key=key), "signatures")
+    members = written(docs.select("doc_id", "n_shingles", "set"), "members")
+    least = members.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("id"))
     named = docs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    least = named.groupBy("set").agg(F.min("doc_id").alias("id"))
-    classes = written(named.join(least.select("set", F.col("id").alias("doc_id")), ["set", "doc_id"], "left_semi").groupBy("set", "doc_id", "n_shingles").agg(F.first("sig").alias("sig"))
-                      .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "set", "sig"), "classes")
+    classes = written(named.join(least.select("set", F.col("id").alias("doc_id")), ["set", "doc_id"], "left_semi").dropDuplicates(["set", "doc_id"])
+                      .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "low"), "classes")
+    discard(docs)
     met, wide = candidates(classes, forest, percent)
     pairs = written(estimated(met, classes, forest, percent), "pairs")
 
-    # full sets of the classes with candidates; ids are broadcast where their count is small
-    ends = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).unionByName(wide.select(F.col("id").alias("_id"))).distinct()
-    ends = written(ends, "ends")
-    wanted = F.broadcast(ends) if ends.count() <= 200_000 else ends
-    texts = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(wanted, "_id", "left_semi")
+    # full sets of the classes with candidates
+    ends = written(pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).unionByName(wide.select(F.col("id").alias("_id"))).distinct(), "ends")
+    texts = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(ends, "_id", "left_semi")
     sets = written(map_texts(texts, "id long, full binary", lambda ids, ts: {"id": ids, "full": [shingles(t, width).tobytes() for t in ts]}, text="_text", key="_id"), "sets")
+    discard(ends)
 
     best = lambda x, y: pairs.groupBy(x).agg(F.max(F.struct("agree", (-F.col(y)).alias("o"))).alias("m")).select(F.col(x), (-F.col("m.o")).alias(y))
-    first = best("a", "b").unionByName(best("b", "a").select("a", "b")).distinct()
+    first = written(best("a", "b").unionByName(best("b", "a").select("a", "b")).distinct(), "best")
     links = written(confirmed(first, sets, percent), "links")
-    joined = components(links)
-    joined = written(joined, "joined")
-    hubs = estimated(hub_pairs(wide, pairs, joined, percent), classes, forest, percent).select("a", "b")
+    joined = written(components(links), "joined")
     of = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     open_ = (pairs.join(first.withColumn("_done", F.lit(True)), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
              .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    more = confirmed(open_.unionByName(hubs).distinct(), sets, percent)
-    whole = written(components(links.unionByName(more)), "components")
-    rest = written(confirmed(estimated(rare_pairs(wide, sets, whole, percent), classes, forest, percent), sets, percent), "rest")
+    more = written(confirmed(open_, sets, percent), "more")
+    stars = lambda c: c.select(F.col("id").alias("a"), F.col("component").alias("b"))  # noqa: E731  what is connected already starts from its component
+    whole = written(components(stars(joined).unionByName(more)), "components")
+    discard(pairs, first, links, joined, more)
+    rest = written(confirmed(estimated(rare_pairs(wide, sets, whole, percent, forest.counters), classes, forest, percent), sets, percent), "rest")
     if not rest.isEmpty():
-        whole = written(components(whole.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest)), "components")
+        apart, whole = whole, written(components(stars(whole).unionByName(rest)), "components")
+        discard(apart)
+    discard(sets, classes, rest)
 
-    members = docs.join(least, "set", "left").join(whole, "id", "left")
+    found = members.join(least, "set", "left").join(whole, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
-    return members.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def keep_one(df: DataFrame, *, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
