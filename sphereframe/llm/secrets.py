@@ -3,7 +3,8 @@
 Both models are first-order chains over printable ASCII.  They are trained from labelled strings; `labelled_strings` takes these from the
 corpus itself: values found by the fixed patterns are random, words made of letters (also joined by `_`, `.` or `-`) are ordinary.  The
 training pass counts transitions over all rows and hands one small matrix per task to an aggregation, so nothing grows with the corpus but
-the counts.  A string is reported where the log-likelihood ratio per character of the two models exceeds a threshold.
+the counts.  A string is reported where the log-likelihood ratio per character of the two models exceeds a threshold, one of its own for
+strings of letters only.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ORDINARY = re.compile(r"[A-Za-z]+(?:[_.-][A-Za-z]+)*")
 WORD = re.compile(r"[A-Za-z_.-]{6,}")
+REACH = 8
 FIRST, LAST = 32, 127  # range of characters of the models; everything else counts as FIRST
 
 
@@ -35,6 +37,7 @@ class Markov:
 
     ratio: np.ndarray
     threshold: float = 0.7
+    letters: float = 0.3  # for strings without digits, whose ordinary kind scores far below zero
 
     def score(self, s: str) -> float:
         codes = _codes(s)
@@ -106,7 +109,7 @@ def _chain(counts: np.ndarray) -> np.ndarray:
 def train(df: DataFrame, *, text: str = "text", threshold: float = 0.7) -> Markov:
     """Transition counts of both classes over all rows of ``df``.
 
-    Strings made by rule (`seed_strings`) are counted too, so an empty table still trains a sound model.
+    Strings made by rule (`seed_strings`) are counted too, so an empty table still trains a sound model.  A null text counts as empty.
     """
     size = (LAST - FIRST) ** 2
 
@@ -137,13 +140,17 @@ def train(df: DataFrame, *, text: str = "text", threshold: float = 0.7) -> Marko
 
 
 def all_spans(text: str, model: Markov, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Base spans and the strings the models call random, which have a digit and lie outside every base span."""
+    """Base spans and the strings the models call random.
+
+    A string that meets base spans is reported too, as a span of its own, where ``REACH`` or more of its characters lie outside them.
+    """
     out = list(base)
     for m in STRING.finditer(text):
         s, (lo, hi) = m[0], m.span()
-        if s.isalpha() or not any(c.isdigit() for c in s) or any(a < hi and lo < b for a, b, _ in base):
+        met = [(max(a, lo), min(b, hi)) for a, b, _ in base if a < hi and lo < b]
+        if met and hi - lo - len(set().union(*(range(a, b) for a, b in met))) < REACH:
             continue
-        if model.score(s) > model.threshold:
+        if model.score(s) > (model.threshold if any(c.isdigit() for c in s) else model.letters):
             out.append((lo, hi, "markov"))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
