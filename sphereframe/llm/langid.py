@@ -10,10 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_texts, ship_package
+from .common import map_texts, ship_package
 
 BITS = 12  # buckets of hashed runs
 ROWS = 2400  # bound of the training sample
@@ -69,15 +69,16 @@ def fit(df: DataFrame, usable: Column, *, lang: str = "lang", text: str = "text"
     ship_package(df.sparkSession)
     known = df.select(F.col(key).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.col("_id").isNotNull())
     known = known.filter(usable)
-    langs = sorted(r["_lang"] for r in known.select("_lang").distinct().collect())
+    counts = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}
+    langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((0, 1)), np.zeros((1 << BITS, 1)), np.zeros(1), np.ones(1))
-    ids = known.select("_id", "_lang")
     each = -(-rows // len(langs))
-    sample = None
-    for code in langs:
-        part = bounded_sample(ids.filter(F.col("_lang") == code), each, "_id")
-        sample = part if sample is None else sample.unionByName(part)
+    # of each language the rows of smallest hash: those below a share that holds eight times as many are ordered
+    share = F.create_map(*[c for code in langs for c in (F.lit(code), F.lit(8.0 * each / counts[code]))])
+    hashed = known.select("_id", "_lang", F.xxhash64("_id").alias("_h")).filter(F.col("_h").cast("double") / F.lit(2.0**64) + 0.5 < share[F.col("_lang")])
+    order = Window.partitionBy("_lang").orderBy("_h", "_id")
+    sample = hashed.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= each).select("_id", "_lang")
     place = {code: i for i, code in enumerate(langs)}
 
     def features(batches):
