@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_texts, ship_package, slices
+from .common import bounded_sample, map_texts, ship_package, slices, written
 
 GRAM, BITS = 5, 20
 TOXIC_ROWS, OTHER_ROWS = 4000, 8000  # bounds of the training sample
@@ -79,7 +79,7 @@ def fit(df: DataFrame, labels: DataFrame, usable: Column, *, prior: float | None
     scores everything near zero.
     """
     ship_package(df.sparkSession)
-    sample = _sample(df, labels, usable, toxic_rows, other_rows, text, key)
+    sample = written(_sample(df, labels, usable, toxic_rows, other_rows, text, key), "sample")
     size = 1 << BITS
 
     def count(batches):
