@@ -13,7 +13,7 @@ LABELS = [(i, i % 2, int(i % 3 == 0)) for i in range(12)] + [(None, 1, 1), (3, N
 OPERATORS = {
     "secrets": lambda d: secrets.scan(d, secrets.train(d)),
     "redact": lambda d: secrets.redact(d, secrets.train(d)),
-    "exact": lambda d: exact_dedup.mark_duplicates(d, runs=8, fan=2),
+    "exact": lambda d: exact_dedup.mark_duplicates(d, runs=8),
     "quality": lambda d: quality.score(d, quality.fit(d, labels(d.sparkSession, LABELS), F.lit(True))),
     "licenses": lambda d: licenses.scan(d),
     "near": lambda d: near_dedup.near_duplicates(d),

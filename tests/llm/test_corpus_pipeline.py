@@ -1,7 +1,7 @@
 """The pipeline's decisions, stage by stage, against plain versions."""
 
 import corpus_pipeline
-from corpus_fixtures import SF, nothing
+from corpus_fixtures import SF, nothing, tricky
 from pyspark.sql import functions as F
 from test_corpus_results import plain_components
 
@@ -27,7 +27,7 @@ def test_stages(spark):
 
     near = written(stages[2](spark, single, SF))
     left = {i: rows[i] for i in best.values()}
-    assert {r.doc_id for r in near.collect()} == set(plain_components(left, 4, 80)[1].values())
+    assert {r.doc_id for r in near.collect()} == set(plain_components(left, 5, 80)[1].values())
 
     masked = written(stages[3](spark, near, SF))
     assert masked.columns == docs.columns and masked.count() == near.count()
@@ -51,3 +51,19 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert __spark_entry__.queries()["op3_quality"](spark, str(tmp_path)).filter(F.col("score") > 0).count() == 0
+
+
+def test_tricky_documents(spark, tmp_path):
+    """Nulls, blanks, copies, repeated and null ids go through all stages; no label is toxic, so nothing is rejected as that."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    tricky(spark).select(*columns).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 0, 0), (5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = documents(spark, str(tmp_path))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, written(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == columns and docs.count() <= before.count()
+    kept = docs.collect()
+    assert len({"".join((r.text or "").split()) for r in kept}) == len(kept)  # one row of each text
+    assert sum(r.text is not None and len(r.text) > 100_000 for r in kept) == 1
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.select("doc_id").distinct().count() == len({r.doc_id for r in kept})

@@ -44,6 +44,21 @@ def test_secret_spans():
     assert secrets.base_spans("ſecret=abcdefghijklmnop") == []  # either case of the letters there, not of others that fold to them
 
 
+def test_letter_keys_and_keys_around_base_spans(spark, frame):
+    model, rng = secrets.train(frame), np.random.default_rng(9)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    keys = ["".join(rng.choice(letters, 24)) for _ in range(300)]
+    found = [secrets.all_spans(f"see {k} here", model, []) for k in keys]
+    assert sum(s == [(4, 28, "markov")] for s in found) >= 290
+    words = ["internationalisation", "counterrevolutionaries", "max_connection_timeout", "getUserProfileByName", "path/to/the/configuration", "characteristically-so"]
+    assert [w for w in words if secrets.all_spans(w, model, [])] == []
+    text = "x Zk81mPq02Lw0123456789abcdefXyQ9mmPq7Zr2 y"
+    spans = secrets.all_spans(text, model, secrets.base_spans(text))
+    assert spans == [(2, 41, "markov"), (13, 29, "hex")] and secrets.redact_text(text, spans) == "x [markov] y"
+    text = 'password="Zk81mPq02LwX9Qq" my_token=Zk81mPq02LwX9Qq'
+    assert {k for _, _, k in secrets.all_spans(text, model, secrets.base_spans(text))} == {"assign"}
+
+
 def test_secret_models_tell_strings_apart(spark, frame):
     model = secrets.train(frame)
     rng = np.random.default_rng(1)
@@ -62,12 +77,30 @@ def test_exact_dedup_plain(spark, frame, texts):
     for plain, ids in groups.items():
         keep = min(ids, key=lambda i: (-len(texts[i]), i))
         want |= {i: (keep, len(ids), i == keep, hashlib.sha256(plain.encode()).hexdigest()) for i in ids}
-    for runs, fan in ((1, 2), (13, 2), (64, 8)):
-        got = exact_dedup.mark_duplicates(frame, runs=runs, fan=fan).collect()
+    for runs in (1, 13, 16):
+        got = exact_dedup.mark_duplicates(frame, runs=runs).collect()
         assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == want
     assert {r.doc_id for r in exact_dedup.distinct_texts(frame).collect()} == {w[0] for w in want.values()}
 
 
+def test_runs_are_sorted_and_halve(spark, frame):
+    more = frame.unionByName(frame).unionByName(frame.limit(1).crossJoin(spark.range(200)).select(*frame.columns))
+    rows = exact_dedup.digests(more).persist()
+    whole = {r._sha: (r.n, r.best) for r in rows.groupBy("_sha").agg(F.count("*").alias("n"), F.min(exact_dedup.best()).alias("best")).collect()}
+    for k, entries in enumerate(exact_dedup.rounds(rows, 13, 4)):
+        parts = entries.select("_range", "_run", F.hex("_sha").alias("sha"), "_sha", "_size", "_best", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")).orderBy("at").collect()
+        places, seen = {}, {}
+        for r in parts:
+            assert places.setdefault((r._range, r._run), r.part) == r.part  # a run of a range lies in one partition
+            assert seen.get(r.part, (-1, -1, "")) < (r._range, r._run, r.sha)  # ascending, no digest twice
+            seen[r.part] = (r._range, r._run, r.sha)
+        assert {r._run for r in parts} == set(range([13, 7, 4, 2, 1][k])) and {r._range for r in parts} == set(range(4))
+        for sha in whole:
+            own = [r for r in parts if r._sha == sha]
+            assert sum(r._size for r in own) == whole[sha][0] and min(r._best for r in own) == whole[sha][1]
+    assert k == 4 and len(parts) == len(whole)
+
+
 def test_licence_phrases(spark, frame, texts):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for r in licenses.scan(frame).collect():
@@ -109,6 +142,56 @@ def plain_components(texts: dict, width: int, percent: int) -> tuple[dict, dict]
     return {i: len(s) for i, s in sets.items()}, {i: find(i) for i in sets}
 
 
+def sample(pattern: str) -> str:
+    """A shortest text that a signature matches."""
+    def read(parts) -> str:
+        out = ""
+        for kind, value in parts:
+            kind = str(kind)
+            if kind == "LITERAL":
+                out += chr(value)
+            elif kind == "IN":
+                out += "x" if str(value[0][0]) == "CATEGORY" else chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])
+            elif kind == "MAX_REPEAT":
+                out += read(value[2]) * value[0]
+            elif kind == "SUBPATTERN":
+                out += read(value[3])
+            elif kind == "BRANCH":
+                out += read(value[1][0])
+            elif kind != "AT":
+                raise ValueError(kind)
+        return out
+
+    return read(re._parser.parse(pattern)).strip()
+
+
+def test_every_signature_detects_its_sample(spark):
+    """Each by itself, since rules of higher priority may stand above it in a text; words in capitals and parted by other separators."""
+    found = licenses.rules()
+    texts = [t for r in found for t in (sample(r.pattern), sample(r.pattern).upper().replace(" ", " -\n"))]
+    frame = spark.createDataFrame(list(enumerate(f"see {t}, if you like" for t in texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    for k in range(len(texts)):
+        r, own = got[k], found[k // 2]
+        assert r.score > 0, texts[k]
+        if own.base:
+            assert own.label in r.base_labels.split(",")
+        else:
+            best = [d.split(":") for d in r.detections.split(",")]
+            assert any(label == own.label or int(priority) >= own.priority for _, _, label, priority in best), (texts[k], r.detections)
+
+
+@pytest.mark.parametrize(("text", "label"), [("This file is GPLv3.", "gpl"), ("LGPLv3 applies here", "lgpl"), ("CC0 1.0 Universal", "cc0"), ("CC0", "cc0"), ("gplv1", "gpl"), ("under LGPLv2", "lgpl")])
+def test_short_names(spark, text, label):
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.labels == label and r.score > 0
+
+
+def test_anchors_are_literal_words():
+    with pytest.raises(ValueError, match="literal"):
+        licenses._rule("x", "gplv[123]", 1)
+
+
 def test_license_gate_passes_every_notice(spark):
     texts = [pattern.replace("(?:\\S+ ){1,8}", "the author ").replace("(?:c )?(?:19|20)[0-9][0-9]", "1999").replace("[123]", "2").replace("[23]", "2").replace("(?: v?2)?", "") for _, pattern, _ in licenses.NOTICES]
     texts += [t.replace(" ", " --\n") for t in texts]
@@ -135,7 +218,7 @@ def test_near_duplicates_family(spark):
             words[at] = f"z{i}_{at}"
         texts[i] = " ".join(words)
     _, component = plain_components(texts, 4, 80)
-    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), forest=near_dedup.Forest(crowd=8, companions=3))
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), forest=near_dedup.Forest(crowd=8, beside=1))
     assert {r.doc_id: r.component_id for r in got.collect()} == component
 
 
@@ -177,7 +260,6 @@ def test_packing_pieces(spark, frame, texts):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     got = packing.pack(frame, path, per_bucket=50).orderBy("doc_id", "start").toPandas()
     for doc, parts in got.groupby("doc_id"):
         ids = np.array([*library.encode(texts[doc], add_special_tokens=False).ids, 1], "<u4")
@@ -189,6 +271,17 @@ def test_packing_pieces(spark, frame, texts):
         assert parts.offset.tolist() == [0, *parts.length.cumsum().tolist()[:-1]] and (total == 2048 or total & (total - 1) == 0)
 
 
+def test_added_tokens_inside_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), np.random.default_rng(8)
+    parts = ["<|endoftext|>", "<|startoftext|>", " ", "hello", "<|ENDOFTEXT|>", "\n", "it's", "<|", "é", "|>", "x<|endoftext|>y", "9", "\t", "endoftext"]
+    texts = ["hello <|endoftext|> world", "<|endoftext|>"] + ["".join(rng.choice(parts, 12)) for _ in range(400)]
+    got = packing.WordTokenizer(path, 1).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_packing_plan_uses_what_there_is():
     counts = np.random.default_rng(0).integers(0, 9, 64)
     counts[0] = 0
@@ -248,3 +341,31 @@ def test_nearest_neighbours_ties(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(300 + i, [float(i), 1.0, 0.0]) for i in range(50)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 200, spec=ann.Tables(block=40)).orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(10)) and all(r.score == 0 for r in got)
+
+
+def plain_base(text: str) -> tuple[tuple[int, int, int], str]:
+    """Counts and digest of the fixed patterns, written down as the contract has them."""
+    word = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api", "apikey", "api_key") if w != "api")
+    assign = [m for m in re.finditer(rf"""({word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
+    access = [m for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    digits = [m for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    spans = sorted((m.start(), k, name, m.end()) for k, (name, found) in enumerate((("assign", assign), ("access", access), ("hex", digits))) for m in found)
+    return (len(assign), len(access), len(digits)), hashlib.sha256(",".join(f"{name}:{a}:{b}" for a, _, name, b in spans).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("sf", [SF, SMALL])
+def test_base_secrets_plain(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in documents(spark, sf).collect()}
+    got = {r.doc_id: r for r in queries.op1_secrets(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        assert ((got[i].n_assign, got[i].n_access, got[i].n_hex), got[i].base_sha256) == plain_base(t)
+    assert any(r.n_assign + r.n_access + r.n_hex > 0 for r in got.values())
+
+
+def test_equal_losses_go_to_the_first_language():
+    from sphereframe.llm import langid
+
+    model = langid.Model(["de", "en", "fr"], langid.code_book(3), np.zeros((1 << langid.BITS, langid.code_book(3).shape[1])), np.zeros(langid.code_book(3).shape[1]), np.ones(langid.code_book(3).shape[1]))
+    loss = model.losses(np.stack([langid.runs("any words")]))
+    assert np.allclose(loss, loss[0, 0]) and np.argsort(loss, axis=1, kind="stable")[0, 0] == 0
