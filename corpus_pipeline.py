@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.8 on runs of four words, as in op5, the document with the smallest id."""
-    return near_dedup.keep_one(docs, width=4, percent=80)
+    """Of each group linked by a similarity of 0.8 on runs of five words the document with the smallest id; documents without words stay."""
+    return near_dedup.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
