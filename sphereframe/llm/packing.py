@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .bpe import in_slices
 from .common import map_texts, pa_schema, written
 
-CHUNKS, KNOWN_WORDS = 150_000, 400_000  # chunks and words a worker remembers; it starts anew beyond
+CHUNKS, KNOWN_WORDS = 400_000, 400_000  # chunks and words a worker remembers; it starts anew beyond
 TRIPLES = 3000  # combinations of three lengths offered to the solver, the most promising by their counts
 PER_BUCKET = 20_000  # documents in one bucket of the ranking
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
