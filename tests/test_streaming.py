@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,27 @@ def test_unmatched_forecasts(spark):
     seen = {(r.node, r.time) for r in ob.collect()}
     behind = max(t for _, t in seen) - dt.timedelta(days=1)
     assert got == {(r.node, r.time): (r.z, 1.0 if (r.node, r.time) in seen else None) for r in fc.collect() if (r.node, r.time) in seen or r.time <= behind}
+
+
+def verified_in_runs(spark, runs, unmatched):
+    """Forecasts and observations (node, hour, z) of each run, one after the other; the rows shown and the checkpoint."""
+    f_path, o_path, out = (scratch_path(spark, n) for n in ("f", "o", "out"))
+    schema = "node long, time timestamp_ntz, z double"
+    for fc, ob in runs:
+        for found, path in ((fc, f_path), (ob, o_path)):
+            spark.createDataFrame([(n, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), z) for n, h, z in found], schema).coalesce(1).write.mode("append").parquet(path)
+        f, o = (streaming.read_files(spark, p, spark.read.parquet(f_path).schema) for p in (f_path, o_path))
+        streaming.stream_verify(f, o, "z", out, out + "-cp", "1 day", unmatched=unmatched).awaitTermination()
+    return sorted((r.node, (r.time - dt.datetime(2024, 1, 1)) // dt.timedelta(hours=1), r.z_pred, r.z_obs) for r in spark.read.parquet(out).collect()), out + "-cp"
+
+
+RUNS = [([(1, 0, 1.0), (1, 6, 2.0), (2, 6, 3.0), (1, 48, 4.0)], [(1, 6, 0.5)]),
+        ([(1, 6, 2.5), (2, 48, 5.0)], [(1, 0, 0.25), (1, 48, 1.5), (1, 48, 1.75), (2, 48, None)]),
+        ([(1, 12, 9.0), (1, 60, 6.0), (None, 54, 7.0)], [(2, 6, 0.75), (1, 54, 8.0), (1, 60, 8.5)])]  # 12 and the observation of 6 come too late
+
+
+def test_verify_keeps_no_rows_in_the_engines_state(spark):
+    got, checkpoint = verified_in_runs(spark, RUNS, False)
+    assert [r for r in got if r[3] is not None] == [(1, 0, 1.0, 0.25), (1, 6, 2.0, 0.5), (1, 6, 2.5, 0.5), (1, 48, 4.0, 1.5), (1, 48, 4.0, 1.75), (1, 60, 6.0, 8.5)]
+    assert [r for r in got if r[3] is None] == [(2, 48, 5.0, None)]  # observed, without a value
+    assert not os.path.exists(f"{checkpoint}/state")
