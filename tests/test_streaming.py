@@ -134,3 +134,9 @@ def test_verify_keeps_no_rows_in_the_engines_state(spark):
     assert [r for r in got if r[3] is not None] == [(1, 0, 1.0, 0.25), (1, 6, 2.0, 0.5), (1, 6, 2.5, 0.5), (1, 48, 4.0, 1.5), (1, 48, 4.0, 1.75), (1, 60, 6.0, 8.5)]
     assert [r for r in got if r[3] is None] == [(2, 48, 5.0, None)]  # observed, without a value
     assert not os.path.exists(f"{checkpoint}/state")
+
+
+def test_unmatched_forecasts_come_out_once_over_several_runs(spark):
+    got, checkpoint = verified_in_runs(spark, RUNS, True)
+    assert got.count((2, 6, 3.0, None)) == 1 and got.count((2, 48, 5.0, None)) == 1
+    assert len(got) == 8 and not os.path.exists(f"{checkpoint}/state")
