@@ -27,7 +27,7 @@ class Query:
 
 
 # Views other views read several times.
-SHARED = {"v_grid", "v_knn", "v_edge", "v_deg", "v_lap", "v_points", "v_src", "v_dst", "v_w", "v_pool", "v_unpool", "v_obs"}
+SHARED = {"v_grid", "v_knn", "v_edge", "v_deg", "v_lap", "v_points", "v_src", "v_dst", "v_w", "v_pool", "v_unpool", "v_cell_w", "v_cell_pool", "v_cell_unpool", "v_obs"}
 
 QUERIES: dict[str, Query] = {}
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs, grids, remap
 from .registry import query
-from .views import Tables, _overlap
+from .views import Tables, _overlap, beside_sql
 
 
 def _power_of_two(t: Tables) -> int:
@@ -26,9 +26,10 @@ def _power_of_two(t: Tables) -> int:
 _N_HEALPIX = "(SELECT CAST(pow(2, greatest(0, ceil(log2((count(*) + 1) / 12.0) / 2))) AS BIGINT) AS n FROM customer)"
 
 
-@query("I1", "SELECT node, i, j, lat0, lat1, lon0, lon1, (lat0 + lat1) / 2 AS lat, (lon0 + lon1) / 2 AS lon, area FROM v_src")
+@query("I1", beside_sql("SELECT node, i, j, lat0, lat1, lon0, lon1, (lat0 + lat1) / 2 AS lat, (lon0 + lon1) / 2 AS lon, area FROM v_grid"))
 def grid_equiangular(t: Tables):
-    return t.src
+    """Every cell, with its customer's balance."""
+    return t.beside(t.cells)
 
 
 @query("I2", f"""
