@@ -32,8 +32,8 @@ def grid_equiangular(t: Tables):
     return t.beside(t.cells)
 
 
-@query("I2", f"""
-WITH RECURSIVE p AS (SELECT c_custkey AS node, n FROM customer, {_N_HEALPIX}),
+@query("I2", beside_sql(f"""
+WITH RECURSIVE p AS (SELECT unnest(range(12 * n * n)) AS node, n FROM {_N_HEALPIX}),
 f AS (SELECT node, n, node // (n * n) AS face, node % (n * n) AS w FROM p),
 b AS (SELECT node, n, face, w, CAST(0 AS BIGINT) AS ix, CAST(0 AS BIGINT) AS iy, CAST(1 AS BIGINT) AS bit FROM f
       UNION ALL SELECT node, n, face, w // 4, ix + bit * (w % 2), iy + bit * ((w // 2) % 2), bit * 2 FROM b WHERE bit < n),
@@ -46,10 +46,10 @@ z AS (SELECT *, CASE WHEN ring < n THEN 1.0::DOUBLE - m * m / (3.0::DOUBLE * n *
       (fl * m + ix - iy + 1 + s) // 2 AS p0 FROM q),
 l AS (SELECT *, CASE WHEN p0 > 4 * m THEN p0 - 4 * m WHEN p0 < 1 THEN p0 + 4 * m ELSE p0 END AS p FROM z)
 SELECT node, ring, degrees(asin(z)) AS lat, (p - (s + 1) * 0.5::DOUBLE) * 90.0::DOUBLE / m AS lon,
-       4 * pi() / (12 * n * n) AS area FROM l""")
+       4 * pi() / (12 * n * n) AS area FROM l"""))
 def grid_healpix(t: Tables):
-    """Customers on the nested equal-area sampling."""
-    return grids.healpix_nodes(t.keys, _power_of_two(t))
+    """Every node of the nested equal-area sampling, with its customer's balance."""
+    return t.beside(grids.grid_healpix(t.spark, _power_of_two(t)))
 
 
 # Newton steps on the three-term recurrence, one row of the recursion per ring, step and degree.

@@ -31,3 +31,9 @@ def test_grid_equiangular(sparse):
     assert sorted({r.node for r in rows}) == list(range(ROWS * COLUMNS))
     assert {r.node for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
     assert sum(r.area for r in rows) == pytest.approx(4 * math.pi)
+
+
+def test_grid_healpix(sparse):
+    rows = result(sparse, "grid_healpix").collect()
+    assert sorted({r.node for r in rows}) == list(range(48))
+    assert {r.node for r in rows if r.balance is None} == set(range(48)) - {k for k in range(1, 27) if k % 4}
