@@ -89,17 +89,17 @@ def gaussian_latitudes(t: Tables):
 _CUBED = "(SELECT CAST(ceil(sqrt((count(*) + 1) / 6.0)) AS BIGINT) AS n FROM customer)"
 
 
-@query("I4", f"""
-WITH c AS (SELECT c_custkey AS node, n FROM customer, {_CUBED}),
+@query("I4", beside_sql(f"""
+WITH c AS (SELECT unnest(range(6 * n * n)) AS node, n FROM {_CUBED}),
 f AS (SELECT node, node // (n * n) AS face, tan(pi() / 4 * ((2 * ((node % (n * n)) // n) + 1) / n::DOUBLE - 1)) AS a,
       tan(pi() / 4 * ((2 * (node % n) + 1) / n::DOUBLE - 1)) AS b FROM c),
 v AS (SELECT node, face, CASE WHEN face < 3 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s, a, b,
       sqrt(1 + a * a + b * b) AS n FROM f)
 SELECT node, face, CASE face % 3 WHEN 0 THEN s WHEN 1 THEN b ELSE a END / n AS x,
-       CASE face % 3 WHEN 1 THEN s WHEN 2 THEN b ELSE a END / n AS y, CASE face % 3 WHEN 2 THEN s WHEN 0 THEN b ELSE a END / n AS z FROM v""")
+       CASE face % 3 WHEN 1 THEN s WHEN 2 THEN b ELSE a END / n AS y, CASE face % 3 WHEN 2 THEN s WHEN 0 THEN b ELSE a END / n AS z FROM v"""))
 def grid_cubed(t: Tables):
-    """Customers on the faces of a cubed sphere."""
-    return grids.cubed_nodes(t.keys, math.ceil(math.sqrt((t.customers + 1) / 6.0))).drop("lon", "lat")
+    """Every node on the faces of a cubed sphere, with its customer's balance."""
+    return t.beside(grids.grid_cubed(t.spark, math.ceil(math.sqrt((t.customers + 1) / 6.0))).drop("lon", "lat"))
 
 
 _ICO = "(SELECT CAST(ceil(sqrt((count(*) - 2) / 10.0)) AS BIGINT) AS n FROM customer)"

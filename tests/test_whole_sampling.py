@@ -37,3 +37,9 @@ def test_grid_healpix(sparse):
     rows = result(sparse, "grid_healpix").collect()
     assert sorted({r.node for r in rows}) == list(range(48))
     assert {r.node for r in rows if r.balance is None} == set(range(48)) - {k for k in range(1, 27) if k % 4}
+
+
+def test_grid_cubed(sparse):
+    rows = result(sparse, "grid_cubed").collect()
+    assert sorted(r.node for r in rows) == list(range(24))
+    assert sum(r.balance is None for r in rows) == 24 - 18
