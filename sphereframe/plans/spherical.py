@@ -122,11 +122,11 @@ def _unit_sql(label: str) -> str:
     return f"CAST('0x' || substr(md5(node || ':42:{label}'), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
 
 
-@query("I4", f"SELECT node, degrees(asin(2 * {_unit_sql('z')} - 1)) AS lat, 360 * {_unit_sql('lon')} AS lon "
-             "FROM (SELECT c_custkey AS node FROM customer)")
+@query("I4", beside_sql(f"SELECT node, degrees(asin(2 * {_unit_sql('z')} - 1)) AS lat, 360 * {_unit_sql('lon')} AS lon "
+                        "FROM (SELECT unnest(range(count(*) + 1)) AS node FROM customer)"))
 def grid_random(t: Tables):
-    """A random place for every customer."""
-    return grids.random_nodes(t.keys, 42)
+    """A random place for node 0 and as many others as there are customers, with their customers' balances."""
+    return t.beside(grids.grid_random(t.spark, t.customers + 1, 42))
 
 
 _NPIX_SQL = {"equiangular": "2 * p * p", "gaussian": "4 * (p // 2) * (p // 2 + 9)", "healpix": "12 * p * p",

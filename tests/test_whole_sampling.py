@@ -43,3 +43,9 @@ def test_grid_cubed(sparse):
     rows = result(sparse, "grid_cubed").collect()
     assert sorted(r.node for r in rows) == list(range(24))
     assert sum(r.balance is None for r in rows) == 24 - 18
+
+
+def test_grid_random(sparse):
+    rows = result(sparse, "grid_random").collect()
+    assert sorted(r.node for r in rows) == list(range(CUSTOMERS + 1))
+    assert {r.node for r in rows if r.balance is None} == {0, 4, 8, 12, 16, 20}
