@@ -164,9 +164,9 @@ def resolution_profile(t: Tables):
     return grids.resolution_profile(t.nodes, _W, _B)
 
 
-@query("I7", "SELECT node, area, area / (SELECT sum(area) FROM v_src) AS weight FROM v_src")
+@query("I7", beside_sql("SELECT node, area, area / (SELECT sum(area) FROM v_grid) AS weight FROM v_grid"))
 def area_weights(t: Tables):
-    return grids.area_weights(t.src.select("node", "area"))
+    return t.beside(grids.area_weights(t.cells.select("node", "area")))
 
 
 _EDGE = ("2 * atan2(tan(radians({b} - {a}) / 2) * (tan(radians({p}) / 2) + tan(radians({q}) / 2)), "

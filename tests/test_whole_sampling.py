@@ -49,3 +49,10 @@ def test_grid_random(sparse):
     rows = result(sparse, "grid_random").collect()
     assert sorted(r.node for r in rows) == list(range(CUSTOMERS + 1))
     assert {r.node for r in rows if r.balance is None} == {0, 4, 8, 12, 16, 20}
+
+
+def test_area_weights(sparse):
+    rows = result(sparse, "area_weights").collect()
+    assert sorted({r.node for r in rows}) == list(range(ROWS * COLUMNS))
+    assert {r.node for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
+    assert all(r.weight == pytest.approx(r.area / (4 * math.pi)) for r in rows)
