@@ -173,12 +173,12 @@ _EDGE = ("2 * atan2(tan(radians({b} - {a}) / 2) * (tan(radians({p}) / 2) + tan(r
          "1 + tan(radians({p}) / 2) * tan(radians({q}) / 2))")
 
 
-@query("I8", "SELECT node, abs(" + " + ".join([
+@query("I8", beside_sql("SELECT node, abs(" + " + ".join([
     _EDGE.format(a="lon0", b="lon1", p="lat0", q="lat0"), _EDGE.format(a="lon1", b="lon1", p="lat0", q="lat1"),
     _EDGE.format(a="lon1", b="lon0", p="lat1", q="lat1"), _EDGE.format(a="lon0", b="lon0", p="lat1", q="lat0")]) +
-    ") AS area FROM v_src")
+    ") AS area FROM v_grid"))
 def polygon_areas(t: Tables):
-    return grids.polygon_areas(grids.cell_boundaries(t.src))
+    return t.beside(grids.polygon_areas(grids.cell_boundaries(t.cells)))
 
 
 @query("I9", "SELECT node, i, j FROM v_src")

@@ -56,3 +56,10 @@ def test_area_weights(sparse):
     assert sorted({r.node for r in rows}) == list(range(ROWS * COLUMNS))
     assert {r.node for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
     assert all(r.weight == pytest.approx(r.area / (4 * math.pi)) for r in rows)
+
+
+def test_polygon_areas(sparse):
+    rows = result(sparse, "polygon_areas").collect()
+    assert sorted({r.node for r in rows}) == list(range(ROWS * COLUMNS))
+    assert {r.node for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
+    assert sum(r.area for r in rows) == pytest.approx(4 * math.pi)
