@@ -181,11 +181,11 @@ def polygon_areas(t: Tables):
     return t.beside(grids.polygon_areas(grids.cell_boundaries(t.cells)))
 
 
-@query("I9", "SELECT node, i, j FROM v_src")
+@query("I9", beside_sql("SELECT node, i, j FROM v_grid"))
 def node_ij(t: Tables):
     rows, columns = t.shape
     nlat, nlon = grids.grid_shape(rows * columns, 2)
-    return grids.node_ij(t.src.select("node"), nlon)
+    return t.beside(grids.node_ij(t.cells.select("node"), nlon))
 
 
 @query("I10", "SELECT c_custkey AS node, c_custkey // 16 AS parent FROM customer")

@@ -63,3 +63,10 @@ def test_polygon_areas(sparse):
     assert sorted({r.node for r in rows}) == list(range(ROWS * COLUMNS))
     assert {r.node for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
     assert sum(r.area for r in rows) == pytest.approx(4 * math.pi)
+
+
+def test_node_ij(sparse):
+    rows = result(sparse, "node_ij").collect()
+    assert sorted({r.node for r in rows}) == list(range(ROWS * COLUMNS))
+    assert {r.node for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
+    assert all(r.node == r.i * COLUMNS + r.j for r in rows)
