@@ -193,9 +193,9 @@ def parent_map(t: Tables):
     return grids.parent_map(t.table("customer").select(F.col("c_custkey").alias("node")), 2)
 
 
-@query("I10", "SELECT node, (i // 2) * (nlon // 2) + j // 2 AS parent FROM v_src, v_gs")
+@query("I10", beside_sql("SELECT node, (i // 2) * (nlon // 2) + j // 2 AS parent FROM v_grid, v_gs"))
 def parent_map_grid(t: Tables):
-    return grids.parent_map_grid(t.src, 2, t.shape[1])
+    return t.beside(grids.parent_map_grid(t.cells, 2, t.shape[1]))
 
 
 # --- remapping -------------------------------------------------------------------------------

@@ -70,3 +70,10 @@ def test_node_ij(sparse):
     assert sorted({r.node for r in rows}) == list(range(ROWS * COLUMNS))
     assert {r.node for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
     assert all(r.node == r.i * COLUMNS + r.j for r in rows)
+
+
+def test_parent_map_grid(sparse):
+    rows = result(sparse, "parent_map_grid").collect()
+    assert sorted({r.node for r in rows}) == list(range(ROWS * COLUMNS))
+    assert {r.node for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
+    assert sorted({r.parent for r in rows}) == list(range(ROWS * COLUMNS // 4))
