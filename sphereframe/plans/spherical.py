@@ -201,9 +201,9 @@ def parent_map_grid(t: Tables):
 # --- remapping -------------------------------------------------------------------------------
 
 
-@query("D10", "SELECT dst, src, w FROM v_w")
+@query("D10", beside_sql("SELECT dst, src, w FROM v_cell_w", "src"))
 def overlap_weights(t: Tables):
-    return remap.overlap_weights(t.src, t.dst)
+    return t.beside(remap.overlap_weights(t.cells, t.dst), "src")
 
 
 @query("K1", "SELECT dst, src, w FROM v_pool")

@@ -77,3 +77,10 @@ def test_parent_map_grid(sparse):
     assert sorted({r.node for r in rows}) == list(range(ROWS * COLUMNS))
     assert {r.node for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
     assert sorted({r.parent for r in rows}) == list(range(ROWS * COLUMNS // 4))
+
+
+def test_overlap_weights(sparse):
+    rows = result(sparse, "overlap_weights").collect()
+    assert {r.src for r in rows} == set(range(ROWS * COLUMNS))
+    assert {r.src for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
+    assert sum(r.w for r in rows) == pytest.approx(4 * math.pi)
