@@ -206,9 +206,9 @@ def overlap_weights(t: Tables):
     return t.beside(remap.overlap_weights(t.cells, t.dst), "src")
 
 
-@query("K1", "SELECT dst, src, w FROM v_pool")
+@query("K1", beside_sql("SELECT dst, src, w FROM v_cell_pool", "src"))
 def pool_matrix(t: Tables):
-    return remap.pool_matrix(t.weights)
+    return t.beside(remap.pool_matrix(t.cell_weights), "src")
 
 
 @query("K1", "SELECT dst, src, w FROM v_unpool")

@@ -84,3 +84,9 @@ def test_overlap_weights(sparse):
     assert {r.src for r in rows} == set(range(ROWS * COLUMNS))
     assert {r.src for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
     assert sum(r.w for r in rows) == pytest.approx(4 * math.pi)
+
+
+def test_pool_matrix(sparse):
+    rows = result(sparse, "pool_matrix").collect()
+    assert {r.src for r in rows} == set(range(ROWS * COLUMNS))
+    assert {r.src for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
