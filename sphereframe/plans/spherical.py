@@ -211,9 +211,9 @@ def pool_matrix(t: Tables):
     return t.beside(remap.pool_matrix(t.cell_weights), "src")
 
 
-@query("K1", "SELECT dst, src, w FROM v_unpool")
+@query("K1", beside_sql("SELECT dst, src, w FROM v_cell_unpool", "src"))
 def unpool_matrix(t: Tables):
-    return remap.unpool_matrix(t.weights)
+    return t.beside(remap.unpool_matrix(t.cell_weights), "src")
 
 
 @query("K2", "SELECT dst AS node, time, sum(w * z) / sum(w) AS z FROM v_w JOIN v_field ON src = node GROUP BY 1, 2")

@@ -90,3 +90,8 @@ def test_pool_matrix(sparse):
     rows = result(sparse, "pool_matrix").collect()
     assert {r.src for r in rows} == set(range(ROWS * COLUMNS))
     assert {r.src for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
+
+
+def test_unpool_matrix(sparse):
+    rows = result(sparse, "unpool_matrix").collect()
+    assert {r.dst for r in rows} == set(range(ROWS * COLUMNS)) and "balance" in rows[0]
