@@ -348,9 +348,9 @@ def max_value_unpool(t: Tables):
 _INV = ("SELECT p.dst AS node, 1 - sum(p.w * u.w) AS error FROM v_pool p JOIN v_unpool u ON u.dst = p.src AND u.src = p.dst GROUP BY 1")
 
 
-@query("K16", _INV)
+@query("K16", beside_sql(_INV.replace("v_pool", "v_cell_pool").replace("v_unpool", "v_cell_unpool")))
 def inversion_error(t: Tables):
-    return remap.inversion_error(remap.pool_matrix(t.weights), remap.unpool_matrix(t.weights))
+    return t.beside(remap.inversion_error(remap.pool_matrix(t.cell_weights), remap.unpool_matrix(t.cell_weights)))
 
 
 @query("K16", f"SELECT avg(error) AS overall_error, count(*) AS nodes FROM ({_INV})")

@@ -95,3 +95,8 @@ def test_pool_matrix(sparse):
 def test_unpool_matrix(sparse):
     rows = result(sparse, "unpool_matrix").collect()
     assert {r.dst for r in rows} == set(range(ROWS * COLUMNS)) and "balance" in rows[0]
+
+
+def test_inversion_error(sparse):
+    rows = result(sparse, "inversion_error").collect()
+    assert {r.node for r in rows} == set(range(8)) and "balance" in rows[0]
