@@ -365,14 +365,14 @@ _CHAIN = f"SELECT a.dst, b.src, sum(a.w * b.w) AS w FROM {_P2} a JOIN v_pool b O
 _DIRECT = f"(SELECT dst, src, w / sum(w) OVER (PARTITION BY dst) AS w FROM ({_overlap('v_src', 'v_coarse')}))"
 
 
-def _chain(t: Tables):
+def _chain(t: Tables, weights):
     coarse = t.grid(1, 4)
-    return remap.compose(remap.pool_matrix(remap.overlap_weights(t.dst, coarse)), remap.pool_matrix(t.weights)), coarse
+    return remap.compose(remap.pool_matrix(remap.overlap_weights(t.dst, coarse)), remap.pool_matrix(weights)), coarse
 
 
-@query("K17", _CHAIN)
+@query("K17", beside_sql(_CHAIN.replace("v_pool", "v_cell_pool"), "src"))
 def compose(t: Tables):
-    return _chain(t)[0]
+    return t.beside(_chain(t, t.cell_weights)[0], "src")
 
 
 @query("K17", f"""
@@ -380,7 +380,7 @@ SELECT c.dst AS node, sum(c.w) AS row_sum, sum(abs(c.w - coalesce(d.w, 0))) AS o
 FROM ({_CHAIN}) c LEFT JOIN {_DIRECT} d ON d.dst = c.dst AND d.src = c.src GROUP BY 1""")
 def compose_vs_direct(t: Tables):
     """Chained remapping keeps row sums of one but differs from the direct matrix."""
-    chained, coarse = _chain(t)
+    chained, coarse = _chain(t, t.weights)
     direct = remap.pool_matrix(remap.overlap_weights(t.src, coarse)).withColumnRenamed("w", "_d")
     both = chained.join(direct, ["dst", "src"], "left")
     return both.groupBy(F.col("dst").alias("node")).agg(

@@ -100,3 +100,9 @@ def test_unpool_matrix(sparse):
 def test_inversion_error(sparse):
     rows = result(sparse, "inversion_error").collect()
     assert {r.node for r in rows} == set(range(8)) and "balance" in rows[0]
+
+
+def test_compose(sparse):
+    rows = result(sparse, "compose").collect()
+    assert {r.src for r in rows} == set(range(ROWS * COLUMNS))
+    assert {r.src for r in rows if r.balance is None} == set(range(ROWS * COLUMNS)) - {k for k in range(1, 27) if k % 4}
