@@ -166,14 +166,15 @@ def ensemble_median(ens: DataFrame, variables: Sequence[str], keys: Sequence[str
         return ens.groupBy(*keys).agg(*[F.median(v).alias(v) for v in variables])
     aggs = [F.max(F.when(F.col("member") == int(m), F.col(v))).alias(f"_{v}_{m}") for v in variables for m in members]
     listed = F.coalesce(F.col("member").isin([int(m) for m in members]), F.lit(False))
-    wide = ens.groupBy(*keys).agg(*aggs, F.max(F.when(~listed, F.coalesce(F.col("member").cast("string"), F.lit("NULL")))).alias("_other"))
+    # Numbers only: a string among them would make Spark sort all rows of all members by their keys.
+    wide = ens.groupBy(*keys).agg(*aggs, F.max(F.when(~listed, F.col("member"))).alias("_other"), F.max(F.when(F.col("member").isNull(), 1)).alias("_none"))
     for v in variables:
         wide = wide.withColumn(f"_{v}", F.array_sort(F.array_compact(F.array(*[F.col(f"_{v}_{m}") for m in members]))))
     at = lambda v, i: F.get(F.col(f"_{v}"), i.cast("int"))
     n = {v: F.size(f"_{v}") for v in variables}
-    stop = F.raise_error(F.concat(F.lit("a member is not among the given ones: "), F.col("_other"))).cast("double")
+    stop = F.raise_error(F.concat(F.lit("a member is not among the given ones: "), F.coalesce(F.col("_other").cast("string"), F.lit("NULL")))).cast("double")
     median = {v: (at(v, F.floor((n[v] - 1) / 2)) + at(v, F.floor(n[v] / 2))) / 2.0 for v in variables}
-    return wide.select(*keys, *[F.when(F.col("_other").isNotNull(), stop).otherwise(m).alias(v) for v, m in median.items()])
+    return wide.select(*keys, *[F.when(F.col("_other").isNotNull() | F.col("_none").isNotNull(), stop).otherwise(m).alias(v) for v, m in median.items()])
 
 
 def shift_leadtime(df: DataFrame, hours: int, leadtime: str = "leadtime") -> DataFrame:

@@ -132,3 +132,19 @@ def test_merged_moments_without_keys_and_with_null_keys(spark):
     for k in (None, 1, 2):
         own = np.array([v for key, v in rows if key == k])
         assert (got[k].n, got[k].mean_z) == (20, pytest.approx(own.mean())) and got[k].var_z == pytest.approx(own.var())
+
+
+def test_ensemble_median_neither_sorts_nor_exchanges_its_members(spark, tables):
+    from sphereframe.operators import verify
+    from sphereframe.plans.views import MEMBERS
+
+    plan = verify.ensemble_median(tables.ens, ["z"], members=MEMBERS)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert plan.count("Exchange") == 1  # of the events, before they become a hundred rows each
+
+
+def test_tasks_of_an_ensemble_grow_with_its_events(spark, tables, monkeypatch):
+    from sphereframe.plans import views
+
+    monkeypatch.setattr(views, "EVENTS_A_TASK", 100)
+    assert views.Tables(spark, tables.sf_dir).ens.rdd.getNumPartitions() == -(-tables.table("events").count() // 100)
