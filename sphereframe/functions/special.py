@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)  # made for each call: one that was used can not be sent to workers
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int = 300) -> np.ndarray:
@@ -28,7 +29,7 @@ def regularised_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     flip = x > (a + 1.0) / (a + b + 2.0)
     p, q, y = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1.0 - x, x)
     with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(_LGAMMA(p + q) - _LGAMMA(p) - _LGAMMA(q) + p * np.log(y) + q * np.log1p(-y)) / p
+        front = np.exp(_lgamma(p + q) - _lgamma(p) - _lgamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
         part = np.where((y <= 0.0), 0.0, front * _beta_fraction(p, q, y))
     return np.where(flip, 1.0 - part, part)
 

@@ -22,6 +22,7 @@ from .remap import spmm
 
 MAX_LEVEL = 16
 SALTS = 64
+FACES_A_TASK = 100_000
 
 
 # --- neighbour search ------------------------------------------------------------------------
@@ -236,11 +237,12 @@ def cotan_laplacian(vertices: DataFrame, faces: DataFrame, inverse_mass: bool =
 
     Each corner gives half its cotangent to the opposite edge and, to its own
     mass, the part of the triangle nearest to it: the Voronoi area, or half and
-    a quarter of a triangle with an obtuse angle there or elsewhere.
+    a quarter of a triangle with an obtuse angle there or elsewhere.  The faces are
+    counted first: a task gets at most about ``FACES_A_TASK``, of which it makes twelve entries each.
     """
-    tri = faces
+    tri, tasks = faces, max(1, math.ceil(faces.count() / FACES_A_TASK))
     for c in (0, 1, 2):
-        tri = tri.join(vertices.select(F.col("node").alias(f"v{c}"), *[F.col(a).alias(f"{a}{c}") for a in "xyz"]), f"v{c}")
+        tri = tri.repartition(tasks, f"v{c}").join(vertices.select(F.col("node").alias(f"v{c}"), *[F.col(a).alias(f"{a}{c}") for a in "xyz"]), f"v{c}")
 
     def corner(a: int, b: int, c: int) -> Column:
         """Cotangent at a with the edge (b, c) opposite."""

@@ -7,6 +7,7 @@ and one aggregation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from ..functions.sphere import cell_area
 from .grids import _int_div
 
 SLIVER_DEG = 1e-9
+WEIGHTS_A_TASK = 25_000
 
 
 def overlap_weights(src_cells: DataFrame, dst_cells: DataFrame, split: int = 4096) -> DataFrame:
@@ -100,8 +102,9 @@ def check_weights(weights: DataFrame, src_cells: DataFrame, dst_cells: DataFrame
         rows.agg(F.max("_d")).scalar().alias("row_sum_deviation"))
 
 
-def spmm(matrix: DataFrame, field: DataFrame, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Sparse matrix times fields: sum of w * value over sources, for every value column at once."""
+def spmm(matrix: DataFrame, field: DataFrame, values: Sequence[str], keys: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
+    """Sparse matrix times fields: sum of w * value over sources, for every value column at once; the products in ``tasks`` tasks where that is given."""
+    matrix = matrix if tasks is None else matrix.repartition(tasks, "src")
     joined = matrix.join(field.withColumnRenamed("node", "src"), "src")
     return joined.groupBy(F.col("dst").alias("node"), *keys).agg(
         *[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
@@ -168,12 +171,17 @@ def coarsen_laplacian(pool: DataFrame, laplacian: DataFrame, unpool: DataFrame)
 # --- general pooling over a matrix --------------------------------------------------------------
 
 
+def _tasks(weights: DataFrame) -> int:
+    """Tasks for the products of a matrix and a field with further keys: a field has many rows a source, so they follow the (counted) weights."""
+    return max(1, math.ceil(weights.count() / WEIGHTS_A_TASK))
+
+
 def general_avg_pool(field: DataFrame, weights: DataFrame, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    return spmm(pool_matrix(weights), field, values, keys)
+    return spmm(pool_matrix(weights), field, values, keys, _tasks(weights))
 
 
 def general_avg_unpool(field: DataFrame, weights: DataFrame, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    return spmm(unpool_matrix(weights), field, values, keys)
+    return spmm(unpool_matrix(weights), field, values, keys, _tasks(weights))
 
 
 def largest_source(weights: DataFrame) -> DataFrame:

@@ -148,3 +148,50 @@ def test_tasks_of_an_ensemble_grow_with_its_events(spark, tables, monkeypatch):
 
     monkeypatch.setattr(views, "EVENTS_A_TASK", 100)
     assert views.Tables(spark, tables.sf_dir).ens.rdd.getNumPartitions() == -(-tables.table("events").count() // 100)
+
+
+def test_tasks_of_a_mesh_grow_with_its_faces(spark, tables, monkeypatch):
+    from sphereframe.plans.networks import mesh
+
+    monkeypatch.setattr(graphs, "FACES_A_TASK", 10)
+    vertices, faces = mesh(tables, tables.cells)
+    tasks = -(-faces.count() // 10)
+    for table in graphs.cotan_laplacian(vertices, faces, inverse_mass=True):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert f", {tasks}), REPARTITION_BY_NUM" in plan
+
+
+def test_tasks_of_products_grow_with_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(remap, "WEIGHTS_A_TASK", 2)
+    weights = spark.createDataFrame([(k // 2, k, 1.0) for k in range(10)], "dst long, src long, w double")
+    field = spark.createDataFrame([(k, m, float(k)) for k in range(10) for m in range(3)], "node long, time long, z double")
+    pooled = remap.general_avg_pool(field, weights, ["z"], ["time"])
+    back = remap.general_avg_unpool(pooled, weights, ["z"], ["time"])
+    assert back._jdf.queryExecution().executedPlan().toString().count(", 5), REPARTITION_BY_NUM") == 2
+    assert {(r.node, r.time): r.z for r in back.collect()} == {(k, m): 2 * (k // 2) + 0.5 for k in range(10) for m in range(3)}
+
+
+def test_lmax_makes_its_laplacian_once(spark):
+    from sphereframe.plans import networks
+
+    class Once:
+        asked = 0
+
+        @property
+        def laplacian(self):
+            self.asked += 1
+            return spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (0, 1, -1.0), (1, 0, -1.0)], "i long, j long, w double")
+
+    t = Once()
+    row = networks.lmax(t).first()
+    assert t.asked == 1 and row.bound == 2.0 and 2.0 <= row.lmax < 2.1
+
+
+def test_p_values_can_be_sent_after_local_use():
+    import numpy as np
+    from pyspark import cloudpickle
+
+    from sphereframe.functions import special
+
+    special.two_sided_p(np.array([1.0]), np.array([5.0]))
+    assert cloudpickle.dumps({k: v for k, v in vars(special).items() if k.startswith("_") and not k.startswith("__")})
