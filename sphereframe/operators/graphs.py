@@ -23,6 +23,7 @@ from .remap import spmm
 MAX_LEVEL = 16
 SALTS = 64
 FACES_A_TASK = 100_000
+PLACES_A_TASK = 500
 
 
 # --- neighbour search ------------------------------------------------------------------------
@@ -85,8 +86,10 @@ def knn_graph(nodes: DataFrame, k: int, leaf_size: int = 32) -> DataFrame:
     own = located.select("place", *cell).join(counts, cell).groupBy("place").agg(F.coalesce(F.max(F.when(F.col("n") >= need, F.col("level"))), F.lit(0)).alias("home"))
 
     bound = F.when(total >= need, _side(F.col("home")) * math.sqrt(3.0) * (1 + 1e-9)).otherwise(F.lit(4.0))
-    # A place fans out to 125 cubes: spread places over all tasks first.
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A place fans out to 125 cubes, so the tasks that do it grow with the (counted) places.  With the number of partitions that the join has,
+    # Spark would leave the repartition out and merge them by their few bytes.
+    tasks = max(1, math.ceil(places.count() / PLACES_A_TASK))
+    tasks += tasks == int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = places.select("place", "x", "y", "z").join(own, "place").repartition(tasks, "place").withColumn("bound", bound).withColumnRenamed("home", "level")
     near = _neighbourhood(near, F.lit(2)).withColumns({f"c{a}": _cell(a, F.col("level")) + F.col(f"_d{a}") for a in "xyz"})
     inside = _min_distance(_side(F.col("level")), "c") <= F.col("bound")

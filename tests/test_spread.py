@@ -187,6 +187,21 @@ def test_lmax_makes_its_laplacian_once(spark):
     assert t.asked == 1 and row.bound == 2.0 and 2.0 <= row.lmax < 2.1
 
 
+@pytest.mark.parametrize("places", [10, 200])
+def test_tasks_of_a_neighbour_search_grow_with_its_places(spark, monkeypatch, places):
+    """Also where the number is that of the shuffle partitions, four here."""
+    plans, cut = [], graphs.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graphs, "PLACES_A_TASK", places)
+    monkeypatch.setattr(graphs, "cut_lineage", noted)
+    graphs.knn_graph(frame(spark, uneven()), 5, leaf_size=8)
+    assert any("hashpartitioning(place#" in p and f", {73 if places == 10 else 5}), REPARTITION_BY_NUM" in p for p in plans)
+
+
 def test_p_values_can_be_sent_after_local_use():
     import numpy as np
     from pyspark import cloudpickle
