@@ -150,6 +150,28 @@ def test_tasks_of_an_ensemble_grow_with_its_events(spark, tables, monkeypatch):
     assert views.Tables(spark, tables.sf_dir).ens.rdd.getNumPartitions() == -(-tables.table("events").count() // 100)
 
 
+def test_parts_of_stored_members_do_not_grow_with_the_events(spark, tmp_path, monkeypatch):
+    from sphereframe.plans import layouts, views
+
+    monkeypatch.setattr(views, "EVENTS_A_TASK", 100, raising=False)
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory)
+    spark.conf.set(advisory, "16k")
+
+    def largest(n):
+        """Rows of the largest file, each written by one task, over ``n`` places with an event each."""
+        (spark.range(n).select(F.col("id").alias("event_id"), F.lit("2024-01-01T07:00:00").cast("timestamp_ntz").alias("ts"), F.col("id").alias("user_id"),
+                               (F.col("id") % 7).cast("double").alias("value")).write.parquet(f"{tmp_path}/{n}/events.parquet"))
+        members = layouts.ensemble_members(views.Tables(spark, f"{tmp_path}/{n}"))
+        assert {r.member: r.n for r in members.collect()} == dict.fromkeys(views.MEMBERS, n * len(views.LEADS))
+        return max(r["count"] for r in spark.read.parquet(*members.inputFiles()).groupBy(F.input_file_name()).count().collect())
+
+    try:
+        assert largest(4000) < 2 * largest(500)
+    finally:
+        spark.conf.set(advisory, before)
+
+
 def test_tasks_of_a_mesh_grow_with_its_faces(spark, tables, monkeypatch):
     from sphereframe.plans.networks import mesh
 
