@@ -74,7 +74,8 @@ def knn_graph(nodes: DataFrame, k: int, leaf_size: int = 32) -> DataFrame:
        cubes near the edge of the search ball only, however isolated its node is.
     3. Points of the remaining cubes are compared.
 
-    Nodes at one place share a single search, so copies cost nothing.
+    Nodes at one place share a single search, so copies cost nothing.  No join broadcasts: places and cubes grow with the nodes, and a hash table of
+    them, which the driver would build, is many times the compressed bytes by which Spark picks a broadcast.
     """
     need = k + 1
     places = cut_lineage(_distinct_places(nodes, need))
@@ -83,20 +84,20 @@ def knn_graph(nodes: DataFrame, k: int, leaf_size: int = 32) -> DataFrame:
     cell = ["level", "cx", "cy", "cz"]
     counts = cut_lineage(located.groupBy(*cell).agg(F.sum("m").alias("n")))
     total = places.agg(F.sum("m")).scalar()
-    own = located.select("place", *cell).join(counts, cell).groupBy("place").agg(F.coalesce(F.max(F.when(F.col("n") >= need, F.col("level"))), F.lit(0)).alias("home"))
+    own = located.select("place", *cell).join(counts.hint("merge"), cell).groupBy("place").agg(F.coalesce(F.max(F.when(F.col("n") >= need, F.col("level"))), F.lit(0)).alias("home"))
 
     bound = F.when(total >= need, _side(F.col("home")) * math.sqrt(3.0) * (1 + 1e-9)).otherwise(F.lit(4.0))
     # A place fans out to 125 cubes, so the tasks that do it grow with the (counted) places.  With the number of partitions that the join has,
     # Spark would leave the repartition out and merge them by their few bytes.
     tasks = max(1, math.ceil(places.count() / PLACES_A_TASK))
     tasks += tasks == int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = places.select("place", "x", "y", "z").join(own, "place").repartition(tasks, "place").withColumn("bound", bound).withColumnRenamed("home", "level")
+    near = places.select("place", "x", "y", "z").join(own.hint("merge"), "place").repartition(tasks, "place").withColumn("bound", bound).withColumnRenamed("home", "level")
     near = _neighbourhood(near, F.lit(2)).withColumns({f"c{a}": _cell(a, F.col("level")) + F.col(f"_d{a}") for a in "xyz"})
     inside = _min_distance(_side(F.col("level")), "c") <= F.col("bound")
     for a in "xyz":
         inside = inside & (F.col(f"c{a}") >= 0) & (F.col(f"c{a}") < F.pow(F.lit(2.0), F.col("level")))
     keep = ["place", "x", "y", "z", "bound", *cell]
-    frontier = near.where(inside).select(*keep).join(counts, cell)
+    frontier = near.where(inside).select(*keep).join(counts.hint("merge"), cell)
     crowded = (F.col("n") > leaf_size) & (F.col("level") < MAX_LEVEL)
     by_high = W.partitionBy("place").orderBy("high", *cell).rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("place")
@@ -109,17 +110,17 @@ def knn_graph(nodes: DataFrame, k: int, leaf_size: int = 32) -> DataFrame:
             break
         eighths = frontier.where(crowded).drop("n").withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(7))))
         eighths = eighths.withColumns({f"c{a}": F.col(f"c{a}") * 2 + F.shiftright("_o", i).bitwiseAND(F.lit(1)) for i, a in enumerate("xyz")} | {"level": F.col("level") + 1})
-        frontier = frontier.where(~crowded).unionByName(eighths.select(*keep).join(counts, cell))
+        frontier = frontier.where(~crowded).unionByName(eighths.select(*keep).join(counts.hint("merge"), cell))
 
     points = located.select(*cell, F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "ids")
     d = chord(*[F.col(c) for c in ("x", "y", "z", "px", "py", "pz")])
-    pairs = frontier.select("place", "x", "y", "z", *cell).join(points, cell).select("place", d.alias("d"), F.explode("ids").alias("j"))
+    pairs = frontier.select("place", "x", "y", "z", *cell).join(points.hint("merge"), cell).select("place", d.alias("d"), F.explode("ids").alias("j"))
     nearest = W.partitionBy("place").orderBy("d", "j")
     best = pairs.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= need)
     lists = best.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("near"))
 
-    owners = nodes.select("node", "x", "y", "z").join(places.select("place", "x", "y", "z"), ["x", "y", "z"])
-    mine = owners.join(lists, "place").select(
+    owners = nodes.select("node", "x", "y", "z").join(places.select("place", "x", "y", "z").hint("merge"), ["x", "y", "z"])
+    mine = owners.join(lists.hint("merge"), "place").select(
         F.col("node").alias("i"), F.filter("near", lambda e: e["j"] != F.col("node")).alias("near"))
     return mine.select("i", F.posexplode(F.slice("near", 1, k)).alias("_p", "_e")).select(
         "i", F.col("_e.j").alias("j"), F.col("_e.d").alias("d"), (F.col("_p") + 1).cast("int").alias("rank"))

@@ -224,6 +224,19 @@ def test_tasks_of_a_neighbour_search_grow_with_its_places(spark, monkeypatch, pl
     assert any("hashpartitioning(place#" in p and f", {73 if places == 10 else 5}), REPARTITION_BY_NUM" in p for p in plans)
 
 
+def test_a_neighbour_search_broadcasts_nothing(spark, monkeypatch):
+    """Places and cubes grow with the nodes; here they are far below the size up to which Spark broadcasts."""
+    plans, cut = [], graphs.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(graphs, "cut_lineage", noted)
+    plans.append(graphs.knn_graph(frame(spark, uneven()), 5, leaf_size=8)._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 7 and not any("Broadcast" in p for p in plans)
+
+
 def test_p_values_can_be_sent_after_local_use():
     import numpy as np
     from pyspark import cloudpickle
