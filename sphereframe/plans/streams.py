@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming
 from ..operators.align import to_valid_time
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from .registry import query
 from .views import Tables
 
@@ -47,17 +47,18 @@ def _gaps_of_parts(t: Tables, steps, parts, delay: str):
     return streaming.current_gaps(t.spark.read.parquet(out))
 
 
-def _range(t: Tables):
-    """First and last step of the table."""
-    return t.obs.agg(F.min("time").alias("first"), F.max("time").alias("last")).first()
+def _steps(t: Tables):
+    """The steps of all nodes, written once for all parts, and the first and last of them."""
+    steps = cut_lineage(t.obs.select("node", "time"))
+    return steps, steps.agg(F.min("time").alias("first"), F.max("time").alias("last")).first()
 
 
 @query("N2", _GAPS_SQL)
 def stream_gaps(t: Tables):
     """Both halves of the table's time range in order, then late steps of all of it; the delay covers that range."""
-    ends = _range(t)
+    steps, ends = _steps(t)
     middle = F.lit(ends["first"] + (ends["last"] - ends["first"]) / 2)
-    steps = t.obs.select("node", "time").withColumn("_late", (F.col("node") % 7 == 3) & (F.dayofmonth("time") % 5 == 0))
+    steps = steps.withColumn("_late", (F.col("node") % 7 == 3) & (F.dayofmonth("time") % 5 == 0))
     parts = (~F.col("_late") & (F.col("time") < middle), ~F.col("_late") & (F.col("time") >= middle), F.col("_late"))
     return _gaps_of_parts(t, steps, parts, f"{(ends['last'] - ends['first']).days + 1} days")
 
@@ -65,10 +66,9 @@ def stream_gaps(t: Tables):
 @query("N2", _GAPS_SQL)
 def stream_gaps_expiring(t: Tables):
     """Five stretches of time in order with a delay of half a day: nodes silent for longer leave the state, and their gaps are found all the same."""
-    ends = _range(t)
+    steps, ends = _steps(t)
     cuts = [ends["first"] + k * (ends["last"] - ends["first"]) / 5 for k in range(1, 5)]
     stretch = sum((F.col("time") >= F.lit(c)).cast("int") for c in cuts)
-    steps = t.obs.select("node", "time")
     return _gaps_of_parts(t, steps, [stretch == k for k in range(5)], "12 hours")
 
 

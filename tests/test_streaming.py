@@ -157,3 +157,22 @@ def test_few_observations_are_hashed_instead_of_sorting_the_forecasts(spark, mon
     assert plans == [True] * 3
     monkeypatch.setattr(streams, "OBSERVATIONS_A_TASK", 0)
     assert str(verified_in_runs(spark, RUNS, True)[0]) == str(got) and plans[3:] == [False] * 3
+
+
+def test_nodes_share_the_state_of_their_group(spark):
+    """A call of Python handles many nodes: in state and timers there are no more entries than groups."""
+    from sphereframe.streaming import streams
+
+    path, out = scratch_path(spark, "in"), scratch_path(spark, "out")
+    steps = (spark.range(3001).select(F.when(F.col("id") < 3000, F.col("id")).alias("node"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("k"))
+             .where(F.pmod(F.xxhash64("node", "k"), F.lit(3)) == 0)
+             .select("node", "k", F.timestamp_add("HOUR", F.col("k") * 6, F.lit("2024-01-01").cast("timestamp_ntz")).alias("time")))
+    for lo, hi in ((0, 6), (7, 13), (14, 20)):
+        part = steps.where(F.col("k").between(lo, hi)).select("node", "time")
+        part.coalesce(1).write.mode("append").parquet(path)
+        query = streaming.stream_gaps(streaming.read_files(spark, path, part.schema), 6, out, out + "-cp", delay="1 day")
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * (streams.NODE_GROUPS + 1)
+    got = spark.read.parquet(out)
+    assert not got.where("gap_end IS NULL AND gap_start IS NOT NULL").isEmpty()
+    assert rows(streaming.current_gaps(got)) == rows(quality.missing_timesteps(steps, 6))
