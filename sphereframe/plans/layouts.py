@@ -101,12 +101,17 @@ def _run(t: Tables, m: int) -> DataFrame:
 @query("D9", long_sql(f"(SELECT m.leadtime, m.node, m.z AS z_pred, o.z AS z_obs FROM {_MEDIAN_STORED} m JOIN v_obs o ON o.node = m.node AND o.time = m.frt + {hours('m.leadtime')})",
                       "z_pred", "z_obs", "leadtime", sk.ALL_SKILLS))
 def ensemble_store(t: Tables):
-    """Three members, then two more, then one replaced; scores of the median over the stored ensemble."""
+    """Three members, then two more, then one replaced; scores of the median over the stored ensemble.
+
+    The members of a forecast lie in five files: they are brought together as they are, in tasks that grow with the events, and then aggregated.
+    Aggregating before that would gain nothing and spill.
+    """
     path = scratch_path(t.spark, "members")
     sources.write_members({m: _run(t, m) for m in MEMBERS[:3]}, path)
     sources.write_members({m: _run(t, m) for m in MEMBERS[3:]}, path)
     sources.write_members({1: _run(t, 1).withColumn("z", F.col("z") + 0.5)}, path, replace=True)
-    median = verify.ensemble_median(sources.read_members(t.spark, path), ["z"], members=MEMBERS)
+    stored = sources.read_members(t.spark, path).repartition(t.event_tasks, "frt", "node")
+    median = verify.ensemble_median(stored, ["z"], members=MEMBERS)
     return verify.deterministic(align.forecast_error(median, t.obs, ["z"]), ["z"], ["leadtime"])
 
 

@@ -30,7 +30,8 @@ def write_members(runs: Mapping[int, DataFrame], path: str, replace: bool = Fals
     """Add the runs of some members to a store, or start one.
 
     All runs, and the members stored before, must have the same columns and types.  A member that is there already is an error unless ``replace``
-    is set; then its folder, and no other, is overwritten.  The check comes before any write.
+    is set; then its folder, and no other, is overwritten.  The check comes before any write.  Rows are written by the tasks that make them, without an
+    exchange: each partition of a run becomes a file of its member.
     """
     if not runs:
         raise ValueError("no runs given")
@@ -46,7 +47,7 @@ def write_members(runs: Mapping[int, DataFrame], path: str, replace: bool = Fals
     if present and not replace:
         raise ValueError(f"members {sorted(present)} are stored already")
     rows = concat_members(runs).select(*shape, "member")
-    (rows.hint("rebalance", "member").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("member").parquet(path))
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("member").parquet(path))
 
 
 def read_members(spark: SparkSession, path: str, members: list[int] | None = None) -> DataFrame:

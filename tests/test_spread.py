@@ -150,6 +150,31 @@ def test_tasks_of_an_ensemble_grow_with_its_events(spark, tables, monkeypatch):
     assert views.Tables(spark, tables.sf_dir).ens.rdd.getNumPartitions() == -(-tables.table("events").count() // 100)
 
 
+def test_stored_members_are_exchanged_once_for_their_median(spark, tables, monkeypatch):
+    from sphereframe.plans import layouts
+
+    seen, median = [], verify.ensemble_median
+
+    def noted(*args, **kwargs):
+        seen.append((args[0], median(*args, **kwargs)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(layouts.verify, "ensemble_median", noted)
+    layouts.ensemble_store(tables)
+    plan = seen[0][1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+    assert plan.index("HashAggregate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange"):]
+
+
+def test_members_are_written_where_they_are_made(spark, tmp_path):
+    from sphereframe import sources
+
+    path = str(tmp_path / "members")
+    sources.write_members({m: spark.range(0, 30, 1, 3).select("id", F.lit(1.0).alias("z")) for m in (0, 1)}, path)
+    assert len(spark.read.parquet(path).inputFiles()) == 6
+    assert spark.read.parquet(path).groupBy("member").count().orderBy("member").collect() == [(0, 30), (1, 30)]
+
+
 def test_parts_of_stored_members_do_not_grow_with_the_events(spark, tmp_path, monkeypatch):
     from sphereframe.plans import layouts, views
 
